@@ -35,13 +35,8 @@ def parent_of_chunk(chunk: Column) -> Column:
 
 def owner_of_hit(doc: Column, parent: Column, chunk: Column, fallback: Column) -> Column:
     """First usable id of a hit: doc, parent, chunk prefix, hit id."""
-    return F.coalesce(
-        F.nullif(doc, F.lit("")),
-        F.nullif(parent, F.lit("")),
-        parent_of_chunk(F.nullif(chunk, F.lit(""))),
-        fallback,
-        F.lit(""),
-    )
+    text = lambda col: F.nullif(col.cast("string"), F.lit(""))
+    return F.coalesce(text(doc), text(parent), parent_of_chunk(text(chunk)), fallback.cast("string"), F.lit(""))
 
 
 def point_id(chunk: Column) -> Column:

@@ -13,6 +13,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Characters counted as whitespace when trimming.
 WHITESPACE = "".join(chr(cp) for cp in range(0x3001) if chr(cp).isspace())
@@ -75,12 +76,12 @@ def _composition_sensitive() -> str:
     return f"[\\p{{M}}\\x{{1100}}-\\x{{11ff}}{body}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _compose_each(values: pd.Series) -> pd.Series:
     return values.map(
         lambda vs: None if vs is None else [None if v is None else unicodedata.normalize("NFC", v) for v in vs]

@@ -100,7 +100,8 @@ def bm25(index: LexicalIndex, queries: DataFrame, query_id: str, text: str) -> D
         F.transform("title_words", lambda w: F.struct(w.alias("word"), F.lit(TITLE_WEIGHT).alias("w"))),
         F.transform("body_words", lambda w: F.struct(w.alias("word"), F.lit(BODY_WEIGHT).alias("w"))),
     )
-    tokens = index.rows.select(key, "n_words", F.inline(tagged))
+    # The outer form keeps the tokeniser from running twice (see binding.once).
+    tokens = index.rows.select(key, "n_words", F.inline_outer(tagged))
     hits = (
         _prefix_hits(tokens, prefixes, small)
         .groupBy(key, "prefix")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +48,7 @@ class _BestOf:
             self.scores[q], self.ids[q] = merged_scores[order], merged_ids[order]
 
 
-def _query_blocks(queries: DataFrame, query_id: str, vector: str, limit: int) -> Iterator[tuple[list, np.ndarray]]:
+def _query_blocks(queries: DataFrame, query_id: str, vector: str, limit: int) -> Iterator[tuple[pa.Array, np.ndarray]]:
     """Query vectors in pieces that each stay under ``limit`` bytes."""
     size = queries.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("dim")
@@ -60,7 +59,7 @@ def _query_blocks(queries: DataFrame, query_id: str, vector: str, limit: int) ->
         part = slim if blocks == 1 else slim.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block)
         table = part.toArrow()
         if table.num_rows:
-            yield table.column(0).to_pylist(), np.array(table.column(1).to_pylist(), dtype=np.float64)
+            yield table.column(0).combine_chunks(), np.array(table.column(1).to_pylist(), dtype=np.float64)
 
 
 def nearest(
@@ -98,23 +97,25 @@ def nearest(
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, matrix = shared.value
             best = _BestOf(matrix, k, digits)
+            kind = None
             for batch in batches:
                 if batch.num_rows == 0:
                     continue
-                vectors = batch.column(1)
-                flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                kind = batch.column(0).type
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 best.add(
                     np.array(batch.column(0).to_pylist(), dtype=object),
                     flat.reshape(batch.num_rows, -1),
                 )
-            rows = [
-                (names[q], best.ids[q][i], float(best.scores[q][i]))
-                for q in range(len(names))
-                for i in range(len(best.ids[q]))
-            ]
-            if rows:
-                yield pa.RecordBatch.from_pandas(
-                    pd.DataFrame(rows, columns=[query_id, id_col, "score"]), preserve_index=False
+            if kind is not None:
+                counts = [len(ids) for ids in best.ids]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        names.take(pa.array(np.repeat(np.arange(len(names)), counts))),
+                        pa.array([i for ids in best.ids for i in ids], type=kind),
+                        pa.array(np.concatenate(best.scores), type=pa.float64()),
+                    ],
+                    names=[query_id, id_col, "score"],
                 )
 
         found = slim.mapInArrow(scan, schema)

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.functions.binding import let
 from docketry.functions.text import strip, unix_lines
 
 try:
@@ -87,13 +88,18 @@ def split_head(df: DataFrame, loose: bool = False, byte_order_mark: bool = False
     """Add ``meta`` (VARIANT), ``body`` and ``has_head``; ``loose`` allows spaces after a fence."""
     mark = "\\x{feff}?" if byte_order_mark else ""
     pattern = rf"(?sU)^{mark}---\s*\n(.*?)\n---\s*\n?(.*)$" if loose else rf"(?s)^{mark}---\n(.*?)\n---\n?(.*)$"
-    has_head = F.col("content").rlike(pattern)
+    parts = let(
+        lambda c: F.when(c.rlike(pattern), F.struct(
+            F.regexp_extract(c, pattern, 1).alias("head"), F.regexp_extract(c, pattern, 2).alias("body"),
+        )),
+        c=F.col("content"),
+    )
     return (
-        df.withColumn("has_head", has_head)
-        .withColumn("body", F.when(has_head, F.regexp_extract("content", pattern, 2)))
-        .withColumn("_head", F.when(has_head, F.regexp_extract("content", pattern, 1)))
-        .withColumn("meta", F.try_parse_json(head_json(F.col("_head"), **head_options)))
-        .drop("_head", "content")
+        df.withColumn("_parts", parts)
+        .withColumn("has_head", F.col("_parts").isNotNull())
+        .withColumn("body", F.col("_parts.body"))
+        .withColumn("meta", F.try_parse_json(head_json(F.col("_parts.head"), **head_options)))
+        .drop("_parts", "content")
     )
 
 
@@ -126,32 +132,36 @@ def spans(body: Column, pattern: str) -> Column:
     offset) and ``text`` (up to the next heading). Runs inside the row: the body is
     cut by the same pattern that lists the headings, so nothing is exploded.
     """
-    whole = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
-    label = F.regexp_extract_all(body, F.lit(pattern), F.lit(1))
-    rest = F.regexp_extract_all(body, F.lit(pattern), F.lit(2))
-    pieces = F.split(body, pattern, -1)
-    zipped = F.arrays_zip(
-        whole.alias("match"), label.alias("label"), rest.alias("rest"),
-        F.slice(pieces, F.lit(1), F.size(whole)).alias("before"),
-        F.slice(pieces, F.lit(2), F.size(whole)).alias("text"),
-    )
-    empty = F.array().cast("array<struct<label:string,rest:string,match:string,start:int,text:string>>")
-    step = F.aggregate(
-        zipped,
-        F.struct(F.lit(0).alias("pos"), empty.alias("out")),
-        lambda acc, h: F.struct(
-            (acc["pos"] + F.length(h["before"]) + F.length(h["match"])).alias("pos"),
-            F.concat(
-                acc["out"],
-                F.array(F.struct(
-                    h["label"].alias("label"), h["rest"].alias("rest"), h["match"].alias("match"),
-                    (acc["pos"] + F.length(h["before"])).alias("start"), h["text"].alias("text"),
-                )),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(whole) > 0, step).otherwise(empty)
+    kind = "array<struct<label:string,rest:string,match:string,start:int,text:string>>"
+    empty = F.array().cast(kind)
+
+    def walk(whole: Column, label: Column, rest: Column, pieces: Column) -> Column:
+        zipped = F.arrays_zip(
+            whole.alias("match"), label.alias("label"), rest.alias("rest"),
+            F.slice(pieces, F.lit(1), F.size(whole)).alias("before"),
+            F.slice(pieces, F.lit(2), F.size(whole)).alias("text"),
+        )
+        return F.aggregate(
+            zipped,
+            F.struct(F.lit(0).alias("pos"), empty.alias("out")),
+            lambda acc, h: F.struct(
+                (acc["pos"] + F.length(h["before"]) + F.length(h["match"])).alias("pos"),
+                F.concat(
+                    acc["out"],
+                    F.array(F.struct(
+                        h["label"].alias("label"), h["rest"].alias("rest"), h["match"].alias("match"),
+                        (acc["pos"] + F.length(h["before"])).alias("start"), h["text"].alias("text"),
+                    )),
+                ).alias("out"),
+            ),
+            lambda acc: acc["out"],
+        )
+
+    def cut(b: Column) -> Column:
+        found = lambda group: F.regexp_extract_all(b, F.lit(pattern), F.lit(group))
+        return let(walk, whole=found(0), label=found(1), rest=found(2), pieces=F.split(b, pattern, -1))
+
+    return let(lambda b: F.when(b.rlike(pattern), cut(b)).otherwise(empty), b=body)
 
 
 def article(no: Column, title: Column, text: Column, chapter: Column | None = None,

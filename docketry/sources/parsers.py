@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import text as T
+from docketry.functions.binding import let, once
 from docketry.functions.ids import doc_id
 from docketry.operators.dedup import keep_best_revision
 from docketry.sources import markdown as M
@@ -43,14 +44,17 @@ def _non_blank(value: Column) -> Column:
 
 def bare_title(raw: Column) -> Column:
     """Title without its wrapping parentheses, however many pairs; blank is null."""
-    first = T.strip(F.coalesce(raw, F.lit("")))
-    wrapped = lambda s: (F.length(s) >= 2) & s.rlike(r"(?s)^[(（].*[)）]$")
-    peeled = F.aggregate(
-        F.sequence(F.lit(0), F.length(first).cast("int")),
-        first,
-        lambda s, _: F.when(wrapped(s), T.strip(F.substring(s, F.lit(2), F.length(s) - 2))).otherwise(s),
-    )
-    return F.nullif(F.when(wrapped(first), peeled).otherwise(first), F.lit(""))
+    edge = lambda s, at, chars: F.substring(s, F.lit(at), F.lit(1)).isin(*chars)
+    wrapped = lambda s: (F.length(s) >= 2) & edge(s, 1, "(（") & edge(s, -1, ")）")
+    inner = lambda s: T.strip(F.substring(s, F.lit(2), F.length(s) - 2))
+
+    def peel(first: Column) -> Column:
+        peeled = F.aggregate(
+            F.sequence(F.lit(1), F.length(first)), first, lambda s, _: F.when(wrapped(s), inner(s)).otherwise(s)
+        )
+        return F.nullif(F.when(wrapped(first), peeled).otherwise(first), F.lit(""))
+
+    return let(peel, first=T.strip(F.coalesce(raw, F.lit(""))))
 
 
 def _marks(body: Column, pattern: str) -> Column:
@@ -63,38 +67,39 @@ def _marks(body: Column, pattern: str) -> Column:
 
 def _chapter_path(chapters: Column, sections: Column, pos: Column) -> Column:
     """``장 > 절`` in force at ``pos``; a new chapter ends the section before it."""
-    chapter = M.last_before(chapters, pos)
-    section = M.last_before(sections, pos)
-    live = F.when(section["start"] > F.coalesce(chapter["start"], F.lit(-1)), section["label"])
-    return F.nullif(F.concat_ws(" > ", chapter["label"], live), F.lit(""))
+    def path(chapter: Column, section: Column) -> Column:
+        live = F.when(section["start"] > F.coalesce(chapter["start"], F.lit(-1)), section["label"])
+        return F.nullif(F.concat_ws(" > ", chapter["label"], live), F.lit(""))
+
+    return let(path, chapter=M.last_before(chapters, pos), section=M.last_before(sections, pos))
 
 
 def statute_articles(df: DataFrame) -> DataFrame:
     """Add ``articles`` from ``body``: headed articles, else inline ones, else the lead text."""
-    main = F.get(F.split("body", SUPPLEMENT, 2), F.lit(0))
-    lead = T.strip(F.regexp_replace(F.col("main"), r"(?sU)^(.*?)" + r"(?m:^#\s+[^\n]*$)", "$1"))
-    cut = (
-        df.withColumn("hashed", M.spans(F.col("body"), STATUTE_HASH))
-        .withColumn("chapters", _marks(F.col("body"), STATUTE_CHAPTER))
-        .withColumn("sections", _marks(F.col("body"), STATUTE_SECTION))
-        .withColumn("main", main)
-        .withColumn("inline", F.filter(M.spans(F.col("main"), STATUTE_INLINE), lambda h: T.strip(h["text"]) != ""))
-        .withColumn("lead", lead)
-    )
-    headed = F.transform(
-        F.filter("hashed", lambda h: T.strip(h["text"]) != ""),
-        lambda h: M.article(h["label"], bare_title(h["rest"]), T.strip(h["text"]),
-                            _chapter_path(F.col("chapters"), F.col("sections"), h["start"])),
-    )
-    plain = F.transform("inline", lambda h: M.article(h["label"], bare_title(h["rest"]), T.strip(h["text"])))
-    whole = F.array(M.article(F.lit("본문"), F.lit(None).cast("string"), F.col("lead")))
-    articles = (
-        F.when(F.size("hashed") > 0, headed)
-        .when(F.size("inline") > 0, plain)
-        .when(F.col("lead") != "", whole)
-        .otherwise(F.array().cast(f"array<{M.ARTICLE_TYPE}>"))
-    )
-    return cut.withColumn("articles", articles).drop("hashed", "chapters", "sections", "main", "inline", "lead")
+    none = F.lit(None).cast("string")
+    empty = F.array().cast(f"array<{M.ARTICLE_TYPE}>")
+    has_text = lambda h: T.strip(h["text"]) != ""
+
+    def headed(hits: Column, chapters: Column, sections: Column) -> Column:
+        return F.transform(F.filter(hits, has_text), lambda h: M.article(
+            h["label"], bare_title(h["rest"]), T.strip(h["text"]), _chapter_path(chapters, sections, h["start"])
+        ))
+
+    def without_headings(main: Column) -> Column:
+        lead = T.strip(F.regexp_replace(main, r"(?sU)^(.*?)(?m:^#\s+[^\n]*$)", "$1"))
+        inline = F.filter(M.spans(main, STATUTE_INLINE), has_text)
+        plain = lambda hits: F.transform(hits, lambda h: M.article(h["label"], bare_title(h["rest"]), T.strip(h["text"])))
+        whole = lambda text: F.when(text != "", F.array(M.article(F.lit("본문"), none, text))).otherwise(empty)
+        return let(lambda hits, text: F.when(F.size(hits) > 0, plain(hits)).otherwise(whole(text)), hits=inline, text=lead)
+
+    def articles(b: Column) -> Column:
+        main = F.get(F.split(b, SUPPLEMENT, 2), F.lit(0))
+        by_heading = let(
+            headed, hits=M.spans(b, STATUTE_HASH), chapters=_marks(b, STATUTE_CHAPTER), sections=_marks(b, STATUTE_SECTION)
+        )
+        return F.when(b.rlike(STATUTE_HASH), by_heading).otherwise(let(without_headings, main=main))
+
+    return df.withColumn("articles", once(F.coalesce(let(articles, b=F.col("body")), empty)))
 
 
 def parse_statutes(files: DataFrame) -> DataFrame:
@@ -124,9 +129,6 @@ def parse_statutes(files: DataFrame) -> DataFrame:
 
 def ordinance_articles(df: DataFrame) -> DataFrame:
     """Add ``articles``: an article label restated inside its text overrides the heading."""
-    body = F.col("body")
-    df = df.withColumn("hashed", M.spans(body, ORDINANCE_HASH)).withColumn("inline", M.spans(body, ORDINANCE_INLINE))
-
     def restated(segment: Column) -> Column:
         return F.regexp_replace(F.regexp_extract(segment, ORDINANCE_RESTATED, 1), r"(?U)\s+", "")
 
@@ -136,31 +138,41 @@ def ordinance_articles(df: DataFrame) -> DataFrame:
         return F.aggregate(F.sequence(F.lit(1), times), segment, lambda s, _: drop(s))
 
     def resolve(h: Column) -> Column:
-        own = restated(h["text"])
-        has_own = own != ""
-        title = F.when(has_own, F.regexp_extract(h["text"], ORDINANCE_RESTATED, 2)).otherwise(h["rest"])
+        return let(
+            lambda own: F.struct(
+                F.when(own != "", own).otherwise(h["label"]).alias("no"),
+                _non_blank(F.when(own != "", F.regexp_extract(h["text"], ORDINANCE_RESTATED, 2)).otherwise(h["rest"])).alias("title"),
+                F.when(own != "", without_restatement(h["text"], own)).otherwise(h["text"]).alias("raw"),
+            ),
+            own=restated(h["text"]),
+        )
+
+    def as_is(h: Column) -> Column:
         return F.struct(
-            F.when(has_own, own).otherwise(h["label"]).alias("no"),
-            _non_blank(title).alias("title"),
-            F.when(has_own, without_restatement(h["text"], own)).otherwise(h["text"]).alias("raw"),
+            h["label"].alias("no"), _non_blank(h["rest"]).alias("title"), F.concat(h["match"], h["text"]).alias("raw")
         )
 
-    found = F.when(F.size("hashed") > 0, F.transform("hashed", resolve)).otherwise(
-        F.transform("inline", lambda h: F.struct(
-            h["label"].alias("no"), _non_blank(h["rest"]).alias("title"), F.concat(h["match"], h["text"]).alias("raw"),
-        ))
+    found = let(
+        lambda b: F.when(b.rlike(ORDINANCE_HASH), F.transform(M.spans(b, ORDINANCE_HASH), resolve))
+        .otherwise(F.transform(M.spans(b, ORDINANCE_INLINE), as_is)),
+        b=F.col("body"),
     )
     df = df.withColumn("found", found).withColumn("raws", T.nfc_each(F.transform("found", lambda a: a["raw"])))
 
-    def finish(a: Column, i: Column) -> Column:
-        raw = F.get(F.col("raws"), i)
-        notes = F.regexp_extract_all(raw, F.lit(T.ORDINANCE_NOTE), F.lit(0))
-        return M.article(a["no"], a["title"], T.clean_ordinance(raw), amendments=F.when(F.size(notes) > 0, notes))
+    def finish(z: Column) -> Column:
+        a = z["found"]
+        return let(
+            lambda notes: M.article(
+                a["no"], a["title"], T.clean_ordinance(z["raws"]), amendments=F.when(F.size(notes) > 0, notes)
+            ),
+            notes=F.regexp_extract_all(z["raws"], F.lit(T.ORDINANCE_NOTE), F.lit(0)),
+        )
 
     phantom = lambda a: (a["article_no"] == "제0조") & a["text"].rlike(CHAPTER_ONLY)
-    return df.withColumn(
-        "articles", F.filter(F.transform("found", finish), lambda a: (a["text"] != "") & ~phantom(a))
-    ).drop("hashed", "inline", "found", "raws")
+    built = F.transform(F.arrays_zip("found", "raws"), finish)
+    kept = F.filter(built, lambda a: (a["text"] != "") & ~phantom(a))
+    empty = F.array().cast(f"array<{M.ARTICLE_TYPE}>")
+    return df.withColumn("articles", once(F.coalesce(kept, empty))).drop("found", "raws")
 
 
 def government_level(area: Column) -> Column:
@@ -202,27 +214,36 @@ def rule_articles(df: DataFrame) -> DataFrame:
     """Add ``articles`` and ``label_only``; repeated labels become ``label#2``, ``label#3``…"""
     empty = F.array().cast(f"array<{M.ARTICLE_TYPE}>")
     df = df.withColumn("body", T.strip(T.nfc(F.col("body"))))
-    inline = M.spans(F.col("body"), RULE_INLINE)
-    hits = F.when(F.size(inline) > 0, inline).otherwise(M.spans(F.col("body"), RULE_HASH))
-    df = (
-        df.withColumn("hits", hits)
-        .withColumn("labels", F.transform("hits", lambda h: h["label"]))
-        .withColumn("chapters", _marks(F.col("body"), RULE_CHAPTER))
-        .withColumn("label_only", (F.length("body") < MIN_RULE_BODY) | F.col("body").rlike(IMAGE_ONLY))
-    )
 
-    def build(h: Column, i: Column) -> Column:
-        nth = F.size(F.filter(F.slice(F.col("labels"), F.lit(1), i + 1), lambda l: l == h["label"]))
-        no = F.when(nth > 1, F.concat(h["label"], F.lit("#"), nth.cast("string"))).otherwise(h["label"])
-        title = _non_blank(h["rest"])
-        return M.article(no, title, F.coalesce(_non_blank(h["text"]), title, no),
-                         M.last_before(F.col("chapters"), h["start"])["label"])
+    def numbered(hits: Column, labels: Column, chapters: Column) -> Column:
+        def build(h: Column, i: Column) -> Column:
+            nth = F.size(F.filter(F.slice(labels, F.lit(1), i + 1), lambda l: l == h["label"]))
+            no = F.when(nth > 1, F.concat(h["label"], F.lit("#"), nth.cast("string"))).otherwise(h["label"])
+            chapter = M.last_before(chapters, h["start"])["label"]
+            return let(
+                lambda no, title: M.article(no, title, F.coalesce(_non_blank(h["text"]), title, no), chapter),
+                no=no, title=_non_blank(h["rest"]),
+            )
+
+        return F.transform(hits, build)
+
+    def split(b: Column, pattern: str) -> Column:
+        with_labels = lambda hits: let(
+            numbered, hits=hits, labels=F.transform(hits, lambda h: h["label"]), chapters=_marks(b, RULE_CHAPTER)
+        )
+        return let(with_labels, hits=M.spans(b, pattern))
+
+    def articles(b: Column) -> Column:
+        whole = F.array(M.article(F.lit("전문"), F.lit(None).cast("string"), b))
+        return (
+            F.when((F.length(b) < MIN_RULE_BODY) | b.rlike(IMAGE_ONLY), empty)
+            .when(b.rlike(RULE_INLINE), split(b, RULE_INLINE))
+            .when(b.rlike(RULE_HASH), split(b, RULE_HASH))
+            .otherwise(whole)
+        )
 
-    whole = F.array(M.article(F.lit("전문"), F.lit(None).cast("string"), F.col("body")))
-    return df.withColumn(
-        "articles",
-        F.when(F.col("label_only"), empty).when(F.size("hits") > 0, F.transform("hits", build)).otherwise(whole),
-    ).drop("hits", "labels", "chapters")
+    return df.withColumn("articles", once(F.coalesce(let(articles, b=F.col("body")), empty))) \
+        .withColumn("label_only", F.size("articles") == 0)
 
 
 def parse_rules(files: DataFrame) -> DataFrame:
@@ -265,9 +286,12 @@ def case_articles(df: DataFrame) -> DataFrame:
     df = df.withColumn("found", M.spans(F.col("body"), CASE_SECTION)) \
         .withColumn("raws", T.nfc_each(F.transform("found", lambda h: h["text"])))
     none = F.lit(None).cast("string")
-    built = F.transform("found", lambda h, i: M.article(T.strip(h["label"]), none, T.clean_case(F.get(F.col("raws"), i))))
-    return df.withColumn("articles", F.filter(built, lambda a: (a["article_no"] != "") & (a["text"] != ""))) \
-        .drop("found", "raws")
+    built = F.transform(
+        F.arrays_zip("found", "raws"), lambda z: M.article(T.strip(z["found"]["label"]), none, T.clean_case(z["raws"]))
+    )
+    kept = F.filter(built, lambda a: (a["article_no"] != "") & (a["text"] != ""))
+    empty = F.array().cast(f"array<{M.ARTICLE_TYPE}>")
+    return df.withColumn("articles", once(F.coalesce(kept, empty))).drop("found", "raws")
 
 
 def parse_cases(files: DataFrame) -> DataFrame:
