@@ -25,7 +25,8 @@ def once(col: Column) -> Column:
     """The same values, computed in one place of the plan.
 
     Exploding an array makes Spark filter on its size first and push that filter
-    down, which repeats the array's whole definition. A definition that contains a
-    random draw is left where it is; the draw itself never changes the result.
+    down, which repeats the array's whole definition. A definition that depends on
+    where it runs is left in place; the partition number is never negative, so the
+    values stay the same.
     """
-    return F.when(F.rand(0) >= 0, col)
+    return F.when(F.spark_partition_id() >= 0, col)
