@@ -20,6 +20,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Share a small input out over the cores before heavy per-row work.
+
+    A file with one row group is read by one task. Tables with enough splits, which
+    is every table of real size, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def wide_lines(text: str = "text") -> Column:
     return F.split(text, "\n")
 
@@ -27,7 +37,7 @@ def wide_lines(text: str = "text") -> Column:
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     """One legal document per row of ``documents``; its lines are the articles."""
     labels = table(spark, folder, "labels").select("doc_id", "quality")
-    rows = table(spark, folder, "documents").join(labels, "doc_id", "left").withColumnRenamed("doc_id", "k")
+    rows = spread(table(spark, folder, "documents"), "doc_id").join(labels, "doc_id", "left").withColumnRenamed("doc_id", "k")
     k, kind = F.col("k"), F.pmod(F.col("k"), F.lit(4))
     key = k.cast("string")
     by_kind = lambda a, b, c, d: F.when(kind == 0, a).when(kind == 1, b).when(kind == 2, c).otherwise(d)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.catalog import query
-from docketry.catalog.data import table, wide_lines
+from docketry.catalog.data import spread, table, wide_lines
 from docketry.functions.text import strip
 from docketry.sources import markdown as M
 from docketry.sources import parsers as P
@@ -18,7 +18,7 @@ def _numbered(render) -> Column:
 
 
 def _file(spark, folder, path: Column, head: Column, body: Column) -> DataFrame:
-    rows = table(spark, folder, "documents")
+    rows = spread(table(spark, folder, "documents"), "doc_id")
     return rows.select(path.alias("path"), F.concat(F.lit("---\n"), head, F.lit("\n---\n"), body).alias("content"))
 
 
@@ -85,7 +85,7 @@ WITH {_LINES}, kept AS (SELECT * FROM l WHERE trim(line) <> '')
 SELECT 'ORD:' || source || ':' || doc_id AS doc_id, CASE lang WHEN 'en' THEN '광역' WHEN 'de' THEN '교육청' ELSE '기초' END AS gov_level,
   CASE WHEN lang NOT IN ('en', 'de') THEN lang END AS locality,
   CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos, '제' || (i + 1) || '조' AS article_no,
-  '조제목' || (i + 1) AS article_title, NULL AS chapter_path, sha256('①(1) ' || trim(line)) AS text_hash FROM kept""")
+  '조제목' || (i + 1) AS article_title, CAST(NULL AS VARCHAR) AS chapter_path, sha256('①(1) ' || trim(line)) AS text_hash FROM kept""")
 def parse_ordinances(spark, folder):
     """Headings are off by one and each text restates its own label, as in the flawed sources."""
     def render(line, n, i):
@@ -130,7 +130,7 @@ WITH {_LINES}, kept AS (SELECT * FROM l WHERE trim(line) <> '')
 SELECT 'PREC:' || doc_id AS doc_id, '사건 ' || doc_id AS title, '2019다' || doc_id AS case_no,
   CASE WHEN doc_id % 3 = 0 THEN '2020-05-07' WHEN doc_id % 3 = 1 THEN '2020-05-01' END AS effective_from,
   CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos, '절 ' || (i + 1) AS article_no,
-  NULL AS article_title, NULL AS chapter_path, sha256('[당사자] ' || trim(line)) AS text_hash FROM kept""")
+  CAST(NULL AS VARCHAR) AS article_title, CAST(NULL AS VARCHAR) AS chapter_path, sha256('[당사자] ' || trim(line)) AS text_hash FROM kept""")
 def parse_cases(spark, folder):
     """Sections with masked names; the date comes from the head, the file name, or nowhere."""
     def render(line, n, i):

@@ -8,13 +8,16 @@ can change under NFC; the rest are passed as nulls.
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
+from collections.abc import Callable
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from docketry.functions.binding import let
+
 # Characters counted as whitespace when trimming.
 WHITESPACE = "".join(chr(cp) for cp in range(0x3001) if chr(cp).isspace())
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -44,7 +47,8 @@ def blank_to_null(col: Column) -> Column:
 
 def squeeze(col: Column) -> Column:
     """Whitespace runs become one space; ends trimmed."""
-    return strip(F.regexp_replace(col, _WS + "+", " "))
+    others = [c for c in WHITESPACE if c != " "]
+    return strip(_step(col, lambda x: _holds(x, "  ", *others), lambda x: F.regexp_replace(x, _WS + "+", " ")))
 
 
 def drop_whitespace(col: Column) -> Column:
@@ -76,6 +80,20 @@ def _composition_sensitive() -> str:
     return f"[\\p{{M}}\\x{{1100}}-\\x{{11ff}}{body}]"
 
 
+# Ranges whose members NFC never changes and never joins to a neighbour: Latin
+# letters, common punctuation and symbols, Hangul and Han. A text made of these alone
+# needs no closer look.
+_PLAIN = (
+    r"\x{0}-\x{2ff}\x{2010}-\x{2027}\x{2030}-\x{205e}\x{2460}-\x{24ff}\x{2500}-\x{27ff}"
+    r"\x{3000}-\x{3029}\x{3131}-\x{318e}\x{4e00}-\x{9fff}\x{ac00}-\x{d7a3}\x{ff00}-\x{ffef}"
+)
+
+
+def _may_change(col: Column) -> Column:
+    # Cheapest test first: below U+0300 nothing can change.
+    return col.rlike(r"[\x{300}-\x{10ffff}]") & col.rlike(f"[^{_PLAIN}]") & col.rlike(_composition_sensitive())
+
+
 @F.pandas_udf(StringType())
 def _compose(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
@@ -90,55 +108,75 @@ def _compose_each(values: pd.Series) -> pd.Series:
 
 def nfc(col: Column) -> Column:
     """Unicode NFC."""
-    sensitive = col.rlike(_composition_sensitive())
-    return F.coalesce(_compose(F.when(sensitive, col)), col)
+    return F.coalesce(_compose(F.when(_may_change(col), col)), col)
 
 
 def nfc_each(col: Column) -> Column:
     """NFC of every string of an array (usable where a lambda could not call Python)."""
-    pattern = _composition_sensitive()
-    sensitive = F.exists(col, lambda v: v.rlike(pattern))
-    return F.coalesce(_compose_each(F.when(sensitive, col)), col)
+    return F.coalesce(_compose_each(F.when(F.exists(col, _may_change), col)), col)
+
+
+def _holds(col: Column, *parts: str) -> Column:
+    """Whether any of the literal ``parts`` occurs: a byte search, far cheaper than a pattern."""
+    return reduce(lambda a, b: a | b, [F.contains(col, F.lit(p)) for p in parts])
+
+
+def _step(col: Column, needed: Callable[[Column], Column], change: Callable[[Column], Column]) -> Column:
+    """Apply ``change`` only to values that need it."""
+    return let(lambda x: F.when(needed(x), change(x)).otherwise(x), x=col)
+
+
+def _each_numeral(col: Column, form: Callable[[int, str], str]) -> Column:
+    def change(x: Column) -> Column:
+        for n, glyph in enumerate(CIRCLED, start=1):
+            x = F.replace(x, F.lit(glyph), F.lit(form(n, glyph)))
+        return x
+
+    return _step(col, lambda x: x.rlike("[①-⑳]"), change)
 
 
 def plain_numerals(col: Column) -> Column:
     """Circled numerals become ``(n)``."""
-    out = col
-    for n, glyph in enumerate(CIRCLED, start=1):
-        out = F.replace(out, F.lit(glyph), F.lit(f"({n})"))
-    return F.when(col.rlike("[①-⑳]"), out).otherwise(col)
+    return _each_numeral(col, lambda n, glyph: f"({n})")
 
 
 def annotate_numerals(col: Column) -> Column:
     """Circled numerals keep their glyph and gain a plain copy: ``①`` → ``①(1) ``."""
-    out = col
-    for n, glyph in enumerate(CIRCLED, start=1):
-        out = F.replace(out, F.lit(glyph), F.lit(f"{glyph}({n}) "))
-    return F.when(col.rlike("[①-⑳]"), out).otherwise(col)
+    return _each_numeral(col, lambda n, glyph: f"{glyph}({n}) ")
 
 
 def amendments_in(col: Column) -> Column:
     """Amendment notes in order of appearance."""
-    return F.regexp_extract_all(col, F.lit("(?U)" + AMENDMENT_NOTE), F.lit(0))
+    none = F.array().cast("array<string>")
+    found = F.regexp_extract_all(col, F.lit("(?U)" + AMENDMENT_NOTE), F.lit(0))
+    return F.when(_holds(col, "<", "＜"), found).otherwise(none)
+
+
+def _no_triple_breaks(col: Column) -> Column:
+    return _step(col, lambda x: _holds(x, "\n\n\n"), lambda x: F.regexp_replace(x, r"\n{3,}", "\n\n"))
 
 
 def clean_body(col: Column) -> Column:
     """Body text as it is embedded: composed, notes and masks removed, spacing tidied."""
     out = plain_numerals(nfc(F.coalesce(col, F.lit(""))))
-    out = F.regexp_replace(out, "(?U)" + AMENDMENT_NOTE, "")
-    out = F.regexp_replace(out, PARTY_MASK, PARTY_TOKEN)
-    out = F.regexp_replace(out, _LINE_BREAKS, "\n")
-    out = F.regexp_replace(out, r"[ \t\x{a0}]+", " ")
-    out = F.regexp_replace(out, rf"(?md)^{_LINE_WS}+|{_LINE_WS}+$", "")
-    return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+    out = _step(out, lambda x: _holds(x, "<", "＜"), lambda x: F.regexp_replace(x, "(?U)" + AMENDMENT_NOTE, ""))
+    out = _step(out, lambda x: _holds(x, "○", "ㅇ"), lambda x: F.regexp_replace(x, PARTY_MASK, PARTY_TOKEN))
+    breaks = ("\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
+    out = _step(out, lambda x: _holds(x, *breaks), lambda x: F.regexp_replace(x, _LINE_BREAKS, "\n"))
+    out = _step(out, lambda x: _holds(x, "  ", "\t", "\xa0"), lambda x: F.regexp_replace(x, r"[ \t\x{a0}]+", " "))
+    rare = ("\x1f", "\u1680", "\u202f", "\u205f", "\u3000", *map(chr, range(0x2000, 0x200B)))
+    out = _step(
+        out, lambda x: _holds(x, " \n", "\n ", *rare), lambda x: F.regexp_replace(x, rf"(?md)^{_LINE_WS}+|{_LINE_WS}+$", "")
+    )
+    return strip(_no_triple_breaks(out))
 
 
 def clean_ordinance(col: Column) -> Column:
     """Parser-side clean-up of an (already composed) ordinance article."""
-    out = annotate_numerals(F.regexp_replace(col, ORDINANCE_NOTE, ""))
-    out = F.regexp_replace(out, r"[ \t]+", " ")
-    out = F.regexp_replace(out, r"[ \t]+\n", "\n")
-    return strip(F.regexp_replace(out, r"\n{3,}", "\n\n"))
+    out = _step(col, lambda x: _holds(x, "<"), lambda x: F.regexp_replace(x, ORDINANCE_NOTE, ""))
+    out = annotate_numerals(out)
+    out = _step(out, lambda x: _holds(x, "  ", "\t"), lambda x: F.regexp_replace(x, r"[ \t]+", " "))
+    return strip(_no_triple_breaks(F.replace(out, F.lit(" \n"), F.lit("\n"))))
 
 
 def clean_case(col: Column) -> Column:
@@ -157,10 +195,12 @@ def content_hash(col: Column) -> Column:
     return F.sha2(strip(nfc(F.coalesce(col, F.lit("")))), 256)
 
 
+TOKEN = r"\S+"
+
+
 def count_tokens(col: Column) -> Column:
-    """Whitespace-delimited token count, the default size measure of a chunk."""
-    trimmed = squeeze(F.coalesce(col, F.lit("")))
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, " "))).cast("int")
+    """Number of runs without ASCII whitespace, the default size measure of a chunk."""
+    return F.regexp_count(F.coalesce(col, F.lit("")), F.lit(TOKEN))
 
 
 def words(col: Column) -> Column:

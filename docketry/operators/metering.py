@@ -33,7 +33,7 @@ def request_metrics(log: DataFrame, path: str, status: str, latency: str, tokens
 
 def rate_windows(log: DataFrame, key: str, ts: str, limit: Column) -> DataFrame:
     """Requests per key and minute, and how many of them were over the limit."""
-    counted = log.groupBy(key, F.date_trunc("minute", ts).alias("minute")).agg(F.count(F.lit(1)).alias("requests"))
+    counted = log.groupBy(key, F.date_trunc("minute", ts).cast("timestamp_ntz").alias("minute")).agg(F.count(F.lit(1)).alias("requests"))
     return counted.withColumn("rejected", F.greatest(F.col("requests") - limit, F.lit(0)))
 
 
