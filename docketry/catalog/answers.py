@@ -238,7 +238,7 @@ FROM (SELECT *, CASE WHEN NOT verified THEN CASE WHEN db_match THEN 15 ELSE 0 EN
 @query("verify_citations", _VERIFY_SQL)
 def verify_citations(spark, folder):
     docs = documents(spark, folder)
-    parents = chunking.parents(docs).join(docs.select(F.col("doc_id").alias("parent_id"), "position", "case_no"), "parent_id")
+    parents = chunking.parents(docs)
     classified = verification.classify(_citations(spark, folder))
     found = verification.in_corpus(classified, parents)
     return verification.verdict(classified, found, verification.in_registry(classified, *_registry(spark, folder)), "2021-01-01")
@@ -250,7 +250,7 @@ def verify_citations(spark, folder):
 def verify_citations_offline(spark, folder):
     """The same citations when the registry gives no answer: the corpus alone decides."""
     docs = documents(spark, folder)
-    parents = chunking.parents(docs).join(docs.select(F.col("doc_id").alias("parent_id"), "position", "case_no"), "parent_id")
+    parents = chunking.parents(docs)
     classified = verification.classify(_citations(spark, folder))
     return verification.verdict(classified, verification.in_corpus(classified, parents), None, "2021-01-01")
 

@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from docketry.catalog import query
-from docketry.catalog.data import ARTICLES_SQL, CHUNKS_SQL, CORPUS_SQL, documents, table
+from docketry.catalog.data import ARTICLES_SQL, CHUNKS_SQL, CORPUS_SQL, documents, spread, table
 from docketry.functions.text import content_hash, count_tokens
 from docketry.operators import chunking, dedup, embedding, filters, governance, inventory
 from docketry.operators.joins import substring_matches
@@ -144,7 +144,7 @@ def cache_last_wins(spark, folder):
 
 
 def _hashed_documents(spark, folder):
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents"), "doc_id").select(
         F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("doc_id").alias("position"), "lang",
         content_hash(F.col("text")).alias("content_hash"),
     )

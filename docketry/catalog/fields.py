@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docketry.catalog import query
-from docketry.catalog.data import table
+from docketry.catalog.data import spread, table
 from docketry.functions import ids, text as T
 from docketry.functions.dates import registry_date
 from docketry.operators.verification import public_url, title_key
@@ -28,7 +28,7 @@ b AS (SELECT doc_id, regexp_replace(regexp_replace(x, '[○ㅇ]{{2,}}', '[당사
 SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(x, ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'))) AS body
 FROM b""")
 def normalize_body(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.sha2(T.clean_body(_planted()), 256).alias("body"))
+    return spread(table(spark, folder, "documents"), "doc_id").select("doc_id", F.sha2(T.clean_body(_planted()), 256).alias("body"))
 
 
 @query("extract_amendments", rf"""
@@ -36,7 +36,7 @@ SELECT doc_id, CAST(len(regexp_extract_all(x, '<개정[^>]*>')) AS INTEGER) AS n
 FROM (SELECT doc_id, {_PLANTED} AS x FROM documents)""")
 def extract_amendments(spark, folder):
     notes = T.amendments_in(_planted())
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents"), "doc_id").select(
         "doc_id", F.size(notes).alias("notes"), F.coalesce(F.get(notes, F.lit(0)), F.lit("")).alias("first_note")
     )
 
@@ -46,7 +46,7 @@ WITH p AS (SELECT doc_id, regexp_replace({_PLANTED}, '<개정[^>]*>', '', 'g') A
 SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(
   replace(replace(x, '①', '①(1) '), '②', '②(2) '), '[ \t]+', ' ', 'g'), '[ \t]+\n', chr(10), 'g'))) AS body FROM p""")
 def annotate_numerals(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", F.sha2(T.clean_ordinance(T.nfc(_planted())), 256).alias("body"))
+    return spread(table(spark, folder, "documents"), "doc_id").select("doc_id", F.sha2(T.clean_ordinance(T.nfc(_planted())), 256).alias("body"))
 
 
 @query("mask_parties", r"""
@@ -54,7 +54,7 @@ SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(replace(replace(text, '
   '[○◯⊙]{2,}|[△▲]{2,}|[□■]{3,}|[☆★]{2,}|[×✕]{3,}', '[당사자]', 'g'), '[ \t]{2,}', ' ', 'g'))) AS body FROM documents""")
 def mask_parties(spark, folder):
     x = F.replace(F.replace(F.col("text"), F.lit(" et "), F.lit(" △△ ")), F.lit(" und "), F.lit(" ××× "))
-    return table(spark, folder, "documents").select("doc_id", F.sha2(T.clean_case(T.nfc(x)), 256).alias("body"))
+    return spread(table(spark, folder, "documents"), "doc_id").select("doc_id", F.sha2(T.clean_case(T.nfc(x)), 256).alias("body"))
 
 
 @query("shorten_text", """
@@ -67,7 +67,7 @@ def shorten_text(spark, folder):
 def content_hash(spark, folder):
     # Decomposed on the way in: the hash must not notice.
     decomposed = F.replace(F.col("text"), F.lit("é"), F.lit("é"))
-    return table(spark, folder, "documents").select("doc_id", T.content_hash(F.concat(F.lit(" \n"), decomposed, F.lit("\t "))).alias("content_hash"))
+    return spread(table(spark, folder, "documents"), "doc_id").select("doc_id", T.content_hash(F.concat(F.lit(" \n"), decomposed, F.lit("\t "))).alias("content_hash"))
 
 
 @query("record_ids", """
@@ -132,7 +132,7 @@ def registry_dates(spark, folder):
 SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS title_key, sha256(regexp_replace(text, '\s+', '', 'g')) AS case_key
 FROM documents""")
 def match_keys(spark, folder):
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents"), "doc_id").select(
         "doc_id", F.sha2(title_key(F.col("text")), 256).alias("title_key"), F.sha2(ids.case_key(F.col("text")), 256).alias("case_key")
     )
 

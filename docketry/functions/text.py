@@ -21,6 +21,7 @@ from docketry.functions.binding import let
 # Characters counted as whitespace when trimming.
 WHITESPACE = "".join(chr(cp) for cp in range(0x3001) if chr(cp).isspace())
 _WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_WS_NO_SPACE = _WS.replace(r"\x1c-\x20", r"\x1c-\x1f")
 _LINE_WS = r"[\t\x20\x1f\x{a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
 _LINE_BREAKS = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
@@ -47,8 +48,8 @@ def blank_to_null(col: Column) -> Column:
 
 def squeeze(col: Column) -> Column:
     """Whitespace runs become one space; ends trimmed."""
-    others = [c for c in WHITESPACE if c != " "]
-    return strip(_step(col, lambda x: _holds(x, "  ", *others), lambda x: F.regexp_replace(x, _WS + "+", " ")))
+    uneven = f"{_WS}{{2,}}|{_WS_NO_SPACE}"
+    return strip(_step(col, lambda x: x.rlike(uneven), lambda x: F.regexp_replace(x, _WS + "+", " ")))
 
 
 def drop_whitespace(col: Column) -> Column:

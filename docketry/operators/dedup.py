@@ -29,7 +29,7 @@ def keep_best_revision(df: DataFrame, key: str, serial: str, grade: str, text_le
     appeared as ``first_seen``.
     """
     digits = F.regexp_replace(F.coalesce(F.col(serial).cast("string"), F.lit("")), r"(?U)\D", "")
-    number = F.coalesce(digits.cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
+    number = F.coalesce(digits.try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
     best = keep_first(
         df, key,
         [number.desc(), F.when(F.col(grade) == "A", 1).otherwise(0).desc(), F.col(text_length).desc(), F.col(order).asc()],

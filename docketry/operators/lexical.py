@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.text import words
-from docketry.operators.joins import fits_broadcast
 from docketry.operators.ranking import keep_best
+from docketry.settings import DEFAULTS
 
 # Words too broad to be useful as prefix terms.
 STOPWORDS = (
@@ -59,30 +59,31 @@ def build_index(corpus: DataFrame, key: str, title: str | None, body: str) -> Le
     return LexicalIndex(rows, totals, key)
 
 
-def _prefix_hits(tokens: DataFrame, prefixes: DataFrame, small: bool) -> DataFrame:
+def _terms(queries: DataFrame, query_id: str, text: str) -> tuple[DataFrame, bool, int]:
+    """Prefix terms per query, whether they are few enough to broadcast, and the longest one."""
+    terms = queries.select(query_id, F.explode(prefix_terms(F.lower(F.col(text)))).alias("prefix")) \
+        .groupBy(query_id, "prefix").agg(F.count(F.lit(1)).alias("repeats"))
+    size = terms.agg(
+        F.coalesce(F.sum(F.octet_length("prefix") + 32), F.lit(0)).alias("bytes"),
+        F.coalesce(F.max(F.length("prefix")), F.lit(0)).alias("longest"),
+    ).first()
+    return terms, size["bytes"] <= DEFAULTS.broadcast_bytes, size["longest"]
+
+
+def _prefix_hits(tokens: DataFrame, prefixes: DataFrame, small: bool, longest: int) -> DataFrame:
     """Join tokens to the query prefixes they start with.
 
-    Normally a broadcast hash join on the first two letters with a start-of-word
-    test on top. A prefix set too large to send to every executor is matched by a
-    shuffle join on the exact prefix instead: each token offers its leading parts
-    in the lengths that occur.
+    Each token offers its leading parts and an equality join keeps those that are
+    query prefixes, so the cost per token is its length, however many prefixes
+    there are.
     """
-    if small:
-        keyed = prefixes.withColumn("_lead", F.substring("prefix", 1, MIN_PREFIX))
-        return (
-            tokens.withColumn("_lead", F.substring("word", 1, MIN_PREFIX))
-            .join(F.broadcast(keyed), "_lead")
-            .where(F.startswith(F.col("word"), F.col("prefix")))
-            .drop("_lead")
-        )
-    # Few distinct lengths exist (a word is short), so this list is small.
-    lengths = [r[0] for r in prefixes.select(F.length("prefix")).distinct().orderBy(F.length("prefix")).collect()]
-    parts = F.filter(
-        F.transform(F.array(*[F.lit(n) for n in lengths]),
-                    lambda n: F.when(F.length("word") >= n, F.substring(F.col("word"), F.lit(1), n))),
-        lambda p: p.isNotNull(),
+    parts = (
+        tokens.where(F.length("word") >= MIN_PREFIX)
+        .withColumn("_n", F.explode(F.sequence(F.lit(MIN_PREFIX), F.least(F.length("word"), F.lit(max(longest, MIN_PREFIX))))))
+        .withColumn("prefix", F.substring(F.col("word"), F.lit(1), F.col("_n")))
+        .drop("word", "_n")
     )
-    return tokens.withColumn("prefix", F.explode(parts)).join(prefixes, "prefix")
+    return parts.join(F.broadcast(prefixes) if small else prefixes, "prefix")
 
 
 def bm25(index: LexicalIndex, queries: DataFrame, query_id: str, text: str) -> DataFrame:
@@ -91,19 +92,19 @@ def bm25(index: LexicalIndex, queries: DataFrame, query_id: str, text: str) -> D
     Returns ``query_id, <key>, score`` (higher is better).
     """
     key = index.key
-    terms = queries.select(query_id, F.explode(prefix_terms(F.lower(F.col(text)))).alias("prefix")) \
-        .groupBy(query_id, "prefix").agg(F.count(F.lit(1)).alias("repeats"))
+    terms, small, longest = _terms(queries, query_id, text)
     prefixes = terms.select("prefix").distinct()
-    small = fits_broadcast(terms)
-
     tagged = F.concat(
         F.transform("title_words", lambda w: F.struct(w.alias("word"), F.lit(TITLE_WEIGHT).alias("w"))),
         F.transform("body_words", lambda w: F.struct(w.alias("word"), F.lit(BODY_WEIGHT).alias("w"))),
     )
     # The outer form keeps the tokeniser from running twice (see binding.once).
     tokens = index.rows.select(key, "n_words", F.inline_outer(tagged))
+    # Placed by row key alone, so that the sums per prefix, the sums per query and the
+    # best rows of a task all follow without moving (query, row) pairs again.
     hits = (
-        _prefix_hits(tokens, prefixes, small)
+        _prefix_hits(tokens, prefixes, small, longest)
+        .repartition(key)
         .groupBy(key, "prefix")
         .agg(F.sum("w").alias("freq"), F.first("n_words").alias("n_words"))
     )

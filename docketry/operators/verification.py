@@ -1,6 +1,10 @@
 """Citation verification against the corpus and a registry of laws and cases.
 
 The registry tables stand for a remote service: what it listed, loaded as data.
+
+Citations are joined to one row per title or case. A title that holds a large share
+of the citations makes the citation side uneven; adaptive execution splits that
+side at run time, which costs no extra pass.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from docketry.functions.dates import in_force_if_known, registry_date
 from docketry.functions.ids import article_key, case_key, mentions_article, registry_article
 from docketry.functions.text import blank_to_null, nfc, squeeze, strip
 from docketry.operators.dedup import keep_first
-from docketry.operators.joins import salted_join, substring_matches
+from docketry.operators.joins import substring_matches
 
 IN_FORCE = "현행"
 
@@ -51,26 +55,28 @@ def in_corpus(classified: DataFrame, parents: DataFrame, order: str = "position"
     A statute is the first parent of that exact title; a cited article must occur
     in its text. A precedent needs a parent that carries the case number.
     """
-    grade = F.when(F.coalesce("trust_grade", F.lit("A")) == "B", "B").when(F.coalesce("full_text", F.lit("")) != "", "A").otherwise("B")
-    titled = parents.withColumn("k", title_key(F.col("title")))
-    facts = lambda df: df.select(
-        "k", order, grade.alias("db_grade"), F.col("source_url").alias("db_url"),
-        F.col("effective_from").alias("db_effective"), F.coalesce("full_text", F.lit("")).alias("_text"),
-    )
-    by_title = keep_first(facts(titled), "k", [order])
-    statutes = salted_join(
-        classified.where(F.col("kind") == "statute").withColumnRenamed("title", "k"), by_title, "k", spread_on=["citation_id"]
-    ).where(F.col("key").isNull() | mentions_article(F.col("_text"), F.col("key")))
-    found = statutes.select("citation_id", "db_grade", "db_url", "db_effective")
+    def first_by(key: Column) -> DataFrame:
+        """Narrow index: the first parent per key. Texts are not read here."""
+        keyed = parents.select(key.alias("k"), order, "parent_id").where(F.col("k") != "")
+        return keep_first(keyed, "k", [order]).drop(order)
+
+    statutes = classified.where(F.col("kind") == "statute").select("citation_id", F.col("title").alias("k"), "key")
+    cited = statutes.join(first_by(title_key(F.col("title"))), "k")
     if "case_no" in parents.columns:
-        numbered = parents.withColumn("k", case_key(F.col("case_no"))).where(F.col("k") != "")
-        cases = salted_join(
-            classified.where(F.col("kind") == "precedent").withColumnRenamed("case_key", "k"),
-            keep_first(facts(numbered), "k", [order]), "k", spread_on=["citation_id"],
-        )
-        found = found.unionByName(
-            cases.select("citation_id", "db_grade", "db_url", "db_effective")
+        cases = classified.where(F.col("kind") == "precedent").select(
+            "citation_id", F.col("case_key").alias("k"), F.lit(None).cast("string").alias("key")
         )
+        cited = cited.unionByName(cases.join(first_by(case_key(F.col("case_no"))), "k"))
+
+    # One test per parent and article, however often the pair is cited.
+    pairs = cited.select("parent_id", "key").distinct()
+    text = F.coalesce("full_text", F.lit(""))
+    grade = F.when(F.coalesce("trust_grade", F.lit("A")) == "B", "B").when(text != "", "A").otherwise("B")
+    tested = parents.join(pairs, "parent_id").where(F.col("key").isNull() | mentions_article(text, F.col("key"))).select(
+        "parent_id", F.coalesce("key", F.lit("")).alias("_key"), grade.alias("db_grade"),
+        F.col("source_url").alias("db_url"), F.col("effective_from").alias("db_effective"),
+    )
+    found = cited.withColumn("_key", F.coalesce("key", F.lit(""))).join(tested, ["parent_id", "_key"])
     return found.select("citation_id", F.lit(True).alias("db_match"), "db_grade", "db_url", "db_effective")
 
 
@@ -90,7 +96,7 @@ def in_registry(classified: DataFrame, laws: DataFrame, articles: DataFrame, cas
     exact = wanted.join(listed.withColumnRenamed("listed", "title"), "title")
     near = substring_matches(wanted.join(listed.select(F.col("listed").alias("title")), "title", "left_anti"), listed, "title", "listed")
     best = keep_first(exact.unionByName(near.drop("listed")), "title", current_first)
-    rows = salted_join(statutes, best, "title", "left", spread_on=["citation_id"])
+    rows = statutes.join(best, "title", "left")
     units = articles.select(
         "serial", F.coalesce(article_key(F.col("article_no")), strip(F.col("article_no"))).alias("key"),
         F.col("effective").alias("unit_effective"), F.lit(True).alias("has_unit"),

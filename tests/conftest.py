@@ -8,14 +8,17 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from docketry.session import build_session  # noqa: E402
 
 
+# Started on import: column expressions in test modules need a session.
+SESSION = build_session(
+    "docketry-tests", "local[8]",
+    **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
+)
+SESSION.sparkContext.setLogLevel("ERROR")
+
+
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session(
-        "docketry-tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"},
-    )
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
+    return SESSION
 
 
 @pytest.fixture
