@@ -326,4 +326,4 @@ def title_in_text(spark, folder):
     """Containment join: names found inside longer texts, through their rarest letter pair."""
     names = table(spark, folder, "benchmark").select(F.split_part("text", F.lit(" "), F.lit(2)).alias("name")).distinct()
     texts = table(spark, folder, "conversations").select("conv_id", "turn", "text")
-    return substring_matches(names, texts, "name", "text").select("name", "conv_id", "turn")
+    return substring_matches(names, texts, "name", "text", ["conv_id", "turn"]).select("name", "conv_id", "turn")

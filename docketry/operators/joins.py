@@ -64,44 +64,45 @@ def salted_join(
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def _grams(col: Column, size: int) -> Column:
+    """Distinct substrings of ``size`` characters."""
+    count = F.length(col) - size + 1
+    every = F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(col, i, F.lit(size)))
+    return F.when(count > 0, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+
 def substring_matches(
     needles: DataFrame,
     haystack: DataFrame,
     needle: str,
     text: str,
+    key: Sequence[str],
     gram: int = 2,
 ) -> DataFrame:
     """Pairs where ``text`` contains ``needle``, found through an equality join.
 
     Each needle is looked up by its rarest n-gram (by how many texts hold it);
     the containment test then runs on those candidates only. Needles shorter than
-    one gram are looked up by their first character.
+    one gram are looked up by their first character. ``key`` identifies a text: with
+    more needles than may be broadcast only keys and grams are shuffled, and texts
+    are fetched for the candidates.
     """
-    def grams(col: Column, size: int) -> Column:
-        count = F.length(col) - size + 1
-        return F.when(
-            count > 0,
-            F.array_distinct(F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(col, i, F.lit(size)))),
-        ).otherwise(F.array().cast("array<string>"))
-
-    def keys_of(col: Column) -> Column:
-        return F.array_union(grams(col, gram), grams(col, 1))
-
-    needle_grams = F.when(F.length(needle) >= gram, grams(F.col(needle), gram)).otherwise(
-        F.array(F.substring(F.col(needle), 1, 1))
-    )
     wanted = needles.where(F.length(needle) > 0)
-    probes = wanted.select(needle).distinct().select(needle, F.explode(needle_grams).alias("_gram"))
-    held = haystack.withColumn("_gram", F.explode(keys_of(F.col(text))))
-    spread = held.groupBy("_gram").agg(F.count(F.lit(1)).alias("_texts"))
-    rarest = (
-        probes.join(spread, "_gram")
-        .groupBy(needle)
-        .agg(F.min_by("_gram", F.struct("_texts", "_gram")).alias("_gram"))
-    )
-    return (
-        wanted.join(rarest, needle)
-        .join(held, "_gram")
-        .where(F.contains(F.col(text), F.col(needle)))
-        .drop("_gram")
+    own = F.when(F.length(needle) >= gram, _grams(F.col(needle), gram)).otherwise(F.array(F.substring(F.col(needle), 1, 1)))
+    small = fits_broadcast(wanted)
+    hint = F.broadcast if small else (lambda df: df)
+    probes = wanted.select(needle).distinct().select(needle, F.explode(own).alias("_gram"))
+    grams = F.explode(F.array_union(_grams(F.col(text), gram), _grams(F.col(text), 1))).alias("_gram")
+    spread = (
+        haystack.select(grams)
+        .join(hint(probes.select("_gram").distinct()), "_gram", "left_semi")
+        .groupBy("_gram").agg(F.count(F.lit(1)).alias("_texts"))
     )
+    rarest = probes.join(spread, "_gram").groupBy(needle).agg(F.min_by("_gram", F.struct("_texts", "_gram")).alias("_gram"))
+    probe = wanted.join(rarest, needle)
+    if small:
+        pairs = haystack.select("*", grams).join(F.broadcast(probe), "_gram")
+    else:
+        candidates = haystack.select(*key, grams).join(probe, "_gram").drop("_gram")
+        pairs = candidates.join(haystack, list(key)).withColumn("_gram", F.lit(None).cast("string"))
+    return pairs.where(F.contains(F.col(text), F.col(needle))).drop("_gram")

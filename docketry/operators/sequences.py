@@ -96,40 +96,32 @@ def greedy_batches(df: DataFrame, order: str, size: str, max_items: int, max_siz
                 batches[i] = 1 + batches[nxt[i]]
         width = min(max_items, n)
         return pd.DataFrame({
-            "rng": [pdf["rng"].iloc[0]], "n": [n], "total": [int(prefix[-1])],
-            "prefix": [prefix[: width + 1].tolist()],
-            "tail_items": [(n - last[:width]).tolist()],
-            "tail_size": [(prefix[-1] - prefix[last[:width]]).tolist()],
-            "batches": [batches[:width].tolist()],
+            "rng": pdf["rng"].iloc[0], "at": np.arange(width), "n": n, "total": int(prefix[-1]), "upto": prefix[1:width + 1],
+            "tail_items": n - last[:width], "tail_size": prefix[-1] - prefix[last[:width]], "batches": batches[:width],
         })
 
     digests = rows.groupBy("rng").applyInPandas(
-        digest,
-        "rng long, n long, total long, prefix array<long>, tail_items array<long>, tail_size array<long>, batches array<long>",
+        digest, "rng long, at long, n long, total long, upto long, tail_items long, tail_size long, batches long"
     )
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = size_so_far = 0
-        batch = -1
+        items = held = 0
+        batch, current, settled, skipped = -1, None, True, (0, 0)
         for pdf in frames:
             out = []
             for r in pdf.itertuples(index=False):
-                out.append((r.rng, items, size_so_far, batch))
-                prefix = np.asarray(r.prefix)
-                if batch < 0:
-                    at, batch = 0, 0
-                else:
-                    at = _first_break(prefix, items, size_so_far, max_items, max_size)
-                    if at >= r.n:
-                        items, size_so_far = items + r.n, size_so_far + r.total
-                        continue
-                    batch += 1
-                batch += int(r.batches[at])
-                items, size_so_far = int(r.tail_items[at]), int(r.tail_size[at])
+                if r.rng != current:
+                    if not settled:  # the open batch swallowed the whole range before
+                        items, held = items + skipped[0], held + skipped[1]
+                    out.append((r.rng, items, held, batch))
+                    current, settled, skipped = r.rng, False, (r.n, r.total)
+                if not settled and (batch < 0 or items + r.at + 1 > max_items or held + r.upto > max_size):
+                    batch += 1 + r.batches
+                    items, held, settled = r.tail_items, r.tail_size, True
             yield pd.DataFrame(out, columns=["rng", "items", "held", "batch"])
 
-    # The digests are a small fraction of the rows and stream through in order.
-    states = digests.coalesce(1).sortWithinPartitions("rng").mapInPandas(
+    # The digests are a small fraction of the rows; they stream through one task in order.
+    states = digests.repartition(1).sortWithinPartitions("rng", "at").mapInPandas(
         fold, "rng long, items long, held long, batch long"
     )
 

@@ -94,7 +94,7 @@ def in_registry(classified: DataFrame, laws: DataFrame, articles: DataFrame, cas
     current_first = [F.when(F.col("status") == IN_FORCE, 0).otherwise(1), F.col("position")]
     wanted = statutes.select("title").distinct()
     exact = wanted.join(listed.withColumnRenamed("listed", "title"), "title")
-    near = substring_matches(wanted.join(listed.select(F.col("listed").alias("title")), "title", "left_anti"), listed, "title", "listed")
+    near = substring_matches(wanted.join(listed.select(F.col("listed").alias("title")), "title", "left_anti"), listed, "title", "listed", ["position"])
     best = keep_first(exact.unionByName(near.drop("listed")), "title", current_first)
     rows = statutes.join(best, "title", "left")
     units = articles.select(

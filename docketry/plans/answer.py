@@ -13,6 +13,7 @@ from docketry.functions.text import shorten, strip
 from docketry.operators.dedup import keep_first
 from docketry.operators.ranking import keep_best
 from docketry.plans.search import Corpus, search
+from docketry.session import stage
 from docketry.settings import DEFAULTS
 
 # Wording of the context blocks and of the gate answers.
@@ -31,6 +32,7 @@ def ensure_statutes(corpus: Corpus, queries: DataFrame, hits: DataFrame, where:
     """
     if where and "doc_type" in where:
         return hits
+    hits = stage(hits, "hits")
     held = hits.groupBy("query_id").agg(
         F.count_if(F.col("doc_type").isin(*STATUTE_TYPES)).alias("n_law"), F.max("rank").alias("last_rank")
     ).where(F.col("n_law") < 2)

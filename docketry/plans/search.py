@@ -17,6 +17,7 @@ from docketry.operators.filters import looks_like_citation, metadata_filter
 from docketry.operators.fusion import law_first, rrf
 from docketry.operators.lexical import build_index, bm25_top
 from docketry.operators.ranking import keep_best, nearest, page
+from docketry.session import stage
 from docketry.settings import DEFAULT_LICENSE, DEFAULTS, Settings
 
 # Everyday words and the statutory term searched along with them.
@@ -109,7 +110,8 @@ def search(
         n = k * settings.overfetch if late is not None else k
         small = is_small(queries, n)
         candidates = nearest(searched, queries.select("query_id", "vector"), n, key)
-    hits = lookup(candidates, payload, key, small)
+    # A few rows per query, read twice below: staged so that the corpus is ranked once.
+    hits = lookup(stage(candidates, "candidates"), payload, key, small)
     if late is not None:
         hits = hits.where(late)
     if hybrid or late is not None:
@@ -125,10 +127,10 @@ def hybrid_ranks(corpus: Corpus, queries: DataFrame, n: int, settings: Settings
     statutes first.
     """
     key, rows = corpus.key, corpus.rows
-    dense = nearest(rows, queries.select("query_id", "vector"), n, key)
+    dense = stage(nearest(rows, queries.select("query_id", "vector"), n, key), "dense")
     wanted = looks_like_citation(F.col("text")) if lexical_when is None else lexical_when
     index = build_index(rows, key, corpus.title, corpus.body)
-    lexical = bm25_top(index, queries.where(wanted), "query_id", "text", n)
+    lexical = stage(bm25_top(index, queries.where(wanted), "query_id", "text", n), "lexical")
     typed = lookup(lexical.drop("score"), rows.select(key, "doc_type"), key, small)
     fused = rrf(dense, law_first(typed, "query_id"), "query_id", key, settings.rrf_k0, settings.rrf_lexical_weight)
     # Rows found only by words get their true dense score.

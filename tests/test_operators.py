@@ -150,14 +150,16 @@ def test_salted_join_with_one_dominant_key(spark):
     assert [r.key for r in joins.heavy_keys(many, "key", 0.2).collect()] == ["hot"]
 
 
-def test_substring_matches_equal_nested_loop(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_substring_matches_equal_nested_loop(spark, monkeypatch, small):
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df: small)
     rng = random.Random(5)
     word = lambda n: "".join(rng.choice("가나다라") for _ in range(n))
     needles = sorted({word(rng.randint(1, 4)) for _ in range(25)})
     texts = [word(rng.randint(0, 12)) for _ in range(40)]
     a = spark.createDataFrame([(n,) for n in needles], "n string")
     b = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
-    got = {(r.n, r.i) for r in joins.substring_matches(a, b, "n", "t").collect()}
+    got = {(r.n, r.i) for r in joins.substring_matches(a, b, "n", "t", ["i"]).collect()}
     assert got == {(n, i) for n in needles for i, t in enumerate(texts) if n in t}
 
 
