@@ -11,7 +11,8 @@ from docketry.catalog.data import (
 from docketry.operators import chunking, evaluation, verification
 from docketry.operators.lexical import build_index, bm25_top
 from docketry.plans import answer, review
-from docketry.plans.search import lookup, search
+from docketry.plans.search import is_small, lookup, search
+from docketry.session import stage
 
 TODAY = "2024-01-15"
 
@@ -127,8 +128,8 @@ def _golden_results(spark, folder):
         F.when(F.col("doc_type") == "precedent", "절1").otherwise("제1조").alias("article_no"),
     )
     queries = table(spark, folder, "benchmark").withColumnRenamed("item_id", "query_id")
-    ranked = bm25_top(build_index(docs, "doc", "title", "text"), queries, "query_id", "text", 8)
-    return lookup(ranked, docs, "doc")
+    ranked = stage(bm25_top(build_index(docs, "doc", "title", "text"), queries, "query_id", "text", 8), "ranked")
+    return lookup(ranked, docs, "doc", is_small(queries, 8))
 
 
 _SCORED_SQL = f"""

@@ -83,7 +83,7 @@ def nearest(
     and ties broken by id.
     """
     spark = corpus.sparkSession
-    slim = corpus.select(id_col, vector)
+    slim = corpus.where(F.col(vector).isNotNull()).select(id_col, vector)
     id_type = slim.schema[id_col].dataType
     query_type = queries.schema[query_id].dataType
     schema = StructType(
