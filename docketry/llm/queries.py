@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docketry.catalog import Entry
-from docketry.llm import exact_dedup, quality_rules
+from docketry.llm import bpe, exact_dedup, mixing, quality_rules, url_filter
 
 ENTRIES: dict[str, Entry] = {}
 
@@ -89,3 +91,44 @@ WINDOW w AS (PARTITION BY body)
 """)
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, folder, "documents"))
+
+
+@entry("op4_mix_sources")
+def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.taken_words(table(spark, folder, "documents"))
+
+
+#: Block and allow rules of the url query.
+URL_RULES = (
+    url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/"),
+)
+
+
+@entry("op5_url_filter", r"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages
+), parsed AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut
+), judged AS (
+  SELECT page_id, host, path, (
+    SELECT max_by(r, strlen(r.host || r.path)) FROM (VALUES
+      ({'verdict': 'block', 'host': 'net', 'path': '/'}), ({'verdict': 'allow', 'host': 'example.net', 'path': '/en/'}),
+      ({'verdict': 'block', 'host': 'example.com', 'path': '/de/'}), ({'verdict': 'allow', 'host': 'org', 'path': '/fr/'})) t(r)
+    WHERE (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+  ) AS best FROM parsed p
+)
+SELECT page_id, host, path, best.host || best.path AS rule, coalesce(best.verdict, 'allow') AS verdict FROM judged
+""")
+def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.url_filter(table(spark, folder, "pages"), URL_RULES)
+
+
+@entry("op8_bpe")
+def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    made = bpe.encode_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return made.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
