@@ -221,4 +221,5 @@ def passing(
     counted = stage(measures(docs, id_col, text_col, carry), "quality-counts")
     scored = with_scores(counted.select("carried.*", *[c for c in counted.columns if c != "carried"]))
     kept = judge(scored, certified_cutoffs(scored, labels, risk)).where("kept").select(F.col("at").alias("_kept_at"))
-    return docs.withColumn("_at", at).join(kept, F.col("_at") == F.col("_kept_at"), "left_semi").drop("_at")
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), at.alias("at"))
+    return marked.join(kept, F.col("at") == F.col("_kept_at"), "left_semi").select("row.*")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.catalog import Entry
-from docketry.llm import bpe, exact_dedup, mixing, quality_rules, url_filter
+from docketry.llm import bpe, exact_dedup, minhash, mixing, quality_rules, url_filter
 
 ENTRIES: dict[str, Entry] = {}
 
@@ -125,6 +125,12 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.url_filter(table(spark, folder, "pages"), URL_RULES)
 
 
+@entry("op6_minhash_dedup")
+def op6_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    groups = minhash.near_groups(table(spark, folder, "documents"), minhash.Near(words=3, percent=85))
+    return groups.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 @entry("op8_bpe")
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     made = bpe.encode_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
