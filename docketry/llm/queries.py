@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.catalog import Entry
-from docketry.llm import bpe, exact_dedup, minhash, mixing, quality_rules, repeats, url_filter
+from docketry.llm import bpe, exact_dedup, html_text, minhash, mixing, quality_rules, repeats, url_filter
 
 ENTRIES: dict[str, Entry] = {}
 
@@ -137,6 +137,11 @@ def op6_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+@entry("op7_html_text")
+def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_text(table(spark, folder, "pages"))
+
+
 @entry("op8_bpe")
 def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     made = bpe.encode_documents(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
