@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.catalog import Entry
-from docketry.llm import bpe, exact_dedup, html_text, minhash, mixing, quality_rules, repeats, url_filter
+from docketry.llm import bpe, exact_dedup, html_text, licenses, minhash, mixing, ordinal, quality_rules, repeats, url_filter
 
 ENTRIES: dict[str, Entry] = {}
 
@@ -149,3 +149,21 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@entry("op9_ordinal_quality")
+def op9_ordinal_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2)
+    graded = table(spark, folder, "labels").select("doc_id", grade.alias("grade"))
+    return ordinal.score(docs, ordinal.train(docs, graded))
+
+
+@entry("op10_license_scan")
+def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, folder, "documents"))
+    best = F.get("matches", F.lit(0))
+    return found.select(
+        "doc_id", best["license"].alias("license"), best["coverage"].alias("coverage"), best["start"].alias("start"), best["stop"].alias("stop"),
+        F.array_join(F.transform("matches", lambda m: m["license"]), ",").alias("licenses"),
+    )

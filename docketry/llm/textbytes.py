@@ -13,6 +13,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+TOKEN = np.zeros(256, bool)
+TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _RANDOM = np.random.default_rng(20240501)
 _TABLE = _RANDOM.integers(0, 1 << 64, 256, np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -56,19 +58,27 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_bounds(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and for each row (and the end) its first word."""
-    inside = ~SPACE[data]
+def _bounds(inside: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     before, after = np.empty_like(inside), np.empty_like(inside)
-    if len(data):
+    if len(inside):
         before[0], before[1:] = False, inside[:-1]
         after[-1], after[:-1] = False, inside[1:]
-        before[ends[:-1][ends[:-1] < len(data)]] = False
+        before[ends[:-1][ends[:-1] < len(inside)]] = False
         after[ends[1:][ends[1:] > 0] - 1] = False
     starts, stops = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
     return starts, stops, np.searchsorted(starts, ends)
 
 
+def word_bounds(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and for each row (and the end) its first word."""
+    return _bounds(~SPACE[data], ends)
+
+
+def token_bounds(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes with A-Z lower-cased, and the bounds of runs of letters and digits (every byte beyond ASCII counts)."""
+    return LOWER[data], *_bounds(TOKEN[data], ends)
+
+
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Sums modulo 2**64 of the bytes' random numbers times powers of a base."""
     sums = np.empty(len(data) + 1, np.uint64)
