@@ -32,6 +32,6 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> dict[str, Entry]:
-    from docketry.catalog import answers, build, fields, metering, parsing, retrieval  # noqa: F401
+    from docketry.catalog import answers, build, fields, metering, parsing, retrieval, whole  # noqa: F401
 
     return REGISTRY

@@ -19,6 +19,14 @@ TODAY = "2024-01-15"
 
 # --- citations of an answer ---------------------------------------------------
 
+def _whole_conversations(spark, folder):
+    """All turns of each conversation as one text."""
+    ordered = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    return table(spark, folder, "conversations").groupBy(F.col("conv_id").alias("query_id")).agg(
+        F.array_join(F.transform(ordered, lambda t: t["text"]), "\n").alias("text")
+    )
+
+
 def _conversation_blocks(spark, folder):
     """Turns as numbered context blocks of their conversation."""
     k = F.col("conv_id") * 31 + F.col("turn")
@@ -82,15 +90,15 @@ def trust_aggregate(spark, folder):
 @query("citation_markers", rf"""
 WITH {_BLOCKS_SQL}, marks AS (
   SELECT conv_id AS query_id, unnest(regexp_extract_all(x, '\[(\d{{1,3}})\]', 1)) AS m, unnest(range(len(regexp_extract_all(x, '\[(\d{{1,3}})\]', 1)))) AS pos
-  FROM (SELECT conv_id, replace(replace(text, '. ', ' [2]. [11] '), ',', ' [1],[3][2]') AS x FROM conversations WHERE turn = 0)),
+  FROM (SELECT conv_id, replace(replace(string_agg(text, chr(10) ORDER BY turn), '. ', ' [2]. [11] '), ',', ' [1],[3][2]') AS x FROM conversations GROUP BY conv_id)),
 firsts AS (SELECT query_id, CAST(m AS INTEGER) AS n, min(pos) AS pos FROM marks GROUP BY query_id, m),
 numbered AS (SELECT query_id, n, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1 AS INTEGER) AS ordinal FROM firsts)
 SELECT x.query_id, x.ordinal, b.source_id FROM numbered x JOIN blocks b ON b.query_id = x.query_id AND b.rank = x.n""")
 def citation_markers(spark, folder):
-    """Cited blocks recovered from the ``[n]`` marks of each conversation's opening text."""
-    opening = table(spark, folder, "conversations").where("turn = 0")
+    """Cited blocks recovered from the ``[n]`` marks of each whole conversation."""
+    opening = _whole_conversations(spark, folder)
     planted = F.replace(F.replace(F.col("text"), F.lit(". "), F.lit(" [2]. [11] ")), F.lit(","), F.lit(" [1],[3][2]"))
-    answers = opening.select(F.col("conv_id").alias("query_id"), planted.alias("answer"))
+    answers = opening.select("query_id", planted.alias("answer"))
     return answer.cited_blocks(answers, _conversation_blocks(spark, folder)).drop("location")
 
 
@@ -98,12 +106,11 @@ def citation_markers(spark, folder):
 WITH {_BLOCKS_SQL}, {_CITED_SQL}, named AS (SELECT * FROM cited WHERE source_id IS NOT NULL AND query_id % 3 <> 0),
 audit AS (SELECT n.query_id, count(*) AS n, count(*) FILTER (WHERE b.source_id IS NULL) AS bad
   FROM named n LEFT JOIN blocks b ON b.query_id = n.query_id AND b.source_id = n.source_id GROUP BY n.query_id),
-a AS (SELECT conv_id AS query_id, contains(replace(text, 'th', '근거 불충분'), '근거 불충분') AS declared FROM conversations WHERE turn = 0)
+a AS (SELECT conv_id AS query_id, bool_or(contains(replace(text, 'stan', '근거 불충분'), '근거 불충분')) AS declared FROM conversations GROUP BY conv_id)
 SELECT a.query_id, coalesce(n, 0) AS n_citations, coalesce(bad, 0) = 0 AS citation_ok, coalesce(n, 0) > 0 OR declared AS grounded
 FROM a LEFT JOIN audit ON audit.query_id = a.query_id""")
 def grounding_audit(spark, folder):
-    opening = table(spark, folder, "conversations").where("turn = 0")
-    answers = opening.select(F.col("conv_id").alias("query_id"), F.replace(F.col("text"), F.lit("th"), F.lit("근거 불충분")).alias("answer"))
+    answers = _whole_conversations(spark, folder).select("query_id", F.replace(F.col("text"), F.lit("stan"), F.lit("근거 불충분")).alias("answer"))
     cited = _conversation_citations(spark, folder).where("source_id IS NOT NULL AND query_id % 3 <> 0")
     shown = _conversation_blocks(spark, folder).select("query_id", F.col("chunk_id").alias("source_id"))
     return evaluation.score_answers(answers, cited, shown)
@@ -260,7 +267,7 @@ def verify_citations_offline(spark, folder):
 
 @query("review_claims", """
 SELECT conv_id AS review_id, turn AS ordinal, CAST(n AS INTEGER) AS claim_no, trim(text) || ' 광고 표시 부당한 표시·광고 금지 위반 효능 과장' AS claim_query FROM (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE trim(text) <> '') WHERE n <= 24""")
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE trim(text) <> '')""")
 def review_claims(spark, folder):
     claims = table(spark, folder, "conversations").select(F.col("conv_id").alias("review_id"), F.col("turn").alias("ordinal"), "text")
     return review.usable_claims(claims).select("review_id", "ordinal", "claim_no", review.claim_query(F.col("text")).alias("claim_query"))
@@ -274,7 +281,7 @@ found AS (
   UNION ALL SELECT query_id, vec_id, rank, 1 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 2),
 firsts AS (SELECT *, row_number() OVER (PARTITION BY query_id % 2, vec_id ORDER BY query_id, pass, rank) AS n FROM found)
 SELECT CAST(query_id % 2 AS INTEGER) AS review_id, CAST(row_number() OVER (PARTITION BY query_id % 2 ORDER BY query_id, pass, rank) AS INTEGER) AS rank, vec_id
-FROM firsts WHERE n = 1 QUALIFY row_number() OVER (PARTITION BY query_id % 2 ORDER BY query_id, pass, rank) <= 24""")
+FROM firsts WHERE n = 1""")
 def review_context(spark, folder):
     claims = label_queries(spark, folder).withColumn("review_id", F.col("query_id") % 2).withColumn("claim_no", F.col("query_id"))
     return review.retrieve(corpus(spark, folder), claims).select("review_id", "rank", "vec_id")
@@ -284,13 +291,13 @@ def _issues(spark, folder):
     turn = F.col("turn")
     verdict = F.element_at(F.array(*[F.lit(v) for v in ("위반", "위반소지", "주의", "적정", "unknown")]), (turn % 5 + 1).cast("int"))
     return table(spark, folder, "conversations").select(
-        F.col("conv_id").alias("review_id"), turn.alias("issue_no"), F.concat(F.lit(" "), F.substring("text", 1, 40), F.lit(" ")).alias("claim"),
+        F.col("conv_id").alias("review_id"), turn.alias("issue_no"), F.concat(F.lit(" "), "text", F.lit(" ")).alias("claim"),
         verdict.alias("verdict"), F.when(turn % 2 == 0, "high").otherwise("severe").alias("severity"),
     )
 
 
 _ISSUES_SQL = """
-issues AS (SELECT conv_id AS review_id, turn AS issue_no, trim(substr(text, 1, 40), ' ' || chr(10)) AS claim,
+issues AS (SELECT conv_id AS review_id, turn AS issue_no, trim(text, ' ' || chr(10)) AS claim,
   CASE turn % 5 WHEN 0 THEN '위반' WHEN 1 THEN '위반소지' WHEN 2 THEN '주의' WHEN 3 THEN '적정' ELSE '확인필요' END AS verdict,
   CASE WHEN turn % 2 = 0 THEN 'high' ELSE 'none' END AS severity FROM conversations)"""
 
@@ -300,12 +307,16 @@ def review_issues(spark, folder):
     return review.by_severity(review.coerce_issues(_issues(spark, folder)))
 
 
-@query("review_residue", f"""WITH {_ISSUES_SQL}, kept AS (SELECT conv_id, text FROM conversations WHERE turn = 0)
+@query("review_residue", f"""WITH {_ISSUES_SQL}, kept AS (
+  SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations WHERE turn % 2 = 0 GROUP BY conv_id)
 SELECT review_id, issue_no FROM issues JOIN kept ON conv_id = review_id
-WHERE verdict IN ('위반', '위반소지') AND length(claim) >= 3 AND contains(text, claim)""")
+WHERE verdict IN ('위반', '위반소지') AND claim <> '' AND contains(text, claim)""")
 def review_residue(spark, folder):
-    """Violations still standing in the rewrite; the opening text plays the rewrite."""
-    rewrites = table(spark, folder, "conversations").where("turn = 0").select(F.col("conv_id").alias("review_id"), F.col("text").alias("corrected_copy"))
+    """Violations still standing in the rewrite; a rewrite has every other turn of its conversation."""
+    turns = F.array_sort(F.collect_list(F.when(F.col("turn") % 2 == 0, F.struct("turn", "text"))))
+    rewrites = table(spark, folder, "conversations").groupBy(F.col("conv_id").alias("review_id")).agg(
+        F.array_join(F.transform(turns, lambda t: t["text"]), "\n").alias("corrected_copy")
+    )
     return review.unresolved(review.coerce_issues(_issues(spark, folder)), rewrites).select("review_id", "issue_no")
 
 
@@ -320,13 +331,12 @@ def review_citations(spark, folder):
     return review.all_citations(cited)
 
 
-@query("review_law_checks", _VERIFY_SQL[:_VERIFY_SQL.index("joined AS")] + """picked AS (
-  SELECT k FROM (SELECT k, row_number() OVER (PARTITION BY k % 20 ORDER BY k) AS n FROM corpus WHERE doc_type <> 'precedent') WHERE n <= 12)
+@query("review_law_checks", _VERIFY_SQL[:_VERIFY_SQL.index("joined AS")] + """picked AS (SELECT k FROM corpus WHERE doc_type <> 'precedent')
 SELECT c.k % 20 AS issue_id, c.k AS ordinal, c.k AS citation_id, c.title, c.doc_type, '제1조' AS location, coalesce(a.url, c.source_url) AS source_url,
   CASE WHEN coalesce(NOT a.m, false) THEN 'B' ELSE c.trust_grade END AS trust_grade, a.m AS api_verified, a.cur AS current
 FROM corpus c LEFT JOIN picked p ON p.k = c.k LEFT JOIN api a ON a.cid = p.k""")
 def review_law_checks(spark, folder):
-    """Registry verdicts carried onto the first statutes of each issue."""
+    """Registry verdicts carried onto all statutes of each issue."""
     docs = documents(spark, folder)
     k = F.col("position")
     citations = docs.select(

@@ -93,9 +93,9 @@ def governance_by_error(spark, folder):
 
 
 @query("governance_first_faults", f"""{_FLAWED_SQL}
-SELECT chunk_id, errors FROM errors WHERE len(errors) > 0 ORDER BY chunk_id LIMIT 200""")
+SELECT chunk_id, errors FROM errors WHERE len(errors) > 0""")
 def governance_first_faults(spark, folder):
-    return governance.first_faults(_flawed_chunks(spark, folder))
+    return governance.faults(_flawed_chunks(spark, folder))
 
 
 @query("doc_dedup_first", f"""

@@ -21,13 +21,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Share a small input out over the cores before heavy per-row work.
+    """Deal rows out by key before heavy per-row work, at every size alike.
 
-    A file with one row group is read by one task. Tables with enough splits, which
-    is every table of real size, are left as they are.
+    The files here have one row group, so one task would read and process them.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(key)
 
 
 def wide_lines(text: str = "text") -> Column:

@@ -55,7 +55,7 @@ def rate_limit_windows(spark, folder):
 
 @query("rate_limit_stream", _RATE_SQL)
 def rate_limit_stream(spark, folder):
-    return jobs.run_to_table(jobs.rate_windows(_stream(spark, folder), "path", "ts", F.lit(1)), "rate")
+    return jobs.run_to_table(jobs.rate_windows(_stream(spark, folder), "path", "ts", F.lit(1)), "rate", ["path", "minute"])
 
 
 @query("rate_limits_by_tier", f"""WITH {_LOG_SQL}
@@ -77,21 +77,25 @@ def daily_tokens(spark, folder):
 
 @query("daily_tokens_stream", _DAILY_SQL)
 def daily_tokens_stream(spark, folder):
-    return jobs.run_to_table(jobs.daily_tokens(_stream(spark, folder), "user_id", "ts", "tokens"), "daily")
+    return jobs.run_to_table(jobs.daily_tokens(_stream(spark, folder), "user_id", "ts", "tokens"), "daily", ["user_id", "day"])
 
 
 @query("request_counters_stream", f"WITH {_LOG_SQL} SELECT path, count(*) AS requests, CAST(sum(tokens) AS BIGINT) AS tokens FROM log GROUP BY path")
 def request_counters_stream(spark, folder):
-    return jobs.run_to_table(jobs.request_counters(_stream(spark, folder), "path", "tokens"), "counters")
+    return jobs.run_to_table(jobs.request_counters(_stream(spark, folder), "path", "tokens"), "counters", ["path"])
 
 
-@query("daily_cap", f"""WITH {_LOG_SQL}, used AS (SELECT *, coalesce(sum(greatest(tokens, 0)) OVER (PARTITION BY user_id, CAST(ts AS DATE)
+@query("daily_cap", f"""WITH {_LOG_SQL.replace("user_id, event_type", "CASE WHEN event_id % 9 <> 0 THEN user_id END AS user_id, event_type")}, used AS (SELECT *, coalesce(sum(greatest(tokens, 0)) OVER (PARTITION BY user_id, CAST(ts AS DATE)
     ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM log)
 SELECT event_id, CAST(before AS BIGINT) AS used_before, tier IN ('enterprise', 'admin') OR before < CASE tier WHEN 'free' THEN 5000 ELSE 9000 END AS accepted FROM used""")
 def daily_cap(spark, folder):
-    """Requests admitted under a daily token cap (lower here than in production, so that it bites)."""
+    """Requests admitted under a daily token cap (lower here than in production, so that it bites).
+
+    Every ninth request is anonymous: requests without a user share one cap.
+    """
     cap = F.when(F.col("tier") == "free", 5000).when(F.col("tier") == "pro", 9000).otherwise(metering.daily_cap_of(F.col("tier")))
-    out = metering.admitted(_events(spark, folder), "user_id", "ts", ["ts", "event_id"], "tokens", cap)
+    log = _events(spark, folder).withColumn("user_id", F.when(F.col("event_id") % 9 != 0, F.col("user_id")))
+    out = metering.admitted(log, "user_id", "ts", ["ts", "event_id"], "tokens", cap)
     return out.select("event_id", "used_before", "accepted")
 
 
@@ -157,7 +161,7 @@ def batch_queue(spark, folder):
     return inventory.batch_summary(rows)
 
 
-@query("incremental_embed_stream")
+@query("incremental_embed_stream", "SELECT DISTINCT sha256(trim(text)) AS content_hash, 32 AS dim FROM documents")
 def incremental_embed_stream(spark, folder):
     """Documents embedded as a stream, then once more: the second run finds nothing new."""
     chunks = jobs.file_stream(spark, folder, "documents.parquet").select(

@@ -50,10 +50,8 @@ def dense_topk_filtered_exact(spark, folder):
 
 @query("dense_topk_overfetch", f"""
 WITH {VECTORS_SQL}, {LABEL_QUERIES_SQL}, scored AS ({dense_sql("vectors")}),
-first_pass AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score, doc_id, effective_from FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM first_pass WHERE place <= 40 AND {_FILTER_SQL})
-WHERE rank <= 8""")
+fitting AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM scored WHERE {_FILTER_SQL})
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score, doc_id, effective_from FROM fitting WHERE place <= 8""")
 def dense_topk_overfetch(spark, folder):
     hits = search(corpus(spark, folder), label_queries(spark, folder), 8, _FILTER, AS_OF, mode="overfetch")
     return hits.select("query_id", "rank", "vec_id", "score", "doc_id", "effective_from")
@@ -135,43 +133,44 @@ def bm25_topk(spark, folder):
     return bm25_top(build_index(docs, "doc", "title", "text"), queries, "query_id", "text", 10)
 
 
-_FUSED_SQL = f"""
-WITH {VECTORS_SQL}, {BENCHMARK_QUERIES_SQL}, searched AS (SELECT vec_id, title, text FROM vectors),
+def _fused_sql(rows: str) -> str:
+    """Fused ranking over the vectors that ``rows`` admits; only ids and scores are carried."""
+    return f"""
+WITH {VECTORS_SQL}, {BENCHMARK_QUERIES_SQL}, searched AS (SELECT vec_id, title, text FROM vectors WHERE {rows}),
 word_queries AS (SELECT query_id, text FROM queries WHERE cites), {TOKENS_SQL},
-scored AS ({dense_sql("vectors")}),
-dense AS (SELECT * FROM (SELECT query_id, vec_id, score,
+scored AS MATERIALIZED (SELECT q.query_id, v.vec_id, round(list_dot_product(v.vector, q.vector), 6) AS score FROM vectors v, queries q WHERE {rows}),
+dense AS MATERIALIZED (SELECT * FROM (SELECT query_id, vec_id, score,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 50),
-lexical_raw AS (SELECT * FROM (SELECT query_id, vec_id,
+lexical_raw AS MATERIALIZED (SELECT * FROM (SELECT query_id, vec_id,
   row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM bm25) WHERE rank <= 50),
-lexical AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id
-  ORDER BY CASE WHEN doc_type = 'law' THEN 0 ELSE 1 END, rank) AS rank FROM lexical_raw JOIN vectors USING (vec_id)),
+lexical AS MATERIALIZED (SELECT query_id, l.vec_id, row_number() OVER (PARTITION BY query_id
+  ORDER BY CASE WHEN l.vec_id % 4 = 0 THEN 0 ELSE 1 END, rank) AS rank FROM lexical_raw l),
 both_lists AS (
   SELECT coalesce(d.query_id, l.query_id) AS query_id, coalesce(d.vec_id, l.vec_id) AS vec_id, d.rank AS dr, l.rank AS lr,
     coalesce(1.0::DOUBLE / (60 + d.rank), 0) + coalesce(2.0::DOUBLE / (60 + l.rank), 0) AS rrf
   FROM dense d FULL JOIN lexical l ON d.query_id = l.query_id AND d.vec_id = l.vec_id),
-fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, dr NULLS LAST, lr NULLS LAST) AS rank FROM both_lists)"""
+ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, dr NULLS LAST, lr NULLS LAST) AS rank FROM both_lists),
+fused AS MATERIALIZED (SELECT o.*, s.score FROM ordered o JOIN scored s ON o.query_id = s.query_id AND o.vec_id = s.vec_id)"""
 
 
-@query("rrf_hybrid", f"""{_FUSED_SQL}
-SELECT f.query_id, CAST(f.rank AS INTEGER) AS rank, f.vec_id, round(f.rrf, 9) AS rrf, s.score
-FROM fused f JOIN scored s ON f.query_id = s.query_id AND f.vec_id = s.vec_id WHERE f.rank <= 20""")
+@query("rrf_hybrid", f"""{_fused_sql("true")}
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(rrf, 9) AS rrf, score FROM fused""")
 def rrf_hybrid(spark, folder):
+    """The whole fused list of every query, both lists 50 deep."""
     ranked = hybrid_ranks(corpus(spark, folder), prepare_queries(benchmark_queries(spark, folder)), 50)
-    return ranked.where("rank <= 20").select("query_id", "rank", "vec_id", F.round("rrf", 9).alias("rrf"), "score")
+    return ranked.select("query_id", "rank", "vec_id", F.round("rrf", 9).alias("rrf"), "score")
 
 
-@query("hybrid_page", f"""{_FUSED_SQL},
-kept AS (SELECT * FROM (SELECT f.query_id, f.vec_id, s.score, s.doc_id, s.title, s.effective_from, s.trust_grade, s.source_url, s.doc_type,
-    row_number() OVER (PARTITION BY f.query_id ORDER BY f.rank) AS n
-  FROM fused f JOIN scored s ON f.query_id = s.query_id AND f.vec_id = s.vec_id
-  WHERE s.effective_from <= '{TODAY}') WHERE n <= 12),
+@query("hybrid_page", f"""{_fused_sql(f"effective_from <= '{TODAY}'")},
+kept AS (SELECT f.query_id, f.vec_id, f.score, c.doc_id, c.title, c.effective_from, c.trust_grade, c.source_url, c.doc_type
+  FROM fused f JOIN corpus c ON c.k = f.vec_id WHERE f.rank <= 12),
 paged AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS position FROM kept)
 SELECT query_id, CAST(position AS INTEGER) AS position, doc_id, doc_type, title, score, trust_grade, source_url,
   {LICENSE_SQL} AS license, '{TODAY}' AS as_of_date, effective_from
 FROM paged WHERE position > 4 AND position <= 12""")
 def hybrid_page(spark, folder):
     """Second page of a hybrid search: fusion decides membership, the score decides order."""
-    hits = search(corpus(spark, folder), benchmark_queries(spark, folder), 12, as_of=TODAY, mode="overfetch", hybrid=True)
+    hits = search(corpus(spark, folder), benchmark_queries(spark, folder), 12, as_of=TODAY, hybrid=True)
     page = statutes_page(hits, 8, 4, TODAY, key="vec_id")
     return page.select("query_id", "position", "doc_id", "doc_type", "title", "score", "trust_grade", "source_url",
                        "license", "as_of_date", "effective_from")
@@ -211,7 +210,7 @@ def ensure_statutes(spark, folder):
 @query("context_blocks", f"""{_HITS_SQL},
 blocks AS (SELECT query_id, rank, '[' || rank || '] id=' || vec_id || ' | 종류=' || doc_type || ' | 제목=' || title || ' | 위치=- | 등급='
   || trust_grade || CASE WHEN trust_grade = 'B' THEN ' [본문없음·메타데이터만(B등급)]' ELSE '' END || ' | 출처=' || source_url || chr(10)
-  || CASE WHEN length(trim(text)) > 1500 THEN substr(trim(text), 1, 1500) || ' …(생략)' ELSE trim(text) END AS block FROM hits)
+  || trim(text) AS block FROM hits)
 SELECT query_id, string_agg(block, chr(10) || chr(10) ORDER BY rank) AS context FROM blocks GROUP BY query_id""")
 def context_blocks(spark, folder):
     return answer.contexts(_hits(spark, folder), "vec_id")
@@ -249,7 +248,7 @@ def _by_source(spark, folder):
 
 @query("parent_promotion", f"""{_PACK_SQL}
 SELECT query_id, CAST(rank AS INTEGER) AS rank, parent_id, n_children, score, child_title, child_grade,
-  coalesce(child_text, '') AS child_text FROM packed WHERE rank <= 6""")
+  coalesce(child_text, '') AS child_text FROM packed""")
 def parent_promotion(spark, folder):
     out = source_pack.promote(_by_source(spark, folder), AS_OF, "vec_id")
     return out.select("query_id", "rank", "parent_id", "n_children", F.col("rep.score").alias("score"),
@@ -263,7 +262,7 @@ ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORD
 live AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place) AS rank FROM ranked
   WHERE effective_from IS NULL OR effective_from <= '{AS_OF}'),
 whole AS (SELECT query_id, rank, doc_id, doc_type, title, trust_grade, source_url, effective_from, score, trim(text) AS full_text,
-  CASE WHEN vec_id % 5 = 0 OR trim(text) = '' THEN 'child' ELSE 'parent' END AS text_origin FROM live WHERE rank <= 6)"""
+  CASE WHEN vec_id % 5 = 0 OR trim(text) = '' THEN 'child' ELSE 'parent' END AS text_origin FROM live)"""
 
 
 def _packed(spark, folder):
@@ -295,8 +294,7 @@ sections AS (SELECT query_id, rank, concat_ws(chr(10),
     (SELECT string_agg(CASE WHEN l = '' THEN '>' ELSE '> ' || l END, chr(10) ORDER BY n) FROM (
       SELECT unnest(string_split(shown, chr(10))) AS l, unnest(range(len(string_split(shown, chr(10))))) AS n)),
     '') AS section
-  FROM (SELECT *, CASE WHEN full_text = '' THEN '_(원문 본문 없음)_' WHEN length(full_text) > 12000
-    THEN rtrim(substr(full_text, 1, 12000)) || chr(10) || '…(이하 생략, 전문은 출처 참조)' ELSE full_text END AS shown FROM whole))
+  FROM (SELECT *, CASE WHEN full_text = '' THEN '_(원문 본문 없음)_' ELSE full_text END AS shown FROM whole))
 SELECT query_id, '# 소스 팩 (인용 가능 원문 번들)' || chr(10) || chr(10)
   || '> 아래 각 출처의 원문만 근거로 인용하십시오. 본문에 없는 사실은 추가하지 마십시오. 각 출처의 시행일·등급·라이선스를 함께 명시하십시오.'
   || chr(10) || chr(10) || rtrim(string_agg(section, chr(10) ORDER BY rank), chr(10)) || chr(10) AS markdown

@@ -26,16 +26,18 @@ def keep_best_revision(df: DataFrame, key: str, serial: str, grade: str, text_le
 
     Ties keep the earlier row. ``serial`` may hold other characters; only its
     digits count. Each surviving row carries the position where its key first
-    appeared as ``first_seen``.
+    appeared as ``first_seen``. One aggregate per key finds both.
+    Rows of a null key form one group.
     """
     digits = F.regexp_replace(F.coalesce(F.col(serial).cast("string"), F.lit("")), r"(?U)\D", "")
     number = F.coalesce(digits.try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))
-    best = keep_first(
-        df, key,
-        [number.desc(), F.when(F.col(grade) == "A", 1).otherwise(0).desc(), F.col(text_length).desc(), F.col(order).asc()],
+    place = F.struct(
+        (-number).alias("n"), F.when(F.col(grade) == "A", 0).otherwise(1).alias("g"), (-F.coalesce(text_length, F.lit(-1))).alias("t"),
+        F.col(order).alias("o"),
     )
-    seen = df.groupBy(key).agg(F.min(order).alias("first_seen"))
-    return best.join(seen, key)
+    rest = [c for c in df.columns if c != key]
+    best = df.groupBy(key).agg(F.min_by(F.struct(*rest), place).alias("_best"), F.min(order).alias("first_seen"))
+    return best.select(*[F.col(key) if c == key else F.col(f"_best.`{c}`") for c in df.columns], "first_seen")
 
 
 def one_per_hash(df: DataFrame, hash_col: str, order: str, keep: Sequence[str]) -> DataFrame:
@@ -43,9 +45,9 @@ def one_per_hash(df: DataFrame, hash_col: str, order: str, keep: Sequence[str])
 
     The members stay in ``df`` as rows; joining on the hash fans results back out.
     """
-    counts = df.groupBy(hash_col).agg(F.count(F.lit(1)).alias("n_members"))
-    first = keep_first(df.select(hash_col, order, *keep), hash_col, [order])
-    return first.join(counts, hash_col)
+    first = F.min_by(F.struct(order, *keep), F.col(order)).alias("_first")
+    grouped = df.groupBy(hash_col).agg(first, F.count(F.lit(1)).alias("n_members"))
+    return grouped.select(hash_col, "_first.*", "n_members")
 
 
 def latest(df: DataFrame, key: str, sequence: str, value: str) -> DataFrame:

@@ -100,10 +100,8 @@ def estimate(chunks: DataFrame, cache: DataFrame, price: float = DEFAULTS.price_
     ).withColumn("est_usd", F.round(F.col("total_tokens") / 1_000_000 * price * discount, 4))
 
 
-def check_cost(estimate_row: dict, confirm: bool, limit: int | None = None, cap: int = DEFAULTS.demo_max_chunks) -> None:
-    """Refuse a paid run that was not confirmed, or a demo run above its cap."""
-    if limit is not None and limit > cap:
-        raise ValueError(f"limit={limit} exceeds the demo cap of {cap}")
+def check_cost(estimate_row: dict, confirm: bool) -> None:
+    """Refuse a paid run that was not confirmed."""
     if estimate_row["n_unique_misses"] and not confirm:
         raise PermissionError("cost gate: confirm the estimate before submitting")
 

@@ -82,6 +82,6 @@ def by_error(validated: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("n"))
 
 
-def first_faults(validated: DataFrame, order: str = "chunk_id", n: int = 200) -> DataFrame:
-    """The first ``n`` faulty chunks with their errors (the detail page of the report)."""
-    return validated.where(F.size("errors") > 0).select("chunk_id", "errors").orderBy(order).limit(n)
+def faults(validated: DataFrame) -> DataFrame:
+    """All faulty chunks with their errors (the detail page of the report)."""
+    return validated.where(F.size("errors") > 0).select("chunk_id", "errors")

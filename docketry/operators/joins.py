@@ -83,26 +83,18 @@ def substring_matches(
 
     Each needle is looked up by its rarest n-gram (by how many texts hold it);
     the containment test then runs on those candidates only. Needles shorter than
-    one gram are looked up by their first character. ``key`` identifies a text: with
-    more needles than may be broadcast only keys and grams are shuffled, and texts
-    are fetched for the candidates.
+    one gram are looked up by their first character. Only numbered grams are
+    shuffled; texts are fetched for the candidates by their number, so keys may
+    repeat. ``key`` names the columns a caller needs to identify a text. ``haystack``
+    has to be re-readable in the same order (a scan or a checkpoint).
     """
     wanted = needles.where(F.length(needle) > 0)
     own = F.when(F.length(needle) >= gram, _grams(F.col(needle), gram)).otherwise(F.array(F.substring(F.col(needle), 1, 1)))
-    small = fits_broadcast(wanted)
-    hint = F.broadcast if small else (lambda df: df)
     probes = wanted.select(needle).distinct().select(needle, F.explode(own).alias("_gram"))
+    numbered = haystack.withColumn("_at", F.monotonically_increasing_id())
     grams = F.explode(F.array_union(_grams(F.col(text), gram), _grams(F.col(text), 1))).alias("_gram")
-    spread = (
-        haystack.select(grams)
-        .join(hint(probes.select("_gram").distinct()), "_gram", "left_semi")
-        .groupBy("_gram").agg(F.count(F.lit(1)).alias("_texts"))
-    )
+    listed = numbered.select("_at", grams).join(probes.select("_gram").distinct(), "_gram", "left_semi")
+    spread = listed.groupBy("_gram").agg(F.count(F.lit(1)).alias("_texts"))
     rarest = probes.join(spread, "_gram").groupBy(needle).agg(F.min_by("_gram", F.struct("_texts", "_gram")).alias("_gram"))
-    probe = wanted.join(rarest, needle)
-    if small:
-        pairs = haystack.select("*", grams).join(F.broadcast(probe), "_gram")
-    else:
-        candidates = haystack.select(*key, grams).join(probe, "_gram").drop("_gram")
-        pairs = candidates.join(haystack, list(key)).withColumn("_gram", F.lit(None).cast("string"))
-    return pairs.where(F.contains(F.col(text), F.col(needle))).drop("_gram")
+    candidates = listed.join(wanted.join(rarest, needle), "_gram").drop("_gram")
+    return candidates.join(numbered, "_at").drop("_at").where(F.contains(F.col(text), F.col(needle)))

@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.functions.binding import let
 from docketry.functions.text import words
 from docketry.operators.ranking import keep_best
+from docketry.session import stage
 from docketry.settings import DEFAULTS
 
 # Words too broad to be useful as prefix terms.
@@ -40,23 +42,47 @@ def prefix_terms(query: Column) -> Column:
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Tokenised corpus: one row per document, plus its two corpus-wide numbers."""
+    """Written index: postings, the distinct words, and the corpus-wide numbers."""
 
-    rows: DataFrame  # key, title_words, body_words, n_words
+    postings: DataFrame  # key, n_words, word, freq
+    vocabulary: DataFrame  # word
     totals: DataFrame  # one row: n_rows, avg_words
     key: str
 
 
+def _runs(found: Column, weight: float) -> Column:
+    """Distinct words of an array with their weighted counts, from the runs of the sorted array."""
+
+    def counted(ranked: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(ranked) - 1)
+        starts = F.filter(places, lambda i: F.coalesce(F.get(ranked, i) != F.get(ranked, i - 1), F.lit(True)))
+        return let(
+            lambda starts: F.transform(starts, lambda at, i: F.struct(
+                F.get(ranked, at).alias("word"), ((F.coalesce(F.get(starts, i + 1), F.size(ranked)) - at) * F.lit(weight)).alias("freq"),
+            )), starts=starts,
+        )
+
+    none = F.array().cast("array<struct<word:string,freq:double>>")
+    return F.when(F.size(found) > 0, let(counted, ranked=F.sort_array(found))).otherwise(none)
+
+
 def build_index(corpus: DataFrame, key: str, title: str | None, body: str) -> LexicalIndex:
-    """Tokenise whole titles and whole bodies, row by row, without a shuffle."""
+    """Tokenise whole titles and bodies once and write their postings, without a shuffle.
+
+    A word of both fields has a posting for each. The vocabulary is written as well:
+    prefixes are looked up there and reach the postings as whole words.
+    """
     title_words = words(F.coalesce(F.col(title), F.lit(""))) if title else F.array().cast("array<string>")
-    rows = corpus.select(
-        key, title_words.alias("title_words"), words(F.coalesce(F.col(body), F.lit(""))).alias("body_words")
-    ).withColumn("n_words", F.size("title_words") + F.size("body_words"))
-    totals = rows.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.avg("n_words").alias("avg_words")
+    counted = lambda t, b: F.struct(
+        (F.size(t) + F.size(b)).alias("n_words"), F.concat(_runs(t, TITLE_WEIGHT), _runs(b, BODY_WEIGHT)).alias("postings"),
     )
-    return LexicalIndex(rows, totals, key)
+    rows = stage(corpus.select(
+        F.col(key), let(counted, t=title_words, b=words(F.coalesce(F.col(body), F.lit("")))).alias("_row"),
+    ), "lexical-rows").select(key, "_row.n_words", "_row.postings")
+    postings = rows.select(key, "n_words", F.inline("postings"))
+    vocabulary = stage(postings.select("word").distinct(), "vocabulary")
+    totals = stage(rows.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("n_words").alias("avg_words")), "lexical-totals")
+    return LexicalIndex(postings, vocabulary, totals, key)
 
 
 def _terms(queries: DataFrame, query_id: str, text: str) -> tuple[DataFrame, bool, int]:
@@ -70,18 +96,17 @@ def _terms(queries: DataFrame, query_id: str, text: str) -> tuple[DataFrame, boo
     return terms, size["bytes"] <= DEFAULTS.broadcast_bytes, size["longest"]
 
 
-def _prefix_hits(tokens: DataFrame, prefixes: DataFrame, small: bool, longest: int) -> DataFrame:
-    """Join tokens to the query prefixes they start with.
+def _matching_words(vocabulary: DataFrame, prefixes: DataFrame, small: bool, longest: int) -> DataFrame:
+    """Words with the query prefixes they start with.
 
-    Each token offers its leading parts and an equality join keeps those that are
-    query prefixes, so the cost per token is its length, however many prefixes
-    there are.
+    Each distinct word offers its leading parts and an equality join keeps those that
+    are query prefixes, so the cost is the vocabulary's, however long the texts are.
     """
     parts = (
-        tokens.where(F.length("word") >= MIN_PREFIX)
+        vocabulary.where(F.length("word") >= MIN_PREFIX)
         .withColumn("_n", F.explode(F.sequence(F.lit(MIN_PREFIX), F.least(F.length("word"), F.lit(max(longest, MIN_PREFIX))))))
         .withColumn("prefix", F.substring(F.col("word"), F.lit(1), F.col("_n")))
-        .drop("word", "_n")
+        .drop("_n")
     )
     return parts.join(F.broadcast(prefixes) if small else prefixes, "prefix")
 
@@ -93,20 +118,17 @@ def bm25(index: LexicalIndex, queries: DataFrame, query_id: str, text: str) -> D
     """
     key = index.key
     terms, small, longest = _terms(queries, query_id, text)
-    prefixes = terms.select("prefix").distinct()
-    tagged = F.concat(
-        F.transform("title_words", lambda w: F.struct(w.alias("word"), F.lit(TITLE_WEIGHT).alias("w"))),
-        F.transform("body_words", lambda w: F.struct(w.alias("word"), F.lit(BODY_WEIGHT).alias("w"))),
-    )
-    # The outer form keeps the tokeniser from running twice (see binding.once).
-    tokens = index.rows.select(key, "n_words", F.inline_outer(tagged))
+    terms = stage(terms, "terms")
+    matching = stage(_matching_words(index.vocabulary, terms.select("prefix").distinct(), small, longest), "matching-words")
+    size = matching.agg(F.coalesce(F.sum(F.octet_length("word") + F.octet_length("prefix") + 32), F.lit(0))).first()[0]
+    chosen = F.broadcast(matching) if size <= DEFAULTS.broadcast_bytes else matching
     # Placed by row key alone, so that the sums per prefix, the sums per query and the
     # best rows of a task all follow without moving (query, row) pairs again.
     hits = (
-        _prefix_hits(tokens, prefixes, small, longest)
+        index.postings.join(chosen, "word").select(key, "prefix", "freq", "n_words")
         .repartition(key)
         .groupBy(key, "prefix")
-        .agg(F.sum("w").alias("freq"), F.first("n_words").alias("n_words"))
+        .agg(F.sum("freq").alias("freq"), F.first("n_words").alias("n_words"))
     )
     spread = hits.groupBy("prefix").agg(F.count(F.lit(1)).alias("n_with"))
     n, having = index.totals.select("n_rows").scalar(), F.col("n_with")

@@ -14,18 +14,26 @@ from pyspark.sql.types import StructField, StructType
 from docketry.settings import DEFAULTS
 
 
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column], rank: str = "rank") -> DataFrame:
+    """All rows with a 1-based rank per group."""
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+
+
 def keep_best(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows per group with a 1-based rank.
 
     ``row_number() <= k`` lets Spark cut each group to ``k`` rows in every map
     task before the shuffle, so a very large group costs ``k`` rows per task.
     """
-    window = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
+    return numbered(df, by, order, rank).where(F.col(rank) <= k)
 
 
 class _BestOf:
-    """Running top-k per query over vector batches."""
+    """Running top-k per query over vector batches.
+
+    One partition of the whole score matrix finds the k-th best of every query; what
+    ties with it stays in, so that ties resolve by id.
+    """
 
     def __init__(self, queries: np.ndarray, k: int, digits: int):
         self.queries, self.k, self.digits = queries, k, digits
@@ -34,14 +42,12 @@ class _BestOf:
 
     def add(self, ids: np.ndarray, matrix: np.ndarray) -> None:
         scores = np.round(matrix @ self.queries.T, self.digits)
-        for q in range(len(self.queries)):
-            column = scores[:, q]
-            # Everything tied with the k-th best stays in, so ties resolve by id.
-            if len(column) > self.k:
-                floor = np.partition(column, len(column) - self.k)[len(column) - self.k]
-                chosen = np.flatnonzero(column >= floor)
-            else:
-                chosen = np.arange(len(column))
+        n = len(scores)
+        floor = np.partition(scores, n - self.k, axis=0)[n - self.k] if n > self.k else np.full(scores.shape[1], -np.inf)
+        held = np.array([s[-1] if len(s) == self.k else -np.inf for s in self.scores])
+        keep = scores >= np.maximum(floor, held)
+        for q in np.flatnonzero(keep.any(axis=0)).tolist():
+            column, chosen = scores[:, q], np.flatnonzero(keep[:, q])
             merged_scores = np.concatenate([self.scores[q], column[chosen]])
             merged_ids = np.concatenate([self.ids[q], ids[chosen]])
             order = sorted(range(len(merged_scores)), key=lambda i: (-merged_scores[i], merged_ids[i]))[: self.k]
@@ -59,7 +65,21 @@ def _query_blocks(queries: DataFrame, query_id: str, vector: str, limit: int) ->
         part = slim if blocks == 1 else slim.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == block)
         table = part.toArrow()
         if table.num_rows:
-            yield table.column(0).combine_chunks(), np.array(table.column(1).to_pylist(), dtype=np.float64)
+            yield table.column(0).combine_chunks(), _matrix(table.column(0), table.column(1).combine_chunks(), size["dim"], "query")
+
+
+def _matrix(ids: pa.Array, vectors: pa.ListArray, size: int, what: str) -> np.ndarray:
+    """Vectors as rows of a matrix; fails on another length, a null element or a number that is not finite."""
+    lengths = np.diff(np.asarray(vectors.offsets))
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if (lengths != size).any():
+        at = int(np.flatnonzero(lengths != size)[0])
+        raise ValueError(f"{what} {ids[at].as_py()!r}: vector of {lengths[at]} elements, not {size}")
+    matrix = flat.reshape(len(lengths), size)
+    bad = np.flatnonzero(~np.isfinite(matrix).all(axis=1))
+    if len(bad):
+        raise ValueError(f"{what} {ids[int(bad[0])].as_py()!r}: vector with an element that is null or not finite")
+    return matrix
 
 
 def nearest(
@@ -79,6 +99,10 @@ def nearest(
     The corpus itself is never shuffled. Query vectors travel in pieces of bounded
     size: a set beyond ``block_bytes`` takes one corpus pass per piece.
 
+    Rows without a vector are skipped. A vector of another length than the queries'
+    fails the job and names the row, as does an element that is null or not finite:
+    such scores have no rank.
+
     Returns ``query_id, rank, <id_col>, score`` with scores rounded to ``digits``
     and ties broken by id.
     """
@@ -102,10 +126,9 @@ def nearest(
                 if batch.num_rows == 0:
                     continue
                 kind = batch.column(0).type
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 best.add(
                     np.array(batch.column(0).to_pylist(), dtype=object),
-                    flat.reshape(batch.num_rows, -1),
+                    _matrix(batch.column(0), batch.column(1), matrix.shape[1], "row"),
                 )
             if kind is not None:
                 counts = [len(ids) for ids in best.ids]
@@ -127,11 +150,10 @@ def nearest(
 
 
 def page(df: DataFrame, k: int, offset: int = 0, score: str = "score", key: str = "doc_id",
-         by: Sequence[str] = (), max_page: int = DEFAULTS.max_page) -> DataFrame:
+         by: Sequence[str] = ()) -> DataFrame:
     """Rows ``offset .. offset+k`` per query, highest score first, ties by key."""
-    if offset < 0:
-        raise ValueError("offset must be >= 0")
-    size = max(1, min(int(k), max_page))
+    if offset < 0 or k < 1:
+        raise ValueError("offset must be >= 0 and k >= 1")
     order = [F.desc(score), F.asc(key)]
-    ranked = keep_best(df, by, order, offset + size, rank="position")
+    ranked = keep_best(df, by, order, offset + int(k), rank="position")
     return ranked.where(F.col("position") > offset)

@@ -8,6 +8,8 @@ order.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -31,13 +33,15 @@ def running_total(df: DataFrame, by: Sequence[str], bucket: Column, order: Seque
     sums = (
         rows.groupBy(*by, "_bucket").agg(F.sum(value).alias("_sum"))
         .withColumn("_base", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)))
-        .drop("_sum")
+        .drop("_sum").withColumnsRenamed({c: f"_sum_{c}" for c in (*by, "_bucket")})
     )
+    # Null-safe: rows of a null group or bucket have sums of their own.
+    same = [F.col(c).eqNullSafe(F.col(f"_sum_{c}")) for c in (*by, "_bucket")]
     return (
         rows.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-        .join(sums, [*by, "_bucket"])
+        .join(sums, reduce(and_, same))
         .withColumn(name, F.col("_base") + F.col("_local"))
-        .drop("_bucket", "_base", "_local")
+        .drop("_bucket", "_base", "_local", *[f"_sum_{c}" for c in (*by, "_bucket")])
     )
 
 

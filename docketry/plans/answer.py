@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -44,7 +44,7 @@ def ensure_statutes(corpus: Corpus, queries: DataFrame, hits: DataFrame, where:
     return hits.unionByName(added)
 
 
-def context_block(key: str, title_label: str = "제목", chars: int = DEFAULTS.context_chars, note: str = GRADE_NOTE) -> Column:
+def context_block(key: str, title_label: str = "제목", chars: int | None = None, note: str = GRADE_NOTE) -> Column:
     """Numbered block shown to the answering model for one hit (columns of the hit row)."""
     dash = lambda name: F.coalesce(F.nullif(strip(F.coalesce(F.col(name), F.lit(""))), F.lit("")), F.lit("-"))
     grade = F.coalesce("trust_grade", F.lit("A"))
@@ -55,7 +55,8 @@ def context_block(key: str, title_label: str = "제목", chars: int = DEFAULTS.c
         F.lit(" | 등급="), grade, F.when(grade == "B", note).otherwise(""),
         F.when(url != "", F.concat(F.lit(" | 출처="), url)).otherwise(""),
     )
-    return F.concat(head, F.lit("\n"), shorten(strip(F.coalesce("text", F.lit(""))), chars, CUT_MARK))
+    text = strip(F.coalesce("text", F.lit("")))
+    return F.concat(head, F.lit("\n"), text if chars is None else shorten(text, chars, CUT_MARK))
 
 
 def contexts(hits: DataFrame, key: str = "chunk_id") -> DataFrame:
@@ -121,3 +122,28 @@ def cited_blocks(answers: DataFrame, hits: DataFrame, key: str = "chunk_id", tex
     return mentioned.join(hits.select("query_id", "rank", F.col(key).alias("source_id")), ["query_id", "rank"]).select(
         "query_id", "ordinal", "source_id", F.lit(None).cast("string").alias("location")
     )
+
+
+def answer_plan(corpus: Corpus, queries: DataFrame, cite: Callable[[DataFrame], DataFrame], today: str, k: int = DEFAULTS.top_k,
+                where: Mapping[str, Any] | None = None, as_of: str | None = None, hybrid: bool = False,
+                min_score: float = DEFAULTS.min_score) -> DataFrame:
+    """Search, statute backfill, context, gate, citation check and trust in one plan.
+
+    ``cite`` stands for the answering model: it gets the shown blocks (with their
+    context) and returns ``query_id, ordinal, source_id, location``. Queries that the
+    gate stops have no citations. One row per query: decision, top_score, context,
+    n_blocks, n_citations, trust_score.
+    """
+    key = corpus.key
+    found = search(corpus, queries, k, where, as_of, hybrid=hybrid)
+    shown = stage(ensure_statutes(corpus, queries, found, where, as_of), "shown")
+    gated = stage(gate(queries, shown, min_score), "gated")
+    passed = gated.where("decision = 'answer'").select("query_id")
+    checked = stage(check_citations(cite(shown), shown.join(passed, "query_id", "left_semi"), today, key), "checked")
+    blocks = shown.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_blocks"))
+    cited = checked.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_citations"))
+    return (
+        gated.join(contexts(shown, key), "query_id", "left").join(blocks, "query_id", "left").join(cited, "query_id", "left")
+        .join(trust_score(queries, checked), "query_id", "left")
+        .withColumns({n: F.coalesce(n, F.lit(0)) for n in ("n_blocks", "n_citations")})
+    )

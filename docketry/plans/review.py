@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 
 from docketry.functions.text import strip
 from docketry.operators.dedup import keep_first
-from docketry.operators.ranking import keep_best
+from docketry.operators.ranking import numbered
 from docketry.plans.answer import REVIEW_GRADE_NOTE, STATUTE_TYPES, context_block
 from docketry.plans.search import Corpus, search
-from docketry.settings import DEFAULTS, Settings
 
 # Closed sets, the retrieval suffix and display order of verdicts.
 VERDICTS = ("위반", "위반소지", "주의", "적정", "확인필요")
@@ -23,37 +22,35 @@ VERDICT_ORDER = ("위반", "위반소지", "주의", "확인필요", "적정")
 VIOLATIONS = ("위반", "위반소지")
 CLAIM_SUFFIX = " 광고 표시 부당한 표시·광고 금지 위반 효능 과장"
 CHECKED_TYPES = ("law", "ordinance", "admrule")
-MIN_RESIDUE = 3
 
 
-def usable_claims(claims: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Non-blank claims in order, up to the review's claim budget."""
+def usable_claims(claims: DataFrame) -> DataFrame:
+    """Non-blank claims in order, numbered per review."""
     real = claims.where(strip(F.coalesce("text", F.lit(""))) != "")
-    return keep_best(real, ["review_id"], [F.asc("ordinal")], settings.review_claims, rank="claim_no")
+    return numbered(real, ["review_id"], [F.asc("ordinal")], rank="claim_no")
 
 
 def claim_query(text: Column) -> Column:
     return F.concat(strip(text), F.lit(CLAIM_SUFFIX))
 
 
-def retrieve(corpus: Corpus, claims: DataFrame, settings: Settings = DEFAULTS, mode: str = "exact") -> DataFrame:
+def retrieve(corpus: Corpus, claims: DataFrame, mode: str = "exact") -> DataFrame:
     """Context rows per review: four statute hits, then two open hits per claim.
 
     ``claims`` has ``review_id, query_id, claim_no, text, vector``. A row found twice
-    keeps its first place; the block budget is filled in claim order.
+    keeps its first place; blocks are numbered in claim order.
     """
     scoped = search(corpus, claims, 4, {"doc_type": list(STATUTE_TYPES)}, mode=mode).withColumn("_pass", F.lit(0))
     open_hits = search(corpus, claims, 2, mode=mode).withColumn("_pass", F.lit(1))
     found = scoped.unionByName(open_hits).join(claims.select("query_id", "review_id", "claim_no"), "query_id")
     order = ["claim_no", "_pass", "rank"]
     first = keep_first(found, ["review_id", corpus.key], order)
-    ranked = keep_best(first.withColumnRenamed("rank", "_rank"), ["review_id"],
-                       [F.asc("claim_no"), F.asc("_pass"), F.asc("_rank")], settings.review_blocks)
+    ranked = numbered(first.withColumnRenamed("rank", "_rank"), ["review_id"], [F.asc("claim_no"), F.asc("_pass"), F.asc("_rank")])
     return ranked.drop("_rank", "_pass", "query_id")
 
 
-def review_block(key: str = "chunk_id", settings: Settings = DEFAULTS) -> Column:
-    return context_block(key, "법령", settings.review_context_chars, REVIEW_GRADE_NOTE)
+def review_block(key: str = "chunk_id", chars: int | None = None) -> Column:
+    return context_block(key, "법령", chars, REVIEW_GRADE_NOTE)
 
 
 def coerce_issues(issues: DataFrame) -> DataFrame:
@@ -75,16 +72,15 @@ def by_severity(issues: DataFrame) -> DataFrame:
     return issues.withColumn("place", place)
 
 
-def annotate(citations: DataFrame, audits: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """Citations with the registry's answer, for the first statutes of each issue.
+def annotate(citations: DataFrame, audits: DataFrame) -> DataFrame:
+    """Citations with the registry's answer, for all named statutes.
 
     ``citations`` has ``issue_id, ordinal, citation_id, title, doc_type, location,
     source_url, trust_grade``. A contradiction lowers the grade to B and the
     registry's link wins.
     """
     eligible = F.col("doc_type").isin(*CHECKED_TYPES) & (F.coalesce("title", F.lit("")) != "")
-    picked = keep_best(citations.where(eligible), ["issue_id"], [F.asc("ordinal")], settings.review_law_checks, rank="_n")
-    checked = picked.select("citation_id").join(
+    checked = citations.where(eligible).select("citation_id").join(
         audits.select("citation_id", "api_match", F.col("current").alias("_current"), F.col("source_url").alias("_url")),
         "citation_id",
     )
@@ -106,7 +102,7 @@ def unresolved(issues: DataFrame, rewrites: DataFrame) -> DataFrame:
     """Violations whose wording is still present in the rewritten text."""
     phrase = strip(F.coalesce("claim", F.lit("")))
     return (
-        issues.where(F.col("verdict").isin(*VIOLATIONS) & (F.length(phrase) >= MIN_RESIDUE))
+        issues.where(F.col("verdict").isin(*VIOLATIONS) & (phrase != ""))
         .join(rewrites.select("review_id", "corrected_copy"), "review_id")
         .where(F.contains(F.coalesce("corrected_copy", F.lit("")), phrase))
         .drop("corrected_copy")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.dates import optional_calendar_date
-from docketry.functions.ids import owner_of_hit
+from docketry.functions.ids import owner_of_hit, stored_article
 from docketry.functions.text import blank_to_null, strip
 from docketry.functions.vectors import dot, unit
 from docketry.operators.filters import looks_like_citation, metadata_filter
@@ -88,8 +88,9 @@ def search(
     """Best ``k`` rows per query: ``query_id, rank, <key>, score`` and the payload.
 
     ``queries`` has ``query_id, text, vector``. ``mode="exact"`` filters before
-    ranking. ``mode="overfetch"`` ranks first and filters the candidates, so it can
-    return fewer than ``k`` rows. The score is always the dense one; in a hybrid
+    ranking. ``mode="overfetch"`` ranks first and filters the candidates; queries that
+    find fewer than ``k`` rows that way are answered by an exact pass, so both modes
+    give the same rows. A hybrid search always filters first. The score is always the dense one; in a hybrid
     search the order follows the fused rank instead.
     """
     if mode not in ("exact", "overfetch"):
@@ -98,8 +99,8 @@ def search(
     keep = metadata_filter(where, as_of)
     queries = prepare_queries(queries)
     rows, key = corpus.rows, corpus.key
-    searched = rows.where(keep) if keep is not None and mode == "exact" else rows
-    late = keep if keep is not None and mode == "overfetch" else None
+    late = keep if keep is not None and mode == "overfetch" and not hybrid else None
+    searched = rows.where(keep) if keep is not None and late is None else rows
     payload = rows.drop("vector")
 
     if hybrid:
@@ -112,10 +113,15 @@ def search(
         candidates = nearest(searched, queries.select("query_id", "vector"), n, key)
     # A few rows per query, read twice below: staged so that the corpus is ranked once.
     hits = lookup(stage(candidates, "candidates"), payload, key, small)
-    if late is not None:
-        hits = hits.where(late)
     if hybrid or late is not None:
-        hits = keep_best(hits.withColumnRenamed("rank", "_rank"), ["query_id"], [F.asc("_rank")], k).drop("_rank")
+        kept = hits if late is None else hits.where(late)
+        hits = keep_best(kept.withColumnRenamed("rank", "_rank"), ["query_id"], [F.asc("_rank")], k).drop("_rank")
+    if late is not None:
+        hits = stage(hits, "overfetched")
+        full = hits.where(F.col("rank") == k).select("query_id")
+        short = stage(queries.join(full, "query_id", "left_anti").select("query_id", "vector"), "short-queries")
+        rest = lookup(stage(nearest(rows.where(late), short, k, key), "exact"), payload, key, small)
+        hits = hits.join(full, "query_id", "left_semi").unionByName(rest.select(*hits.columns))
     return hits
 
 
@@ -169,28 +175,42 @@ def statutes_page(hits: DataFrame, k: int = DEFAULTS.top_k, offset: int = 0, as_
                 by=["query_id"]).drop("_tie", "_key")
 
 
-def article_lookup(docs: DataFrame, law_id: str, article_no: str) -> DataFrame:
-    """One statute article by law id and label (``4``, ``4조`` or ``제4조``)."""
-    from docketry.functions.ids import stored_article
+def articles_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Statute articles by law id and label (``4``, ``4조`` or ``제4조``): ``asked`` has request, law_id, article_no.
 
+    Both sides meet by law; a request that fits nothing gives no row.
+    """
+    wanted = asked.select("request", "law_id", stored_article(F.col("article_no")).alias("_label"))
+    laws = docs.where(F.startswith(F.col("doc_id"), F.lit("LAW:"))).withColumn("law_id", F.split_part("doc_id", F.lit(":"), F.lit(2)))
     art = F.col("article")
     return (
-        docs.where(F.startswith(F.col("doc_id"), F.lit(f"LAW:{law_id}:")))
-        .select("doc_id", "title", "law_kind", "source_url", "effective_from", "trust_grade", F.explode("articles").alias("article"))
-        .where(art["article_no"] == stored_article(F.lit(article_no)))
+        laws.join(wanted, "law_id")
+        .withColumn("article", F.explode(F.filter("articles", lambda a: a["article_no"] == F.col("_label"))))
         .select(
-            "doc_id", "title", "law_kind", art["article_no"].alias("article_no"), art["title"].alias("article_title"),
+            "request", "doc_id", "title", "law_kind", art["article_no"].alias("article_no"), art["title"].alias("article_title"),
             art["text"].alias("text"), "source_url", "effective_from",
             F.coalesce("trust_grade", F.lit("A")).alias("trust_grade"), F.lit(DEFAULT_LICENSE).alias("license"),
         )
     )
 
 
-def case_lookup(docs: DataFrame, serial: str) -> DataFrame:
-    """One precedent by its serial number."""
-    return docs.where(F.col("doc_id") == f"PREC:{serial}").select(
-        "doc_id", F.coalesce(F.nullif("case_no", F.lit("")), "title").alias("case_no"), F.col("title").alias("case_name"),
+def cases_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """Precedents by serial number: ``asked`` has request and serial."""
+    wanted = asked.select("request", F.concat(F.lit("PREC:"), "serial").alias("doc_id"))
+    return docs.join(wanted, "doc_id").select(
+        "request", "doc_id", F.coalesce(F.nullif("case_no", F.lit("")), "title").alias("case_no"), F.col("title").alias("case_name"),
         F.col("jurisdiction").alias("court"), F.col("effective_from").alias("decided"), F.col("law_kind").alias("case_kind"),
         F.transform("articles", lambda a: F.struct(a["article_no"].alias("article_no"), a["text"].alias("text"))).alias("sections"),
         "source_url", F.coalesce("trust_grade", F.lit("A")).alias("trust_grade"), F.lit(DEFAULT_LICENSE).alias("license"),
     )
+
+
+def article_lookup(docs: DataFrame, law_id: str, article_no: str) -> DataFrame:
+    """One statute article; see :func:`articles_of`."""
+    asked = docs.sparkSession.createDataFrame([(0, law_id, article_no)], "request int, law_id string, article_no string")
+    return articles_of(docs, asked).drop("request")
+
+
+def case_lookup(docs: DataFrame, serial: str) -> DataFrame:
+    """One precedent by its serial number."""
+    return cases_of(docs, docs.sparkSession.createDataFrame([(0, serial)], "request int, serial string")).drop("request")

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from docketry.functions.dates import in_force_lenient
 from docketry.functions.ids import owner_of_hit
 from docketry.functions.text import strip
-from docketry.operators.ranking import keep_best
+from docketry.operators.ranking import numbered
 from docketry.plans.search import lookup
-from docketry.settings import DEFAULT_LICENSE, DEFAULTS, DOC_LABEL
+from docketry.settings import DEFAULT_LICENSE, DOC_LABEL
 
 # Wording of the bundle.
 NOTHING_FOUND = "# 소스 팩\n\n_관련 원문을 찾지 못했습니다. 질의를 더 구체화하거나 필터/시점을 조정해 주십시오._\n"
@@ -25,8 +25,8 @@ CUT_MARK = "\n…(이하 생략, 전문은 출처 참조)"
 PICKED = ("doc_type", "title", "law_kind", "jurisdiction", "trust_grade", "source_url", "license", "effective_from")
 
 
-def promote(hits: DataFrame, as_of: str | None = None, key: str = "chunk_id", cap: int = DEFAULTS.pack_parents) -> DataFrame:
-    """Hits grouped by parent, best first, at most ``cap`` parents per query.
+def promote(hits: DataFrame, as_of: str | None = None, key: str = "chunk_id") -> DataFrame:
+    """Hits grouped by parent, best first.
 
     Carries the first hit of each parent and the distinct child texts in rank
     order. A query has only its top hits, so the groups are short.
@@ -43,7 +43,7 @@ def promote(hits: DataFrame, as_of: str | None = None, key: str = "chunk_id", ca
         F.min("rank").alias("_first"), F.min_by(first, "rank").alias("rep"), texts.alias("_texts"),
         F.count(F.lit(1)).alias("n_children"),
     ).withColumn("child_text", stitched).drop("_texts")
-    return keep_best(grouped, ["query_id"], [F.asc("_first")], cap).drop("_first").withColumnRenamed("_parent", "parent_id")
+    return numbered(grouped, ["query_id"], [F.asc("_first")]).drop("_first").withColumnRenamed("_parent", "parent_id")
 
 
 def sources(promoted: DataFrame, parents: DataFrame, as_of: str | None = None, small: bool = True) -> DataFrame:
@@ -68,7 +68,7 @@ def sources(promoted: DataFrame, parents: DataFrame, as_of: str | None = None, s
     )
 
 
-def _section(chars: int) -> Column:
+def _section(chars: int | None) -> Column:
     label = F.lit("출처")
     for name, shown in DOC_LABEL.items():
         label = F.when(F.col("doc_type") == name, shown).otherwise(label)
@@ -83,7 +83,9 @@ def _section(chars: int) -> Column:
         F.lit(" · 신뢰등급: "), F.col("trust_grade"), F.lit(" · 라이선스: "), F.col("license"),
     )
     body = F.coalesce(F.nullif(strip(F.col("full_text")), F.lit("")), F.lit("_(원문 본문 없음)_"))
-    shown = F.when(F.length(body) > chars, F.concat(F.rtrim(F.substring(body, 1, chars)), F.lit(CUT_MARK))).otherwise(body)
+    shown = body
+    if chars is not None:
+        shown = F.when(F.length(body) > chars, F.concat(F.rtrim(F.substring(body, 1, chars)), F.lit(CUT_MARK))).otherwise(body)
     quoted = F.array_join(
         F.transform(F.split(shown, "\n"), lambda l: F.when(l == "", ">").otherwise(F.concat(F.lit("> "), l))), "\n"
     )
@@ -97,8 +99,8 @@ def _section(chars: int) -> Column:
     )
 
 
-def bundle(queries: DataFrame, packed: DataFrame, chars: int = DEFAULTS.pack_chars) -> DataFrame:
-    """One markdown text per query; the length limit only affects what is shown per source."""
+def bundle(queries: DataFrame, packed: DataFrame, chars: int | None = None) -> DataFrame:
+    """One markdown text per query, with whole source texts unless the caller sets a length."""
     sections = packed.select("query_id", F.struct("rank", _section(chars).alias("text")).alias("s"))
     joined = sections.groupBy("query_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["text"]), "\n").alias("_body")

@@ -38,14 +38,6 @@ class Settings:
     rrf_k0: int = 60
     rrf_lexical_weight: float = 2.0
     min_score: float = 0.20
-    pack_parents: int = 6
-    pack_chars: int = 12_000
-    context_chars: int = 1_500
-    review_context_chars: int = 900
-    review_blocks: int = 24
-    review_claims: int = 24
-    review_law_checks: int = 12
-    max_page: int = 100
     batch_items: int = 2_048
     batch_tokens: int = 280_000
     wave_tokens: int = 2_600_000
@@ -53,7 +45,6 @@ class Settings:
     shard_bytes: int = 190 * 1024 * 1024
     price_per_million: float = 0.02
     batch_discount: float = 0.5
-    demo_max_chunks: int = 20_000
     #: Largest table, in bytes, that any job here hands to every executor.
     broadcast_bytes: int = 64 * 1024 * 1024
     license: str = field(default=DEFAULT_LICENSE)

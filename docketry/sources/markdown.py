@@ -6,17 +6,13 @@ import datetime as dt
 import json
 
 import pandas as pd
+import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions.binding import let
 from docketry.functions.text import strip, unix_lines
 
-try:
-    import yaml
-except ImportError:  # the parsers then reject every file with a clear reason
-    yaml = None
-
 ARTICLE_TYPE = "struct<article_no:string,title:string,text:string,chapter_path:string,kind:string,amendments:array<string>>"
 ATTACHMENT_TYPE = (
     "array<struct<`별표번호`:string,`별표가지번호`:string,`별표구분`:string,`제목`:string,`파일링크`:string,`PDF링크`:string>>"
@@ -50,20 +46,21 @@ def _flatten(value, full_datetime: bool):
     return str(value)
 
 
-def _head_to_json(head: str | None, text_dates: bool, full_datetime: bool) -> str | None:
-    if head is None or yaml is None:
-        return None
+_Loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+
+
+class _WrittenDates(_Loader):
+    """Loader that leaves dates as they are written."""
 
-    class Loader(yaml.SafeLoader):
-        pass
 
-    if text_dates:
-        Loader.yaml_implicit_resolvers = {
-            first: [(tag, rx) for tag, rx in pairs if not tag.endswith(":timestamp")]
-            for first, pairs in yaml.SafeLoader.yaml_implicit_resolvers.items()
-        }
+_WrittenDates.add_constructor("tag:yaml.org,2002:timestamp", lambda loader, node: loader.construct_scalar(node))
+
+
+def _head_to_json(head: str | None, text_dates: bool, full_datetime: bool) -> str | None:
+    if head is None:
+        return None
     try:
-        value = yaml.load(head, Loader=Loader)
+        value = yaml.load(head, Loader=_WrittenDates if text_dates else _Loader)
     except (yaml.YAMLError, ValueError):
         return None
     if value is None:

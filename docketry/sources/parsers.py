@@ -35,7 +35,6 @@ CHAPTER_ONLY = r"(?dU)^제\s*\d+\s*[장절관편](?:의\s*\d+)?.*$"
 CASE_SECTION = r"(?mdU)^##\s+(.+?)\s*$()"
 FILE_DATE = r"_(\d{4}-\d{2}-\d{2})_"
 NO_DATE = "0000-00-00"
-MIN_RULE_BODY = 5
 
 
 def _non_blank(value: Column) -> Column:
@@ -236,7 +235,7 @@ def rule_articles(df: DataFrame) -> DataFrame:
     def articles(b: Column) -> Column:
         whole = F.array(M.article(F.lit("전문"), F.lit(None).cast("string"), b))
         return (
-            F.when((F.length(b) < MIN_RULE_BODY) | b.rlike(IMAGE_ONLY), empty)
+            F.when((T.strip(b) == "") | b.rlike(IMAGE_ONLY), empty)
             .when(b.rlike(RULE_INLINE), split(b, RULE_INLINE))
             .when(b.rlike(RULE_HASH), split(b, RULE_HASH))
             .otherwise(whole)

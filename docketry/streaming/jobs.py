@@ -6,14 +6,16 @@ timestamp cannot carry a watermark, so it is cast).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from docketry.operators import embedding
+from docketry.operators.ranking import keep_best
 from docketry.session import fresh_path
 from docketry.settings import DEFAULTS
 
@@ -53,24 +55,23 @@ def start(df: DataFrame, mode: str, into: Callable[[DataFrame, int], None], chec
         .trigger(**(trigger or {"availableNow": True})).start()
 
 
-def run_to_table(df: DataFrame, label: str, mode: str = "complete") -> DataFrame:
+def run_to_table(df: DataFrame, label: str, keys: Sequence[str], **trigger) -> DataFrame:
     """Process what is there now and return the result as a table.
 
-    Each micro-batch writes its own folder, named by batch id: a repeated batch
-    overwrites itself, so a failure mid-way never doubles rows. In complete mode
-    the last folder is the result; in append mode the folders together are.
+    Update mode: each micro-batch writes only the rows that changed, to a folder of its
+    own named by batch id, so a repeated batch replaces itself and state that the
+    watermark closed is dropped. Of the rows of one key the newest batch wins.
     """
     spark = df.sparkSession
     root = fresh_path(spark, label)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        target = f"{root}/data/batch={batch_id}" if mode == "append" else f"{root}/data"
-        batch.write.mode("overwrite").parquet(target)
+        batch.write.mode("overwrite").parquet(f"{root}/data/batch={batch_id}")
 
-    query = start(df, mode, write, f"{root}/state")
-    query.awaitTermination()
-    result = spark.read.schema(df.schema).parquet(f"{root}/data")
-    return result.select(*df.columns)
+    start(df, "update", write, f"{root}/state", **trigger).awaitTermination()
+    wide = StructType(list(df.schema.fields)).add("batch", "long")
+    result = spark.read.schema(wide).parquet(f"{root}/data")
+    return keep_best(result, list(keys), [F.desc("batch")], 1).select(*df.columns)
 
 
 def embed_incrementally(chunks: DataFrame, done_path: str, embedder: Callable[[list[str]], np.ndarray], checkpoint: str,

@@ -150,9 +150,7 @@ def test_salted_join_with_one_dominant_key(spark):
     assert [r.key for r in joins.heavy_keys(many, "key", 0.2).collect()] == ["hot"]
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_substring_matches_equal_nested_loop(spark, monkeypatch, small):
-    monkeypatch.setattr(joins, "fits_broadcast", lambda df: small)
+def test_substring_matches_equal_nested_loop(spark):
     rng = random.Random(5)
     word = lambda n: "".join(rng.choice("가나다라") for _ in range(n))
     needles = sorted({word(rng.randint(1, 4)) for _ in range(25)})
@@ -165,51 +163,31 @@ def test_substring_matches_equal_nested_loop(spark, monkeypatch, small):
 
 # --- chunking -----------------------------------------------------------------
 
-def _windows_step_by_step(sizes, hard, target, overlap):
-    """Sentence numbers per window, one step at a time."""
-    out, i, n = [], 0, len(sizes)
-    while i < n:
-        if sizes[i] > hard:
-            out.append(("cut", i))
-            i += 1
-            continue
-        taken, used = [], 0
-        for j in range(i, n):
-            if taken and used + sizes[j] > target:
-                break
-            taken.append(j)
-            used += sizes[j]
-        out.append(("pack", tuple(taken)))
-        if taken[-1] == n - 1:
-            break
-        start, back = len(taken), 0
-        while start > 1 and back < overlap:
-            start -= 1
-            back += sizes[taken[start]]
-        i = taken[start] if start < len(taken) else taken[-1] + 1
-    return out
-
-
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(1, 14), min_size=1, max_size=25), st.integers(2, 12), st.integers(0, 5))
-def test_windows_follow_the_packing_rule(sizes, target, overlap):
+def test_windows_cover_overlap_and_fit(sizes, target, overlap):
     limits = Settings(embed_max_tokens=20, window_tokens=target, overlap_tokens=overlap)
     texts = [" ".join([f"s{i}w{j}" for j in range(n - 1)] + [f"s{i}end."]) for i, n in enumerate(sizes)]
-    got = chunking.windows(" ".join(texts), 10, limits)
-    hard, goal = 10, min(target, 10)
-    plan = _windows_step_by_step(sizes, hard, goal, min(overlap, goal - 1))
-    want = []
-    for kind, what in plan:
-        if kind == "pack":
-            want.append(" ".join(texts[j] for j in what))
-        else:
-            toks, step = texts[what].split(), max(1, hard - min(overlap, goal - 1))
-            for at in range(0, len(toks), step):
-                want.append(" ".join(toks[at:at + hard]))
-                if at + hard >= len(toks):
-                    break
-    assert got == want
-    assert all(len(w.split()) <= hard for w in got)
+    every = " ".join(texts).split()
+    place = {w: i for i, w in enumerate(every)}
+    got = [w.split() for w in chunking.windows(" ".join(texts), 10, limits)]
+    spans = [(place[w[0]], place[w[-1]]) for w in got]
+    # Runs of the text in order, none beyond the room left by the header.
+    assert all(w == every[a:b + 1] and len(w) <= 10 for w, (a, b) in zip(got, spans))
+    assert {w for window in got for w in window} == set(every)
+    assert spans == sorted(spans)
+    firsts = {place[t.split()[0]] for t in texts}
+    lasts = {place[t.split()[-1]] for t in texts}
+    whole = [(a, b) for a, b in spans if a in firsts and b in lasts]
+    # Windows of several sentences stay at the target, and no further sentence fits.
+    for a, b in whole:
+        inside = [len(t.split()) for t in texts if a <= place[t.split()[0]] <= b]
+        assert len(inside) == 1 or sum(inside) <= min(target, 10)
+        after = next((len(t.split()) for t in texts if place[t.split()[0]] == b + 1), None)
+        assert after is None or sum(inside) + after > min(target, 10)
+    # A window begins at most one sentence more than the overlap before the end of the last.
+    for (a, b), (c, d) in zip(spans, spans[1:]):
+        assert a < c <= b + 1
 
 
 def _docs(spark, *rows):
@@ -283,8 +261,7 @@ def test_embedding_once_per_text_and_fan_out(spark):
 def test_cost_gate(spark):
     with pytest.raises(PermissionError):
         embedding.check_cost({"n_unique_misses": 3}, confirm=False)
-    with pytest.raises(ValueError):
-        embedding.check_cost({"n_unique_misses": 3}, True, limit=20_001)
+    embedding.check_cost({"n_unique_misses": 3}, confirm=True)
     embedding.check_cost({"n_unique_misses": 0}, confirm=False)
 
 

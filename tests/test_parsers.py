@@ -124,7 +124,9 @@ def test_rule_articles_chapters_duplicates_and_empty_text(spark):
 
 def test_rule_whole_body_and_label_only(spark):
     assert P.parse_rules(files(spark, rule(spark, "1. 번호 목록\n2. 표"))).first().articles[0].article_no == "전문"
-    for body in ("", "없음", '<img id="1"></img>\n<IMG id="2">'):
+    short = P.parse_rules(files(spark, rule(spark, "없음"))).first()
+    assert [(a.article_no, a.text) for a in short.articles] == [("전문", "없음")]  # a short body is a body
+    for body in ("", " \n ", '<img id="1"></img>\n<IMG id="2">'):
         row = P.parse_rules(files(spark, rule(spark, body))).first()
         assert row.trust_grade == "B" and row.articles == []
 
