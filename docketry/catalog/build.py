@@ -26,7 +26,53 @@ def chunk_documents(spark, folder):
     )
 
 
-@query("window_chunks")
+# Windows step by step: sentence ends, token sums, then one window after the other.
+_WINDOWS_SQL = rf"""
+WITH RECURSIVE {CHUNKS_SQL}, heads AS (
+  SELECT k, i, chunk_id, line1 || chr(10) || line2 AS head, trim(line) AS body,
+    len(regexp_extract_all(line1 || ' ' || line2, '\S+')) AS head_tokens, len(regexp_extract_all(trim(line), '\S+')) AS body_tokens FROM chunks
+), long AS (
+  SELECT *, 160 - head_tokens AS room, least(60, 160 - head_tokens) AS goal,
+    string_split(regexp_replace(body, '([.!?。])[\s''"”’」』)\]]*\s+', '\1' || chr(1), 'g'), chr(1)) AS parts
+  FROM heads WHERE head_tokens + body_tokens > 160
+), raw_parts AS (
+  SELECT k, i, room, goal, trim(unnest(parts)) AS s, unnest(range(len(parts))) AS place FROM long
+), sized AS (
+  SELECT k, i, room, goal, s, row_number() OVER w - 1 AS j, count(*) OVER (PARTITION BY k, i) AS parts, regexp_extract_all(s, '\S+') AS tokens,
+    sum(len(regexp_extract_all(s, '\S+'))) OVER w AS upto
+  FROM raw_parts WHERE s <> '' WINDOW w AS (PARTITION BY k, i ORDER BY place)
+), ends AS (
+  SELECT a.k, a.i, a.j, any_value(a.room) AS room, any_value(a.tokens) AS tokens, any_value(a.upto) AS upto, any_value(a.parts) AS parts,
+    greatest(max(b.j) FILTER (b.upto - (a.upto - len(a.tokens)) <= a.goal), a.j) + 1 AS stop
+  FROM sized a JOIN sized b ON a.k = b.k AND a.i = b.i AND b.j BETWEEN a.j AND a.j + 60 GROUP BY a.k, a.i, a.j
+), follow AS (
+  SELECT e.k, e.i, e.j, any_value(e.room) AS room, any_value(e.tokens) AS tokens, any_value(e.stop) AS stop, any_value(e.parts) AS parts,
+    string_agg(b.s, ' ' ORDER BY b.j) FILTER (b.j < e.stop) AS text,
+    coalesce(max(b.j) FILTER (b.j > e.j AND b.j < e.stop AND l.upto - (b.upto - len(b.tokens)) >= 12), e.j + 1) AS back
+  FROM ends e JOIN sized b ON e.k = b.k AND e.i = b.i AND b.j BETWEEN e.j AND e.stop - 1
+    JOIN sized l ON l.k = e.k AND l.i = e.i AND l.j = e.stop - 1 GROUP BY e.k, e.i, e.j
+), steps AS (
+  SELECT *, CASE WHEN len(tokens) > room THEN j + 1 WHEN stop = parts THEN NULL ELSE greatest(back, j + 1) END AS next FROM follow
+), walk(k, i, j, n) AS (
+  SELECT k, i, CAST(0 AS BIGINT), 0 FROM long UNION ALL
+  SELECT w.k, w.i, s.next, n + 1 FROM walk w JOIN steps s ON s.k = w.k AND s.i = w.i AND s.j = w.j WHERE s.next IS NOT NULL AND s.next < s.parts
+), pieces AS (
+  SELECT w.k, w.i, w.n, 0 AS m, text FROM walk w JOIN steps s ON s.k = w.k AND s.i = w.i AND s.j = w.j WHERE len(tokens) <= room
+  UNION ALL
+  SELECT k, i, n, m, array_to_string(tokens[m + 1:m + room], ' ') FROM (
+    SELECT w.k, w.i, w.n, tokens, room, unnest(range(0, greatest(1, len(tokens) - 12), room - 12)) AS m
+    FROM walk w JOIN steps s ON s.k = w.k AND s.i = w.i AND s.j = w.j WHERE len(tokens) > room)
+), cut AS (
+  SELECT k, i, row_number() OVER (PARTITION BY k, i ORDER BY n, m) - 1 AS part_idx, text FROM pieces
+), every AS (
+  SELECT h.chunk_id, h.head, h.head_tokens, coalesce(c.part_idx, 0) AS part_idx, coalesce(c.text, h.body) AS part
+  FROM heads h LEFT JOIN cut c ON c.k = h.k AND c.i = h.i
+)
+SELECT regexp_replace(chunk_id, '#0$', '#' || part_idx) AS chunk_id, CAST(head_tokens + len(regexp_extract_all(part, '\S+')) AS INTEGER) AS n_tokens,
+  sha256(trim(nfc_normalize(head) || chr(10) || part)) AS content_hash, CAST(part_idx AS INTEGER) AS part_idx FROM every"""
+
+
+@query("window_chunks", _WINDOWS_SQL)
 def window_chunks(spark, folder):
     """Chunks under a small size limit, so that most articles are cut into overlapping windows."""
     small = replace(DEFAULTS, embed_max_tokens=160, window_tokens=60, overlap_tokens=12)
@@ -180,13 +226,18 @@ def cost_estimate(spark, folder):
 
 @query("vector_fan_out", """
 WITH h AS (SELECT doc_id, sha256(trim(text)) AS c FROM documents), first AS (SELECT c, min(doc_id) AS vec_id FROM h GROUP BY c)
-SELECT CAST(h.doc_id AS VARCHAR) AS chunk_id, round(CAST(e.embedding[1] AS DOUBLE), 6) AS x
+SELECT CAST(h.doc_id AS VARCHAR) AS chunk_id, round(list_sum(list_transform(range(1, len(e.embedding) + 1), lambda i: i * CAST(e.embedding[i] AS DOUBLE))), 4) AS x
 FROM h JOIN first USING (c) JOIN embeddings e USING (vec_id)""")
 def vector_fan_out(spark, folder):
     chunks = _hashed_documents(spark, folder)
     emb = table(spark, folder, "embeddings").select(F.col("vec_id").alias("position"), F.col("embedding").alias("vector"))
     vectors = dedup.one_per_hash(chunks, "content_hash", "position", []).join(emb, "position")
-    return embedding.fan_out(chunks, vectors).select("chunk_id", F.round(F.get("vector", F.lit(0)).cast("double"), 6).alias("x"))
+    return embedding.fan_out(chunks, vectors).select("chunk_id", F.round(_weighted_sum(F.col("vector")), 4).alias("x"))
+
+
+def _weighted_sum(vector):
+    """A number that every element of a vector takes part in, each with its own weight."""
+    return F.aggregate(F.transform(vector, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
 
 
 def _batches_sql(size: str, items: int, limit: int) -> str:
@@ -320,10 +371,10 @@ def laws_cited(spark, folder):
 
 
 @query("title_in_text", """
-WITH names AS (SELECT DISTINCT split_part(text, ' ', 2) AS name FROM benchmark), texts AS (SELECT conv_id, turn, text FROM conversations)
-SELECT name, conv_id, turn FROM names JOIN texts ON contains(text, name) WHERE name <> ''""")
+WITH names AS (SELECT DISTINCT name FROM (SELECT unnest(string_split(text, ' ')) AS name FROM benchmark) WHERE length(name) >= 9), texts AS (SELECT conv_id, turn, text FROM conversations)
+SELECT name, conv_id, turn FROM names JOIN texts ON contains(text, name)""")
 def title_in_text(spark, folder):
-    """Containment join: names found inside longer texts, through their rarest letter pair."""
-    names = table(spark, folder, "benchmark").select(F.split_part("text", F.lit(" "), F.lit(2)).alias("name")).distinct()
+    """Containment join: all long words of the passages found inside turns, through their rarest letter pair."""
+    names = table(spark, folder, "benchmark").select(F.explode(F.split("text", " ")).alias("name")).where(F.length("name") >= 9).distinct()
     texts = table(spark, folder, "conversations").select("conv_id", "turn", "text")
     return substring_matches(names, texts, "name", "text", ["conv_id", "turn"]).select("name", "conv_id", "turn")

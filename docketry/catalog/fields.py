@@ -32,12 +32,12 @@ def normalize_body(spark, folder):
 
 
 @query("extract_amendments", rf"""
-SELECT doc_id, CAST(len(regexp_extract_all(x, '<개정[^>]*>')) AS INTEGER) AS notes, regexp_extract(x, '<개정[^>]*>') AS first_note
+SELECT doc_id, CAST(len(regexp_extract_all(x, '<개정[^>]*>')) AS INTEGER) AS notes, array_to_string(regexp_extract_all(x, '<개정[^>]*>'), '|') AS all_notes
 FROM (SELECT doc_id, {_PLANTED} AS x FROM documents)""")
 def extract_amendments(spark, folder):
     notes = T.amendments_in(_planted())
     return spread(table(spark, folder, "documents"), "doc_id").select(
-        "doc_id", F.size(notes).alias("notes"), F.coalesce(F.get(notes, F.lit(0)), F.lit("")).alias("first_note")
+        "doc_id", F.size(notes).alias("notes"), F.array_join(notes, "|").alias("all_notes")
     )
 
 

@@ -59,13 +59,14 @@ def dense_topk_overfetch(spark, folder):
 
 @query("unit_vectors", """
 SELECT vec_id, round(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)), 6) AS squared,
-  round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS first_unit,
+  round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: i * CAST(embedding[i] AS DOUBLE)))
+    / sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 4) AS weighted_unit,
   len(embedding) = 64 AS right_size
 FROM embeddings""")
 def unit_vectors(spark, folder):
     v = F.col("embedding")
     return table(spark, folder, "embeddings").select(
-        "vec_id", F.round(dot(v, v), 6).alias("squared"), F.round(F.get(unit(v), F.lit(0)), 6).alias("first_unit"),
+        "vec_id", F.round(dot(v, v), 6).alias("squared"), F.round(F.aggregate(F.transform(unit(v), lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x), 4).alias("weighted_unit"),
         (F.size(v) == 64).alias("right_size"),
     )
 

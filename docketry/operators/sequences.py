@@ -7,7 +7,8 @@ order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from docketry.session import stage
+
 RANGE_ROWS = 1_000_000
 
 
@@ -45,16 +48,24 @@ def running_total(df: DataFrame, by: Sequence[str], bucket: Column, order: Seque
     )
 
 
+def ranged(df: DataFrame, order: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Rows with ``rng``: numbers of consecutive ranges of about ``range_rows`` rows, whatever the values of ``order``."""
+    ranges = max(1, math.ceil(df.count() / range_rows))
+    return stage(df.repartitionByRange(ranges, order).withColumn("rng", F.spark_partition_id().cast("long")), "ranges")
+
+
 def changes(df: DataFrame, order: str, value: str, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Rows whose ``value`` differs from the previous row's, the first row included."""
-    rows = df.select(order, value).withColumn("_range", F.floor(F.col(order) / range_rows))
-    inside = Window.partitionBy("_range").orderBy(order)
+    rows = ranged(df.select(order, value), order, range_rows)
+    inside = Window.partitionBy("rng").orderBy(order)
     marked = rows.withColumn("_prev", F.lag(value).over(inside)).withColumn("_at", F.row_number().over(inside))
-    ends = rows.groupBy("_range").agg(F.max_by(value, order).alias("_last"))
-    # One row per range: the only place where ranges are put in sequence.
-    carried = ends.withColumn("_before", F.lag("_last").over(Window.orderBy("_range"))) \
-        .withColumn("_is_first", F.row_number().over(Window.orderBy("_range")) == 1)
-    joined = marked.join(carried.select("_range", "_before", "_is_first"), "_range")
+    ends = rows.groupBy("rng").agg(F.max_by(F.struct(value), order).alias("_last"))
+    # One row per million rows: the only place where ranges are put in sequence.
+    carried = ends.select(
+        "rng", F.lag(F.col(f"_last.`{value}`")).over(Window.orderBy("rng")).alias("_before"),
+        (F.row_number().over(Window.orderBy("rng")) == 1).alias("_is_first"),
+    )
+    joined = marked.join(carried, "rng")
     previous = F.when(F.col("_at") > 1, F.col("_prev")).otherwise(F.col("_before"))
     changed = (F.col("_is_first") & (F.col("_at") == 1)) | ~previous.eqNullSafe(F.col(value))
     return joined.where(changed).select(order, value)
@@ -80,12 +91,13 @@ def greedy_batches(df: DataFrame, order: str, size: str, max_items: int, max_siz
 
     A row larger than ``max_size`` forms a batch alone. The rule carries state from
     row to row, yet it is evaluated in parallel: every range works out, for each
-    row at which its first new batch could begin, how that choice ends; a pass over
-    those digests fixes the state at each range start; ranges then number their
-    rows. Returns ``order, batch_no`` (0-based).
+    row at which its first new batch could begin, how that choice ends. Such digests
+    compose like functions, so neighbours are merged in a tree, and the state at each
+    range start follows from the root down; no task sees more than two digests of
+    ``max_items`` rows. Ranges then number their rows. Returns ``order, batch_no``
+    (0-based).
     """
-    rows = df.select(F.col(order).cast("long").alias("ord"), F.col(size).cast("long").alias("size")) \
-        .withColumn("rng", F.floor(F.col("ord") / range_rows))
+    rows = ranged(df.select(F.col(order).cast("long").alias("ord"), F.col(size).cast("long").alias("size")), "ord", range_rows)
 
     def digest(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord")
@@ -100,36 +112,64 @@ def greedy_batches(df: DataFrame, order: str, size: str, max_items: int, max_siz
                 batches[i] = 1 + batches[nxt[i]]
         width = min(max_items, n)
         return pd.DataFrame({
-            "rng": pdf["rng"].iloc[0], "at": np.arange(width), "n": n, "total": int(prefix[-1]), "upto": prefix[1:width + 1],
+            "node": pdf["rng"].iloc[0], "at": np.arange(width), "n": n, "total": int(prefix[-1]), "upto": prefix[1:width + 1],
             "tail_items": n - last[:width], "tail_size": prefix[-1] - prefix[last[:width]], "batches": batches[:width],
         })
 
-    digests = rows.groupBy("rng").applyInPandas(
-        digest, "rng long, at long, n long, total long, upto long, tail_items long, tail_size long, batches long"
-    )
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items = held = 0
-        batch, current, settled, skipped = -1, None, True, (0, 0)
-        for pdf in frames:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if r.rng != current:
-                    if not settled:  # the open batch swallowed the whole range before
-                        items, held = items + skipped[0], held + skipped[1]
-                    out.append((r.rng, items, held, batch))
-                    current, settled, skipped = r.rng, False, (r.n, r.total)
-                if not settled and (batch < 0 or items + r.at + 1 > max_items or held + r.upto > max_size):
-                    batch += 1 + r.batches
-                    items, held, settled = r.tail_items, r.tail_size, True
-            yield pd.DataFrame(out, columns=["rng", "items", "held", "batch"])
-
-    # The digests are a small fraction of the rows; they stream through one task in order.
-    states = digests.repartition(1).sortWithinPartitions("rng", "at").mapInPandas(
-        fold, "rng long, items long, held long, batch long"
-    )
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        node = pdf["node"].iloc[0] // 2
+        halves = [h.sort_values("at") for _, h in pdf.groupby("node", sort=True)]
+        if len(halves) == 1:
+            return halves[0].assign(node=node)
+        left, right = ({c: h[c].to_numpy() for c in h} for h in halves)
+        n, total = int(left["n"][0]), int(left["total"][0])
+        m, more = int(right["n"][0]), int(right["total"][0])
+        # Where the open batch of each choice breaks in the right half, if it does.
+        at = np.minimum(max_items - left["tail_items"], np.searchsorted(right["upto"], max_size - left["tail_size"], "right"))
+        inside, at = at < m, np.minimum(at, len(right["at"]) - 1)
+        out = {
+            "upto": left["upto"], "tail_items": np.where(inside, right["tail_items"][at], left["tail_items"] + m),
+            "tail_size": np.where(inside, right["tail_size"][at], left["tail_size"] + more),
+            "batches": left["batches"] + np.where(inside, 1 + right["batches"][at], 0),
+        }
+        # Choices whose first break lies in the right half already.
+        extra = max(0, min(max_items, n + m) - n) if len(left["at"]) == n else 0
+        tail = {"upto": total + right["upto"], **{c: right[c] for c in ("tail_items", "tail_size", "batches")}}
+        merged = {c: np.concatenate([out[c], tail[c][:extra]]) for c in out}
+        return pd.DataFrame({"node": node, "at": np.arange(len(merged["upto"])), "n": n + m, "total": total + more, **merged})
+
+    def descend(digests: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        items, held, batch = (int(state[c].iloc[0]) for c in ("items", "held", "batch"))
+        out = []
+        for node, half in digests.groupby("node", sort=True):
+            out.append((node, items, held, batch))
+            half = half.sort_values("at")
+            n = int(half["n"].iloc[0])
+            at = 0 if batch < 0 else min(max_items - items, int(np.searchsorted(half["upto"].to_numpy(), max_size - held, "right")))
+            if at >= n:  # the open batch swallows this part
+                items, held = items + n, held + int(half["total"].iloc[0])
+            else:
+                row = half.iloc[at]
+                items, held, batch = int(row["tail_items"]), int(row["tail_size"]), batch + 1 + int(row["batches"])
+        return pd.DataFrame(out, columns=["node", "items", "held", "batch"])
+
+    shape = "node long, at long, n long, total long, upto long, tail_items long, tail_size long, batches long"
+    levels = [stage(rows.groupBy("rng").applyInPandas(digest, shape), "digests")]
+    parent = F.floor(F.col("node") / 2)
+    ranges = rows.agg(F.coalesce(F.max("rng"), F.lit(0)) + 1).first()[0]
+    for _ in range(max(0, math.ceil(math.log2(ranges)))):
+        levels.append(stage(levels[-1].groupBy(parent.alias("up")).applyInPandas(compose, shape), "digests"))
+    states = rows.sparkSession.createDataFrame([(0, 0, 0, -1)], "node long, items long, held long, batch long")
+    for level in levels[-2::-1]:
+        states = stage(
+            level.groupBy(parent.alias("up")).cogroup(states.groupBy("node")).applyInPandas(descend, "node long, items long, held long, batch long"),
+            "states",
+        )
+    states = states.withColumnRenamed("node", "rng")
 
     def number(pdf: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty:
+            return pd.DataFrame({"ord": [], "batch_no": []})
         pdf = pdf.sort_values("ord")
         prefix = np.concatenate([[0], np.cumsum(pdf["size"].to_numpy())])
         n = len(pdf)
