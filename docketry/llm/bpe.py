@@ -15,6 +15,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.llm.shipping import mapped, ship_arrays
+from docketry.session import stage
 
 # Fixed value: the pattern that splits text into words before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -37,9 +39,9 @@ LATIN_WORD = re.compile(rf" ?[{_L}]+| ?[{_N}]+|'(?:[stmd]|re|ve|ll)| ?[^{_S}{_L}
 class Lexicon:
     """``size``: pieces compiled; ``cache``: words a task remembers; ``chunk``: characters handled together."""
 
-    size: int = 65_536
-    cache: int = 300_000
-    chunk: int = 2_000_000
+    size: int = 131_072
+    cache: int = 200_000
+    chunk: int = 1_000_000
     max_bytes: int = 64 << 20
 
 
@@ -66,38 +68,44 @@ class Merger:
             self.pieces[i] = token.encode()
         single = {self.pieces[i]: i for i in vocab.values() if len(self.pieces[i]) == 1}
         self.of_byte = [single[bytes([b])] for b in range(256)]
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        self.made = [vocab[a + b] for a, b in pairs]
+        self.rank = {vocab[a] * self.size + vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
 
     def ids(self, word: bytes) -> list[int]:
         """Merge the best-ranked pair, leftmost first, until none is left; a heap keeps long words linear-logarithmic."""
         symbols = [self.of_byte[b] for b in word]
-        merges = self.merges
-        if len(symbols) <= 32:
-            while len(symbols) > 1:
-                best = min((merges[p][0], i) for i, p in enumerate(zip(symbols, symbols[1:])) if p in merges) if any(
-                    p in merges for p in zip(symbols, symbols[1:])
-                ) else None
-                if best is None:
-                    break
-                i = best[1]
-                symbols[i:i + 2] = [merges[symbols[i], symbols[i + 1]][1]]
-            return symbols
+        if len(symbols) > 64:
+            return self._long_ids(symbols)
+        size, none, made, rank = self.size, len(self.made), self.made, self.rank.get
+        ranks = [rank(a * size + b, none) for a, b in zip(symbols, symbols[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            symbols[i] = made[best]
+            del symbols[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank(symbols[i - 1] * size + symbols[i], none)
+            if i < len(ranks):
+                ranks[i] = rank(symbols[i] * size + symbols[i + 1], none)
+        return symbols
+
+    def _long_ids(self, symbols: list[int]) -> list[int]:
+        size, rank = self.size, self.rank
         after = [*range(1, len(symbols)), -1]
         before = [-1, *range(len(symbols) - 1)]
-        heap = [(merges[p][0], i, p) for i, p in enumerate(zip(symbols, symbols[1:])) if p in merges]
+        heap = [(rank[p], i, p) for i, p in enumerate(a * size + b for a, b in zip(symbols, symbols[1:])) if p in rank]
         heapq.heapify(heap)
 
         def offer(i: int) -> None:
-            if i >= 0 and after[i] >= 0 and (p := (symbols[i], symbols[after[i]])) in merges:
-                heapq.heappush(heap, (merges[p][0], i, p))
+            if i >= 0 and after[i] >= 0 and (p := symbols[i] * size + symbols[after[i]]) in rank:
+                heapq.heappush(heap, (rank[p], i, p))
 
         while heap:
-            _, i, pair = heapq.heappop(heap)
+            best, i, pair = heapq.heappop(heap)
             j = after[i]
-            if j < 0 or (symbols[i], symbols[j]) != pair:
+            if j < 0 or symbols[i] * size + symbols[j] != pair:
                 continue
-            symbols[i], symbols[j] = merges[pair][1], -1
+            symbols[i], symbols[j] = self.made[best], -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
@@ -228,10 +236,18 @@ def count_pieces(docs: DataFrame, text_col: str = "text", lexicon: Lexicon = Lex
 
 
 def build_lexicon(docs: DataFrame, path: str, text_col: str = "text", lexicon: Lexicon = Lexicon()) -> dict[str, str]:
-    """Compile the words of the most frequent pieces (ties in code point order) and send the automaton to the executors."""
-    top = count_pieces(docs, text_col, lexicon).orderBy(F.col("n").desc(), "piece").limit(lexicon.size)
+    """Compile the words of the most frequent pieces and send the automaton to the executors."""
+    counts = stage(count_pieces(docs, text_col, lexicon), "pieces").withColumn("level", F.floor(F.log2("n") * 64))
+    # The lowest level of counts from which on the pieces fit; levels are few at any size.
+    room, level = lexicon.size, None
+    for row in counts.groupBy("level").count().orderBy(F.col("level").desc()).collect():
+        room -= row["count"]
+        if room < 0:
+            break
+        level = row["level"]
+    top = [] if level is None else counts.where(F.col("level") >= level).select("piece").collect()  # at most lexicon.size rows
     rules = merger(path)
-    found = {w for row in top.collect() for w in split_words(" " + row["piece"], rules.specials)}  # at most lexicon.size pieces
+    found = {w for row in top for w in split_words(" " + row["piece"], rules.specials)}
     words = sorted(w.encode() for w in found if w not in rules.specials)
     ids = [rules.ids(w) for w in words]
     arrays = compile_words(words) | {
@@ -267,8 +283,27 @@ class Encoder:
             self.known[word] = tuple(flat[low:high].tolist()) if number >= 0 else tuple(self.rules.ids(piece))
 
 
-def encode(docs: DataFrame, path: str, names: dict[str, str], id_col: str = "doc_id", text_col: str = "text", lexicon: Lexicon = Lexicon()) -> DataFrame:
-    """One row per input row: doc_id and the ids of the whole text.
+class Decoder:
+    """Texts of ids inside a task: the bytes of all ids, read as UTF-8 with faulty bytes replaced."""
+
+    def __init__(self, rules: Merger) -> None:
+        self.sizes = np.array([len(p) for p in rules.pieces], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.stock = np.frombuffer(b"".join(rules.pieces), np.uint8)
+
+    def texts(self, flat: np.ndarray, ends: np.ndarray) -> list[str]:
+        width = self.sizes[flat]
+        at = np.concatenate(([0], np.cumsum(width)))
+        data = self.stock[np.repeat(self.starts[flat] - at[:-1], width) + np.arange(at[-1])].tobytes()
+        bounds = at[ends].tolist()
+        return [data[x:y].decode("utf-8", "replace") for x, y in zip(bounds[:-1], bounds[1:])]
+
+
+def encode(
+    docs: DataFrame, path: str, names: dict[str, str], id_col: str = "doc_id", text_col: str = "text", lexicon: Lexicon = Lexicon(),
+    decoded: bool = False,
+) -> DataFrame:
+    """One row per input row: doc_id and the ids of the whole text; with ``decoded`` also what they stand for.
 
     A null or empty text has no ids. Repeated rows and null ids are rows like others, an
     empty table gives no rows, other columns are ignored.
@@ -277,55 +312,44 @@ def encode(docs: DataFrame, path: str, names: dict[str, str], id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = merger(SparkFiles.get(name))
-        encoder = Encoder(rules, mapped(names), lexicon.cache)
+        encoder, decoder = Encoder(rules, mapped(names), lexicon.cache), Decoder(rules)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _chunks(texts, lexicon.chunk):
                 words = [split_words(t, rules.specials) for t in texts[a:b]]
                 encoder.learn(set().union(*words))
-                known = encoder.known
-                flat: list[int] = []
-                ends = [0]
-                for doc in words:
-                    for ids in map(known.__getitem__, doc):
-                        flat += ids
-                    ends.append(len(flat))
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32())),
-                ], names=["doc_id", "ids"])
+                find = encoder.known.__getitem__
+                docs_ids = [np.fromiter(chain.from_iterable(map(find, doc)), np.int32) for doc in words]
+                flat = np.concatenate(docs_ids)
+                ends = np.concatenate(([0], np.cumsum([len(i) for i in docs_ids]))).astype(np.int32)
+                columns = [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+                if decoded:
+                    columns.append(pa.array(decoder.texts(flat, ends), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][:len(columns)])
 
     docs.sparkSession.sparkContext.addFile(path)
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, f"doc_id {dict(chosen.dtypes)['doc_id']}, ids array<int>")
+    return chosen.mapInArrow(run, f"doc_id {dict(chosen.dtypes)['doc_id']}, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Adds ``decoded``: the bytes of the ids, read as UTF-8 with faulty bytes replaced."""
+    """Adds ``decoded`` to a table of doc_id and ids; null ids stand for an empty text."""
     name = path.rsplit("/", 1)[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = merger(SparkFiles.get(name)).pieces
-        sizes = np.array([len(p) for p in pieces], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        stock = np.frombuffer(b"".join(pieces), np.uint8)
+        decoder = Decoder(merger(SparkFiles.get(name)))
         for batch in batches:
             ids = batch.column(1)
             ends = np.asarray(ids.offsets, np.int64)
-            flat = np.asarray(ids.values, np.int64)
-            at = np.concatenate(([0], np.cumsum(sizes[flat])))
-            texts = []
-            for k in range(len(ids)):
-                own = flat[ends[k]:ends[k + 1]]
-                width = sizes[own]
-                shift = np.repeat(starts[own] - (at[ends[k]:ends[k + 1]] - at[ends[k]]), width)
-                texts.append(stock[shift + np.arange(len(shift))].tobytes().decode("utf-8", "replace"))
+            texts = decoder.texts(np.asarray(ids.values, np.int64)[ends[0]:ends[-1]], ends - ends[0])
             yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    kinds = dict(encoded.dtypes)
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kinds['doc_id']}, ids array<int>, decoded string")
+    encoded.sparkSession.sparkContext.addFile(path)
+    return encoded.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(
+        run, f"doc_id {dict(encoded.dtypes)['doc_id']}, ids array<int>, decoded string",
+    )
 
 
 def encode_documents(docs: DataFrame, path: str, lexicon: Lexicon = Lexicon()) -> DataFrame:
-    """Build the lexicon of ``docs`` and encode and decode every row."""
-    return decode(encode(docs, path, build_lexicon(docs, path, lexicon=lexicon), lexicon=lexicon), path)
+    """Build the lexicon of ``docs`` and encode and decode every row in one pass."""
+    return encode(docs, path, build_lexicon(docs, path, lexicon=lexicon), lexicon=lexicon, decoded=True)
