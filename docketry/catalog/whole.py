@@ -10,7 +10,7 @@ from docketry.catalog.data import ARTICLES_SQL, CORPUS_SQL, LABEL_QUERIES_SQL, V
 from docketry.functions.vectors import unit
 from docketry.operators import inventory
 from docketry.operators.lexical import build_index
-from docketry.plans import answer
+from docketry.plans import answer, review
 from docketry.plans.search import articles_of, cases_of
 from docketry.session import fresh_path, stage
 from docketry.sources import records
@@ -163,3 +163,38 @@ def answer_plan(spark, folder):
     ))
     done = answer.answer_plan(corpus(spark, folder), queries, cites, TODAY, k=3, min_score=0.7)
     return done.select("query_id", "decision", "n_blocks", "n_citations", "trust_score")
+
+
+@query("review_plan", f"""
+WITH {VECTORS_SQL}, {LABEL_QUERIES_SQL}, scored AS ({dense_sql("vectors")}),
+found AS (
+  SELECT query_id, vec_id, title, rank, 0 AS pass FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+    FROM scored WHERE doc_type IN ('law', 'admrule')) WHERE rank <= 4
+  UNION ALL SELECT query_id, vec_id, title, rank, 1 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 2),
+shown AS (SELECT query_id % 2 AS review_id, title, row_number() OVER (PARTITION BY query_id % 2 ORDER BY query_id, pass, rank) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id % 2, vec_id ORDER BY query_id, pass, rank) AS n FROM found) WHERE n = 1),
+copies AS (SELECT review_id, string_agg(title, ' / ') AS copy FROM shown WHERE rank % 2 = 0 GROUP BY review_id),
+claims AS (SELECT query_id % 2 AS review_id, count(*) AS n_claims FROM queries GROUP BY 1)
+SELECT c.review_id, n_claims, (SELECT count(*) FROM shown s WHERE s.review_id = c.review_id) AS n_blocks,
+  (SELECT count(*) FROM shown s WHERE s.review_id = c.review_id) AS n_issues,
+  (SELECT count(*) FROM shown s WHERE s.review_id = c.review_id AND s.rank % 5 IN (0, 1)) AS n_violations,
+  (SELECT count(*) FROM shown s WHERE s.review_id = c.review_id AND s.rank % 3 = 0) AS n_citations,
+  (SELECT count(*) FROM shown s JOIN copies p USING (review_id) WHERE s.review_id = c.review_id AND s.rank % 5 IN (0, 1) AND contains(copy, s.title)) AS n_unresolved
+FROM claims c""")
+def review_plan(spark, folder):
+    """Two reviews whose claims are the labels; the model's part is planted on the shown blocks."""
+    claims = label_queries(spark, folder).withColumns({"review_id": F.col("query_id") % 2, "ordinal": F.col("query_id")})
+
+    def judge(shown):
+        verdicts = F.array(*[F.lit(v) for v in ("위반", "위반소지", "주의", "적정", "unknown")])
+        issues = shown.select(
+            "review_id", F.col("rank").alias("issue_no"), F.concat(F.lit(" "), "title").alias("claim"),
+            F.element_at(verdicts, (F.col("rank") % 5 + 1).cast("int")).alias("verdict"), F.lit("high").alias("severity"),
+        )
+        none = F.lit(None).cast("string").alias("location")
+        cited = shown.where("rank % 3 = 0").select("review_id", F.col("rank").alias("ordinal"), F.col("vec_id").cast("string").alias("source_id"), none)
+        unknown = shown.where("rank = 1").select("review_id", F.lit(0).alias("ordinal"), F.lit("none").alias("source_id"), none)
+        copies = shown.where("rank % 2 = 0").groupBy("review_id").agg(F.array_join(F.collect_list("title"), " / ").alias("corrected_copy"))
+        return issues, cited.unionByName(unknown).unionByName(cited), copies
+
+    return review.review_plan(corpus(spark, folder), claims, judge, TODAY)

@@ -6,14 +6,17 @@ output arrives here as tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.text import strip
 from docketry.operators.dedup import keep_first
 from docketry.operators.ranking import numbered
-from docketry.plans.answer import REVIEW_GRADE_NOTE, STATUTE_TYPES, context_block
+from docketry.plans.answer import REVIEW_GRADE_NOTE, STATUTE_TYPES, check_citations, context_block
 from docketry.plans.search import Corpus, search
+from docketry.session import stage
 
 # Closed sets, the retrieval suffix and display order of verdicts.
 VERDICTS = ("위반", "위반소지", "주의", "적정", "확인필요")
@@ -107,3 +110,30 @@ def unresolved(issues: DataFrame, rewrites: DataFrame) -> DataFrame:
         .where(F.contains(F.coalesce("corrected_copy", F.lit("")), phrase))
         .drop("corrected_copy")
     )
+
+
+def review_plan(corpus: Corpus, claims: DataFrame, judge: Callable[[DataFrame], tuple[DataFrame, DataFrame, DataFrame]], today: str,
+                mode: str = "exact") -> DataFrame:
+    """Claims, retrieval, judged issues, citation firewall and residue check in one plan.
+
+    ``claims`` has ``review_id, ordinal, query_id, text, vector``. ``judge`` stands for the
+    reviewing model: it gets the shown blocks and returns issues (``review_id, issue_no,
+    claim, verdict, severity``), citations (``review_id, ordinal, source_id, location``)
+    and rewrites (``review_id, corrected_copy``). One row per review with the number of
+    claims, blocks, issues, violations, citations that point at a shown block, and
+    violations still standing in the rewrite.
+    """
+    usable = stage(usable_claims(claims), "claims")
+    shown = stage(retrieve(corpus, usable, mode), "review-blocks")
+    issues, citations, rewrites = judge(shown)
+    issues = stage(coerce_issues(issues), "issues")
+    as_query = lambda df: df.withColumnRenamed("review_id", "query_id")
+    checked = check_citations(as_query(citations), as_query(shown), today, corpus.key).withColumnRenamed("query_id", "review_id")
+    count = lambda df, name: df.groupBy("review_id").agg(F.count(F.lit(1)).alias(name))
+    out = count(usable, "n_claims")
+    for df, name in (
+        (shown, "n_blocks"), (issues, "n_issues"), (issues.where(F.col("verdict").isin(*VIOLATIONS)), "n_violations"),
+        (checked, "n_citations"), (unresolved(issues, rewrites), "n_unresolved"),
+    ):
+        out = out.join(count(df, name), "review_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
