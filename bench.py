@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from docketry.catalog import load_all  # noqa: E402
-from docketry.session import build_session  # noqa: E402
+from docketry.session import build_session, remove_staged  # noqa: E402
 
 HEADLINE = (
     "dense_topk", "dense_topk_filtered_exact", "dense_topk_overfetch", "bm25_topk", "rrf_hybrid", "hybrid_page",
@@ -39,6 +39,7 @@ def main() -> None:
         start = time.perf_counter()
         entries[name].run(spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        remove_staged(spark)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),

@@ -240,9 +240,9 @@ def _weighted_sum(vector):
     return F.aggregate(F.transform(vector, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
 
 
-def _batches_sql(size: str, items: int, limit: int) -> str:
+def _batches_sql(size: str, items: int, limit: int, order: str = "doc_id") -> str:
     return f"""
-WITH RECURSIVE s AS (SELECT doc_id, {size} AS size, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
+WITH RECURSIVE s AS (SELECT {order} AS doc_id, {size} AS size, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
 p AS (SELECT *, sum(size) OVER (ORDER BY n) AS upto FROM s),
 nxt AS (SELECT a.n AS n, min(b.n) AS m FROM p a JOIN p b ON b.n > a.n AND b.n <= a.n + {items}
     AND (b.n - a.n + 1 > {items} OR b.upto - (a.upto - a.size) > {limit}) GROUP BY a.n),
@@ -265,6 +265,20 @@ def shard_plan(spark, folder):
     return greedy_batches(rows, "doc_id", "bytes", 100, 60_000, range_rows=256)
 
 
+@query("request_batches_sparse", _batches_sql(r"len(regexp_split_to_array(trim(text), '\s+'))", DEFAULTS.batch_items, DEFAULTS.batch_tokens, "doc_id * 5000011"))
+def request_batches_sparse(spark, folder):
+    """Requests under the production limits, numbered far apart."""
+    rows = table(spark, folder, "documents").select((F.col("doc_id") * 5000011).alias("doc_id"), count_tokens(F.col("text")).alias("tokens"))
+    return greedy_batches(rows, "doc_id", "tokens", DEFAULTS.batch_items, DEFAULTS.batch_tokens, range_rows=100)
+
+
+@query("shard_plan_sparse", _batches_sql("strlen(text)", DEFAULTS.shard_lines, DEFAULTS.shard_bytes // 512, "doc_id * 5000011"))
+def shard_plan_sparse(spark, folder):
+    """Upload shards under the production line limit and a byte limit that these tables reach."""
+    rows = table(spark, folder, "documents").select((F.col("doc_id") * 5000011).alias("doc_id"), F.octet_length("text").alias("bytes"))
+    return greedy_batches(rows, "doc_id", "bytes", DEFAULTS.shard_lines, DEFAULTS.shard_bytes // 512, range_rows=100)
+
+
 @query("corpus_stats", f"""
 WITH {CORPUS_SQL}, {ARTICLES_SQL}, n AS (SELECT k, count(*) AS a FROM articles GROUP BY k)
 SELECT doc_type, law_kind, count(*) AS docs, CAST(sum(coalesce(a, 0)) AS BIGINT) AS articles,

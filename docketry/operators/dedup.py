@@ -50,11 +50,6 @@ def one_per_hash(df: DataFrame, hash_col: str, order: str, keep: Sequence[str])
     return grouped.select(hash_col, "_first.*", "n_members")
 
 
-def latest(df: DataFrame, key: str, sequence: str, value: str) -> DataFrame:
-    """Value of the last row per key in an append-only log."""
-    return df.groupBy(key).agg(F.max_by(value, sequence).alias(value))
-
-
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 

@@ -7,24 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.settings import DEFAULTS
-
-
-def fits_broadcast(df: DataFrame, limit: int = DEFAULTS.broadcast_bytes) -> bool:
-    """Whether the measured size of ``df`` is within the broadcast bound.
-
-    Counts rows and sums the text size of every row in one distributed pass, so
-    the answer does not rest on an optimizer estimate.
-    """
-    row_bytes = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
-    total = df.agg(F.coalesce(F.sum(row_bytes), F.lit(0)).alias("n")).first()["n"]
-    return total <= limit
-
-
-def checked_broadcast(df: DataFrame, limit: int = DEFAULTS.broadcast_bytes) -> DataFrame:
-    """``df`` with a broadcast hint if it is small enough, else unchanged (shuffle join)."""
-    return F.broadcast(df) if fits_broadcast(df, limit) else df
-
 
 def heavy_keys(df: DataFrame, key: str, share: float = 0.001) -> DataFrame:
     """Keys that each hold more than ``share`` of the rows; never more than ``1/share`` keys."""

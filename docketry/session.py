@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN_FOLDER: dict[str, str] = {}
 _SHIPPED: set[str] = set()
+_STAGED: list[str] = []
 
 SQL_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -73,7 +74,16 @@ def shared_folder(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """Path under the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/docketry/{label}-{uuid.uuid4().hex}"
+    _STAGED.append(f"{shared_folder(spark)}/docketry/{label}-{uuid.uuid4().hex}")
+    return _STAGED[-1]
+
+
+def remove_staged(spark: SparkSession) -> None:
+    """Delete the intermediate tables that this application wrote; results that read them must be written before."""
+    jvm = spark.sparkContext._jvm
+    while _STAGED:
+        path = jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

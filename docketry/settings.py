@@ -40,7 +40,6 @@ class Settings:
     min_score: float = 0.20
     batch_items: int = 2_048
     batch_tokens: int = 280_000
-    wave_tokens: int = 2_600_000
     shard_lines: int = 50_000
     shard_bytes: int = 190 * 1024 * 1024
     price_per_million: float = 0.02

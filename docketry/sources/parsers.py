@@ -22,7 +22,6 @@ STATUTE_INLINE = r"(?mdU)^(제\d+조(?:의\d+)?)[ \t]*\(([^)]*)\)"
 STATUTE_CHAPTER = r"(?mdU)^#{1,4}\s*(제\d+장(?:의\d+)?)[ \t]*(.*?)[ \t]*$"
 STATUTE_SECTION = r"(?mdU)^#{1,4}\s*(제\d+절(?:의\d+)?)[ \t]*(.*?)[ \t]*$"
 SUPPLEMENT = r"(?mdU)^##\s*부칙"
-TITLE_LINE = r"(?mdU)^#\s+.*$"
 HEADING_NOTE = r"(?dU)\s*[<＜].*$"
 RULE_INLINE = r"(?mdU)^(제\d+조(?:의\d+)?)\s*(?:\(([^)]*)\))?"
 RULE_HASH = r"(?mdU)^#{3,6}\s*(제\d+조(?:의\d+)?)\s*(?:\(([^)]*)\))?"

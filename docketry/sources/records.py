@@ -34,12 +34,6 @@ def first_rows(df: DataFrame, n: int, order: str) -> DataFrame:
     return df.orderBy(order).limit(n)
 
 
-def write_table(df: DataFrame, path: str, by: str | None = None, mode: str = "overwrite") -> None:
-    """Parquet output; readers see either the old or the new files of the committed job."""
-    writer = df.write.mode(mode)
-    (writer.partitionBy(by) if by else writer).parquet(path)
-
-
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
@@ -52,15 +46,3 @@ def write_audit(df: DataFrame, path: str) -> None:
 def append_cache(fresh: DataFrame, path: str, sequence: int) -> None:
     """Add lines to the embedding cache; later sequences win when it is read."""
     fresh.select("content_hash", "vector", F.lit(sequence).cast("long").alias("seq")).write.mode("append").parquet(path)
-
-
-def little_endian(vector: str = "vector"):
-    """Vector column as packed float32 bytes."""
-    import numpy as np
-    import pandas as pd
-
-    @F.pandas_udf("binary")
-    def pack(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
-
-    return pack(F.col(vector))
