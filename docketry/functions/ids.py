@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docketry.functions.text import drop_whitespace, nfc, strip
 from docketry.settings import DOC_PREFIX, POINT_NAMESPACE
 
+
 def doc_id(doc_type: str, *parts: Column) -> Column:
     """``PREFIX:part:part``; null when any part is missing or blank."""
     if doc_type not in DOC_PREFIX:
