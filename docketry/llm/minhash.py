@@ -16,10 +16,18 @@ from docketry.llm.textbytes import LOWER, blocks, mix, prefix_sums, range_hashes
 from docketry.session import stage
 
 
+#: Shingles per 0/1 matrix of a block comparison.
+WIDTH = 2048
+
+
 @dataclass(frozen=True)
 class Near:
     """Texts are linked from ``percent`` of common shingles of ``words`` words.
 
+    ``hubs``: hubs each bucket is compared with; ``block``: classes compared at once;
+    ``open_bands``: bands whose buckets the last step compares in full (two texts at 85 %
+    share one of them but for one case in 10**5).
+
     ``bands`` of ``rows`` minima each: two texts at 85 % share a band but for one case in
     10**8, at 80 % but for three in 10**6. Candidates whose minima agree in less than
     ``percent`` less ``slack`` standard errors are not compared in full.
@@ -30,7 +38,9 @@ class Near:
     bands: int = 32
     rows: int = 5
     slack: float = 4.5
-    star_rounds: int = 2
+    hubs: int = 3
+    block: int = 1024
+    open_bands: int = 20
 
     @property
     def least_agreement(self) -> int:
@@ -125,14 +135,106 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
     return joined.where(100 * common >= near.percent * (both - common)).select("a", "b")
 
 
+def block_links(nodes: list[int], roots: list[int], left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members of ``left`` and of ``right`` with different roots: as many as join all roots that links join.
+
+    Overlaps come from products of 0/1 matrices over the shingles that occur twice,
+    some thousand columns at a time.
+    """
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat := np.concatenate(sets), kind="stable")
+    ranked, owner = flat[order], owner[order]
+    new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
+    column = np.cumsum(new) - 1
+    often = np.bincount(column) > 1
+    shared = often[column]
+    column, owner = (np.cumsum(often) - 1)[column[shared]], owner[shared]
+    common = np.zeros((len(left), len(right)), np.float32)
+    edges = np.searchsorted(column, np.arange(0, int(often.sum()) + WIDTH, WIDTH))
+    for a, b in zip(edges[:-1], edges[1:]):
+        block = np.zeros((len(sets), WIDTH), np.float32)
+        block[owner[a:b], column[a:b] % WIDTH] = 1
+        common += block[left] @ block[right].T
+    both = sizes[left][:, None] + sizes[right][None, :]
+    tags = np.array(roots)
+    linked = (100 * common >= percent * (both - common)) & (tags[left][:, None] != tags[right][None, :])
+    top = {r: r for r in roots}
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(linked))):
+        a, b = int(left[i]), int(right[j])
+        x, y = find(roots[a]), find(roots[b])
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            out.append((nodes[a], nodes[b]))
+    return out
+
+
+def _open_links(open_: DataFrame, sets: DataFrame, near: Near) -> DataFrame:
+    """Links across components inside buckets (bucket, node, root).
+
+    A bucket is dealt into blocks by hash; every two blocks meet in one group of rows, so
+    a row is sent once per block of its bucket and no pair is ever a row.
+    """
+    sized = open_.groupBy("bucket").agg(
+        F.ceil(F.count(F.lit(1)) / near.block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("m"),
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"),
+    )
+    # Buckets of several bands with the same members are compared once.
+    once = sized.groupBy("m", "mark").agg(F.min("bucket").alias("bucket"), F.first("blocks").alias("blocks"))
+    dealt = open_.join(once.select("bucket", "blocks"), "bucket").withColumn("own", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("blocks")).cast("int"))
+    sent = dealt.join(sets, "node").select(
+        "bucket", "node", "root", "own", "members", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"),
+    ).select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "root", "members")
+
+    def solve(group: list[tuple], low: int, high: int) -> list[tuple[int, int]]:
+        own = np.array([g[0] for g in group])
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        return block_links([g[1] for g in group], [g[2] for g in group], left, right, [g[3] for g in group], near.percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+        last = None
+
+        def finish() -> pa.RecordBatch:
+            links = solve(group, last[1], last[2]) if len({g[2] for g in group}) > 1 else []
+            return pa.RecordBatch.from_arrays(
+                [pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["a", "b"],
+            )
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2))))
+            listed = batch.column(6)
+            ends = np.asarray(listed.offsets)
+            flat = np.asarray(listed.values)
+            rest = list(zip(*(batch.column(k).to_pylist() for k in (3, 4, 5))))
+            for i, key in enumerate(keys):
+                if key != last and group:
+                    yield finish()
+                    group = []
+                last = key
+                group.append((*rest[i], flat[ends[i]:ends[i + 1]]))
+        if group:
+            yield finish()
+
+    return sent.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInArrow(run, "a long, b long")
+
+
 def near_groups(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: at, doc_id, n_shingles, component_id, kept, first.
 
     Rows with equal sets form one class and are never paired. Classes that share a band
-    key are candidates: in each bucket every class is compared with one hub, linked ones
+    key are candidates: in each bucket every class is compared with a few hubs, linked ones
     are joined into components, and in the end the classes of a bucket that are still in
-    different components are compared with each other, so no link between components is
-    missed while a large group of similar texts costs one comparison per text.
+    different components are compared block by block inside tasks, so no link between
+    components is missed, no pair is a row, and a group of similar texts that a few hubs
+    link costs a few comparisons per text.
 
     ``component_id`` is the smallest id reachable, ``kept`` whether it is the row's own;
     ``first`` is true for exactly one row of each component, also if ids repeat or are
@@ -151,7 +253,7 @@ def near_groups(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", te
     nodes = signed.join(placed.where("at = node").select("at"), "at", "left_semi").withColumnRenamed("at", "node")
     spread = nodes.select("node", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
     full = spread.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stage(spread.join(full, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "node", "n", "size"), "buckets")
+    members = stage(spread.join(full, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "band", "node", "n", "size"), "buckets")
     wanted = members.select("node").distinct()
     sets = stage(
         _sets(rows.select("at", "text").join(wanted, F.col("at") == F.col("node"), "left_semi"), near), "sets",
@@ -161,36 +263,24 @@ def near_groups(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", te
     def fits(x: str, y: str):
         return 100 * F.least(x, y) >= near.percent * F.greatest(x, y)
 
-    def check(pairs: DataFrame, tried: DataFrame | None, label: str) -> tuple[DataFrame, DataFrame]:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(pairs, f"{label}-pairs")
-        return pairs, stage(_confirmed(stage(_agreeing(pairs, marks, near), f"{label}-agreeing"), sets, near), f"{label}-links")
-
-    tried, links, roots = None, None, None
-    for turn in range(near.star_rounds + 1):
-        now = members if roots is None else members.join(roots, "node", "left")
-        root = F.col("node") if roots is None else F.coalesce("root", "node")
-        now = now.withColumn("root", root)
-        if turn:
-            now = now.where("size > 2")
-            mixed = now.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-            now = stage(now.join(mixed, "bucket", "left_semi"), "open-buckets")
-        if turn < near.star_rounds:
-            hubs = now.groupBy("bucket").agg(F.min_by(F.struct("node", "n", "root"), F.xxhash64(F.lit(turn), "node")).alias("hub"))
-            pairs = now.join(hubs, "bucket").where(
-                (F.col("root") != F.col("hub.root")) & fits("n", "hub.n"),
-            ).select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
-        else:
-            other = now.select("bucket", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-            pairs = now.join(other, "bucket").where(
-                (F.col("node") < F.col("b")) & (F.col("root") != F.col("other")) & fits("n", "m"),
-            ).select(F.col("node").alias("a"), "b")
-        done, found = check(pairs, tried, f"near-{turn}")
-        tried = done if tried is None else tried.unionByName(done)
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
+    # Several hubs of each bucket at once: one verification and one run of components.
+    hubs = members.groupBy("bucket").agg(F.array_distinct(F.array(*[
+        F.min_by(F.struct("node", "n"), F.xxhash64(F.lit(turn), "node")) for turn in range(near.hubs)
+    ])).alias("hubs"))
+    pairs = members.join(hubs, "bucket").select("node", "n", F.explode("hubs").alias("hub")).where(
+        (F.col("node") != F.col("hub.node")) & fits("n", "hub.n"),
+    ).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    agreeing = stage(_agreeing(pairs, marks, near), "agreeing")
+    links = stage(_confirmed(agreeing, sets, near), "near-links")
+    roots = components(links)
+    placed_in = members.where((F.col("size") > 2) & (F.col("band") < near.open_bands)).join(roots, "node", "left").select(
+        "bucket", "node", F.coalesce("root", "node").alias("root"),
+    )
+    mixed = placed_in.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    open_ = stage(placed_in.join(mixed, "bucket", "left_semi"), "open-buckets")
+    more = stage(_open_links(open_, sets, near), "open-links")
+    if not more.isEmpty():
+        roots = components(links.unionByName(more))
 
     every = signed.select("at", "doc_id", "n_shingles").where("n_shingles = 0").withColumn("node", F.col("at")).unionByName(placed)
     grouped = every.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
