@@ -24,13 +24,12 @@ WIDTH = 2048
 class Near:
     """Texts are linked from ``percent`` of common shingles of ``words`` words.
 
-    ``hubs``: hubs each bucket is compared with; ``block``: classes compared at once;
-    ``open_bands``: bands whose buckets the last step compares in full (two texts at 85 %
-    share one of them but for one case in 10**5).
+    ``hubs``: hubs each bucket is compared with; ``block``: classes compared at once.
 
     ``bands`` of ``rows`` minima each: two texts at 85 % share a band but for one case in
-    10**8, at 80 % but for three in 10**6. Candidates whose minima agree in less than
-    ``percent`` less ``slack`` standard errors are not compared in full.
+    10**8, at 80 % but for three in 10**6. Pairs of a class and a hub whose minima agree in
+    less than ``percent`` less ``slack`` standard errors are not compared in full (seven
+    links in 10**6 at the threshold); the last step compares without that filter.
     """
 
     words: int = 5
@@ -40,7 +39,6 @@ class Near:
     slack: float = 4.5
     hubs: int = 3
     block: int = 1024
-    open_bands: int = 20
 
     @property
     def least_agreement(self) -> int:
@@ -232,8 +230,8 @@ def near_groups(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", te
     Rows with equal sets form one class and are never paired. Classes that share a band
     key are candidates: in each bucket every class is compared with a few hubs, linked ones
     are joined into components, and in the end the classes of a bucket that are still in
-    different components are compared block by block inside tasks, so no link between
-    components is missed, no pair is a row, and a group of similar texts that a few hubs
+    different components are compared block by block inside tasks, so no link inside a
+    bucket of more than two classes is missed, no pair is a row, and a group of similar texts that a few hubs
     link costs a few comparisons per text.
 
     ``component_id`` is the smallest id reachable, ``kept`` whether it is the row's own;
@@ -253,7 +251,7 @@ def near_groups(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", te
     nodes = signed.join(placed.where("at = node").select("at"), "at", "left_semi").withColumnRenamed("at", "node")
     spread = nodes.select("node", F.col("n_shingles").alias("n"), F.posexplode("bands").alias("band", "key"))
     full = spread.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = stage(spread.join(full, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "band", "node", "n", "size"), "buckets")
+    members = stage(spread.join(full, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "node", "n", "size"), "buckets")
     wanted = members.select("node").distinct()
     sets = stage(
         _sets(rows.select("at", "text").join(wanted, F.col("at") == F.col("node"), "left_semi"), near), "sets",
@@ -273,7 +271,7 @@ def near_groups(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", te
     agreeing = stage(_agreeing(pairs, marks, near), "agreeing")
     links = stage(_confirmed(agreeing, sets, near), "near-links")
     roots = components(links)
-    placed_in = members.where((F.col("size") > 2) & (F.col("band") < near.open_bands)).join(roots, "node", "left").select(
+    placed_in = members.where("size > 2").join(roots, "node", "left").select(
         "bucket", "node", F.coalesce("root", "node").alias("root"),
     )
     mixed = placed_in.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")

@@ -287,6 +287,26 @@ def test_star_components(edges):
     assert multiset((r.node, r.root) for r in got) == multiset(root.items())
 
 
+def test_pairs_that_meet_in_a_late_band_only_are_linked(spark, tmp_path):
+    random.seed(5)
+    core = [f"c{k}" for k in range(60)]
+    data = []
+    for i in range(150):
+        own = [f"a{i}x{k}" for k in range(55)]
+        data += [(2 * i, " ".join(core + own), "en", "a", 0), (2 * i + 1, " ".join(core + own[:18] + [f"b{i}x{k}" for k in range(37)]), "en", "a", 0)]
+    df = cases.settled(spark, cases.table(spark, data), tmp_path)
+    near = minhash.Near(words=1, percent=50, rows=3)
+    signed = minhash.signatures(df.select(F.lit(0).cast("long").alias("at"), "doc_id", "text"), near).collect()
+    bands = {r.doc_id: np.array(r.bands) for r in signed}
+    sets = {r[0]: set(r[1].split()) for r in data}
+    met = [i for i in range(0, 300, 2) if (bands[i] == bands[i + 1]).any()]
+    late = [i for i in met if not (bands[i] == bands[i + 1])[:20].any()]
+    assert len(late) > 3 and all(2 * len(sets[i] & sets[i + 1]) >= len(sets[i] | sets[i + 1]) for i in met)
+    got = {r.doc_id: r.component_id for r in minhash.near_groups(df, near).collect()}
+    assert [i for i in range(0, 300, 2) if got[i + 1] == i] == met
+    assert all(got[i] == i for i in range(0, 300, 2))
+
+
 # pages
 
 def page(article: str, notice: str = "We use cookies", k: int = 0) -> str:
