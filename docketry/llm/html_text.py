@@ -1,9 +1,9 @@
 """Main text of web pages by wrapper induction.
 
-The block elements of a page form a tree. The pages of a host are aligned with one page
-of that host by simple tree matching (runs of like siblings count as one node, so lists
+The block elements of a page form a tree. The pages of a host are aligned with a page of
+their own layout by simple tree matching (runs of like siblings count as one node, so lists
 of any length align). Nodes whose text is the same on nearly all distinct pages of the
-host are its template; nodes whose text varies are slots. The main text is what stands in
+layout are its template; nodes whose text varies are slots. The main text is what stands in
 slots, outside of elements that are navigation, advertising, forms or comments by name,
 and inside the article where a page marks one.
 """
@@ -40,6 +40,8 @@ ASIDE_WORDS = frozenset(
 )
 TOKEN = re.compile(r"<!--|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+#: Elements that come and go with what a page says; a frame is a tree without them.
+CONTENT = frozenset("address blockquote dd details dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup li ol p pre summary ul".split())
 DEPTH = 120
 
 
@@ -47,6 +49,8 @@ DEPTH = 120
 class Wrapper:
     """A node is template if ``least`` distinct pages match it and its text is equal on ``share`` of them.
 
+    A layout of ``least`` distinct pages has a reference of its own.
+
     Wrappers of all hosts travel to every task if they take ``broadcast_bytes`` at most;
     otherwise pages are joined with them by host.
     """
@@ -231,7 +235,31 @@ def _own_text(node: Node) -> str:
     return "\n".join(t for _, t in node.blocks)
 
 
-@functools.lru_cache(maxsize=64)
+def _digest(tree: Node) -> bytes:
+    return hashlib.blake2b("\n".join(_own_text(n) for n in listed(tree)).encode(), digest_size=16).digest()
+
+
+def _code(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def layout(tree: Node) -> tuple[int, int, int]:
+    """Digests of a folded tree's labels and of its frame's labels, and the number of its nodes."""
+    nodes = 0
+
+    def written(node: Node) -> tuple[str, str]:
+        nonlocal nodes
+        nodes += 1
+        below = [written(c) for c in node.children]
+        inner = "".join(x for _, x in below)
+        whole = f"<{node.label}{''.join(x for x, _ in below)}>"
+        return whole, inner if node.label.partition(" ")[0] in CONTENT else f"<{node.label}{inner}>"
+
+    whole, frame = written(tree)
+    return _code(whole), _code(frame), nodes
+
+
+@functools.lru_cache(maxsize=256)
 def _wrapper(reference: str) -> tuple[Node, dict[int, int]]:
     tree = fold(parse(reference))
     return tree, {id(n): i for i, n in enumerate(listed(tree))}
@@ -265,29 +293,74 @@ def slots(page: str, reference: str | None) -> tuple[bytes, list[int], list[tupl
             found += [(number, known.get(id(node), -1), text) for number, text in node.blocks]
         todo.extend((c, inside) for c in node.children)
     found.sort()
-    digest = hashlib.blake2b("\n".join(_own_text(n) for n in listed(tree)).encode(), digest_size=16).digest()
-    return digest, states, [(at, text) for _, at, text in found]
+    return _digest(tree), states, [(at, text) for _, at, text in found]
+
+
+def _layouts_of(pages: DataFrame, last: str) -> DataFrame:
+    """Adds layout, frame, nodes and digest, null for pages without text, to columns that end in html."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for page in batch.column(batch.num_columns - 1).to_pylist():
+                tree = fold(parse(page))
+                text = any(n.blocks for n in listed(tree))
+                made.append((*layout(tree), _digest(tree)) if text else (None, None, None, None))
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, *(pa.array([m[k] for m in made], kinds[k]) for k in range(4))],
+                names=[*batch.schema.names, "layout", "frame", "nodes", "digest"],
+            )
+
+    return pages.mapInArrow(run, f"{last}, layout long, frame long, nodes int, digest binary")
 
 
 def _slots_of(pages: DataFrame, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [slots(page, reference) for page, reference in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            made = [slots(page, reference) for page, reference in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
             yield pa.RecordBatch.from_arrays([
-                *batch.columns[:3], pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int32())),
+                *batch.columns[:4], pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.int32())),
                 pa.array(
                     [[{"node": n, "text": t} for n, t in m[2]] for m in made], pa.list_(pa.struct([("node", pa.int32()), ("text", pa.string())])),
                 ),
-            ], names=["page_id", "url", "host", "digest", "states", "blocks"])
+            ], names=["page_id", "url", "host", "ref", "digest", "states", "blocks"])
 
     return pages.mapInArrow(
-        run, f"page_id {kind}, url string, host string, digest binary, states array<int>, blocks array<struct<node:int,text:string>>",
+        run, f"page_id {kind}, url string, host string, ref long, digest binary, states array<int>, blocks array<struct<node:int,text:string>>",
     )
 
 
-def _beside(pages: DataFrame, table: DataFrame, size: int, wrapper: Wrapper) -> DataFrame:
-    """Join by host; the table travels to every task only if it was measured to be small."""
-    return pages.join(F.broadcast(table) if size <= wrapper.broadcast_bytes else table, "host", "left")
+def _beside(pages: DataFrame, table: DataFrame, keys: list[str], width, wrapper: Wrapper, how: str = "left") -> DataFrame:
+    """Join by the keys; the table, of ``width`` bytes a row, travels to every task only if it was measured to be small."""
+    size = table.agg(F.coalesce(F.sum(width + F.octet_length("host") + 64), F.lit(0))).first()[0]
+    return pages.join(F.broadcast(table) if size <= wrapper.broadcast_bytes else table, keys, how)
+
+
+def _references(rows: DataFrame, wrapper: Wrapper) -> tuple[DataFrame, DataFrame]:
+    """(host, layout, ref): the layout whose reference each layout is aligned with; (host, ref, model): the references.
+
+    A layout of ``least`` distinct pages has its own; a rarer one takes the most frequent of
+    its frame, or of the host if the whole frame is rare. Pages without text are no references.
+    """
+    keyed = rows.select("host", F.xxhash64("html").alias("page"), "html")
+    seen = _layouts_of(keyed, "host string, page long, html string").where("layout is not null")
+    layouts = stage(
+        seen.groupBy("host", "frame", "layout", "digest").agg(F.min("page").alias("page"), F.max("nodes").alias("nodes"))
+        .groupBy("host", "frame", "layout").agg(F.count(F.lit(1)).alias("n"), F.max("nodes").alias("nodes"), F.min("page").alias("page")),
+        "layouts",
+    )
+    most = F.max(F.struct("n", "nodes", "layout"))
+    frames = layouts.groupBy("host", "frame").agg(most.alias("of_frame"), F.sum("n").alias("total"))
+    hosts = layouts.groupBy("host").agg(most.alias("of_host"))
+    assigned = stage(layouts.join(frames, ["host", "frame"]).join(hosts, "host").select(
+        "host", "layout", F.when(F.col("n") >= wrapper.least, F.col("layout")).when(F.col("total") >= wrapper.least, F.col("of_frame.layout"))
+        .otherwise(F.col("of_host.layout")).alias("ref"),
+    ), "assigned")
+    wanted = stage(
+        layouts.select("host", F.col("layout").alias("ref"), "page").join(assigned.select("host", "ref").distinct(), ["host", "ref"], "left_semi"), "wanted",
+    )
+    found = _beside(keyed, wanted, ["host", "page"], F.lit(16), wrapper, "inner")
+    return assigned, stage(found.groupBy("host", "ref").agg(F.min("html").alias("model")), "models")
 
 
 def main_text(
@@ -304,19 +377,20 @@ def main_text(
     rows = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"),
     )
-    models = stage(rows.groupBy("host").agg(F.min_by("html", F.xxhash64("html", "page_id")).alias("model")), "models")
-    size = models.agg(F.coalesce(F.sum(F.octet_length("model") + 64), F.lit(0))).first()[0]
-    joined = _beside(rows, models, size, wrapper).select("page_id", "url", "host", "html", "model")
-    found = stage(_slots_of(joined, dict(rows.dtypes)["page_id"]), "slots")
-    distinct = found.groupBy("host", "digest").agg(F.first("states").alias("states"))
-    nodes = distinct.select("host", F.posexplode("states").alias("node", "state")).groupBy("host", "node").agg(
+    kind = dict(rows.dtypes)["page_id"]
+    assigned, models = _references(rows, wrapper)
+    laid = _layouts_of(rows, f"page_id {kind}, url string, host string, html string").drop("frame", "nodes", "digest")
+    joined = _beside(laid, assigned, ["host", "layout"], F.lit(16), wrapper)
+    joined = _beside(joined, models, ["host", "ref"], F.octet_length("model"), wrapper).select("page_id", "url", "host", "ref", "html", "model")
+    found = stage(_slots_of(joined, kind), "slots")
+    distinct = found.groupBy("host", "ref", "digest").agg(F.min("states").alias("states"))
+    nodes = distinct.select("host", "ref", F.posexplode("states").alias("node", "state")).groupBy("host", "ref", "node").agg(
         F.count_if(F.col("state") > 0).alias("matched"), F.count_if(F.col("state") == 2).alias("equal"),
     )
     constant = nodes.where((F.col("matched") >= wrapper.least) & (F.col("equal") >= wrapper.share * F.col("matched")))
-    templates = stage(constant.groupBy("host").agg(F.collect_list("node").alias("fixed")), "templates")
-    size = templates.agg(F.coalesce(F.sum(F.size("fixed") * 4 + 64), F.lit(0))).first()[0]
+    templates = stage(constant.groupBy("host", "ref").agg(F.collect_list("node").alias("fixed")), "templates")
     free = F.filter("blocks", lambda b: ~F.coalesce(F.array_contains("fixed", b["node"]), F.lit(False)))
     text = F.array_join(F.transform(free, lambda b: b["text"]), "\n\n")
-    return _beside(found, templates, size, wrapper).select("page_id", "url", text.alias("text")).withColumn(
+    return _beside(found, templates, ["host", "ref"], F.size("fixed") * 4, wrapper).select("page_id", "url", text.alias("text")).withColumn(
         "n_chars", F.length("text").cast("long"),
     )

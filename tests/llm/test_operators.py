@@ -343,6 +343,24 @@ def test_small_hosts_have_no_template(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_every_layout_of_a_host_has_its_template(spark):
+    def first(k):
+        return f"<div class=a><p>Constant one</p></div><section><p>{cases.prose(k, 8)}</p></section>"
+
+    def second(k):
+        return f"<table><tr><td>Constant two</table><div class=b><p>{cases.prose(k, 9)}</p>{'<ul><li>' + cases.prose(k, 3) + '</ul>' if k == 27 else ''}</div>"
+
+    data = [(k, f"http://h.org/{k}", first(k)) for k in range(8)] + [(k, f"http://h.org/{k}", second(k)) for k in range(20, 28)]
+    data += [(100 + k, f"http://h.org/{k}", None if k % 2 else "") for k in range(40)]
+    for seed in range(3):
+        moved = [(i, u, h and h + "<!-- -->" * seed) for i, u, h in data]
+        text = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(moved, "page_id long, url string, html string")).collect()}
+        assert [text[k] for k in range(8)] == [cases.prose(k, 8) for k in range(8)]
+        assert [text[k] for k in range(20, 27)] == [cases.prose(k, 9) for k in range(20, 27)]
+        assert text[27] == f"{cases.prose(27, 9)}\n\n{cases.prose(27, 3)}"
+        assert all(text[100 + k] == "" for k in range(40))
+
+
 def test_tree_matching_is_the_largest():
     a, b = (html_text.fold(html_text.parse(t)) for t in ("<ul><li>x</ul><p>a</p><table><tr><td>q</table>", "<p>b</p><div>n</div><table><tr><td>r</table>"))
     assert [x.label for x, _ in html_text.align(a, b)] == ["", "table", "tr", "td", "p"]
