@@ -5,7 +5,8 @@ their own layout by simple tree matching (runs of like siblings count as one nod
 of any length align). Nodes whose text is the same on nearly all distinct pages of the
 layout are its template; nodes whose text varies are slots. The main text is what stands in
 slots, outside of elements that are navigation, advertising, forms or comments by name,
-and inside the article where a page marks one.
+and inside the article where a page marks one that is none of these. An element that
+contains that article is never dropped for its class.
 """
 
 from __future__ import annotations
@@ -64,6 +65,7 @@ class Wrapper:
 class Node:
     label: str
     aside: bool
+    named: bool
     article: bool
     children: list["Node"] = field(default_factory=list)
     blocks: list[tuple[int, str]] = field(default_factory=list)
@@ -76,7 +78,7 @@ def _space(text: str) -> str:
 
 def parse(page: str) -> Node:
     """Tree of block elements; every block of text has its number in page order."""
-    root = Node("", False, False)
+    root = Node("", False, False, False)
     stack = [root]
     tags = [""]
     buffer: list[str] = []
@@ -148,11 +150,12 @@ def parse(page: str) -> Node:
         if tag == "hr":
             continue
         names = [next(x for x in m.groups() if x is not None) for m in ATTRIBUTE.finditer(found[3])] if "=" in found[3] else []
-        words = set(re.split(r"[^a-z0-9]+", " ".join(names).lower()))
+        words = set(" ".join(names).lower().split())
         inside = any(n.article for n in stack)
         node = Node(
-            " ".join([tag, *sorted(words - {""})]),
-            tag in ASIDE_TAGS or (tag == "header" and not inside) or (tag not in ("body", "html", "article", "main") and bool(words & ASIDE_WORDS)),
+            " ".join([tag, *sorted(words)]),
+            tag in ASIDE_TAGS or (tag == "header" and not inside),
+            tag not in ("body", "html", "main") and bool(words & ASIDE_WORDS),
             tag in ("article", "main"),
         )
         if len(tags) > DEPTH:
@@ -172,12 +175,12 @@ def fold(node: Node) -> Node:
         if folded and folded[-1].label == child.label:
             folded[-1].parts.append(child)
         else:
-            folded.append(Node(child.label, child.aside, child.article, parts=[child]))
+            folded.append(Node(child.label, child.aside, child.named, child.article, parts=[child]))
     for run in folded:
-        merged = Node(run.label, run.aside, run.article, [c for p in run.parts for c in p.children], [b for p in run.parts for b in p.blocks])
+        merged = Node(run.label, run.aside, run.named, run.article, [c for p in run.parts for c in p.children], [b for p in run.parts for b in p.blocks])
         inner = fold(merged)
         run.children, run.blocks, run.parts = inner.children, inner.blocks, []
-    return Node(node.label, node.aside, node.article, folded, node.blocks)
+    return Node(node.label, node.aside, node.named, node.article, folded, node.blocks)
 
 
 def listed(root: Node) -> list[Node]:
@@ -265,6 +268,47 @@ def _wrapper(reference: str) -> tuple[Node, dict[int, int]]:
     return tree, {id(n): i for i, n in enumerate(listed(tree))}
 
 
+def _has(node: Node, wanted) -> bool:
+    """Whether a node outside of the asides below ``node``, or itself, is wanted."""
+    return wanted(node) or any(_has(c, wanted) for c in node.children if not (c.aside or c.named))
+
+
+def _chosen(tree: Node) -> dict[int, Node]:
+    """The articles that hold the main text, and what contains them.
+
+    These are the articles outside asides, and every ``main`` that is in none by its tag.
+    Without them, an article that has the class of an aside or is inside one is taken only
+    if the page has its only first-level heading there, or has no text outside asides.
+    """
+    clear: list[list[Node]] = []
+    doubtful: list[list[Node]] = []
+    headings: list[Node] = []
+    todo: list[tuple[list[Node], bool]] = [([tree], False)]
+    while todo:
+        path, named = todo.pop()
+        node = path[-1]
+        if node.label.partition(" ")[0] == "h1":
+            headings.append(node)
+        if node.aside:
+            # Headings in there count; a form may hold a whole page.
+            if node.label.partition(" ")[0] != "form":
+                headings += [n for n in listed(node)[1:] if n.label.partition(" ")[0] == "h1"]
+                continue
+            named = True
+        named = named or node.named
+        if node.article and _has(node, lambda n: bool(n.blocks)):
+            (doubtful if named and not node.label.startswith("main") else clear).append(path)
+        todo.extend((path + [c], named) for c in node.children)
+    if not clear and doubtful:
+        top = {id(n) for n in headings}
+        headed = [p for p in doubtful if any(id(n) in top for n in listed(p[-1]))]
+        if headed and top <= {id(n) for p in headed for n in listed(p[-1])}:
+            clear = headed
+        elif not _has(tree, lambda n: bool(n.blocks)):
+            clear = doubtful
+    return {id(n): n for p in clear for n in p}
+
+
 def slots(page: str, reference: str | None) -> tuple[bytes, list[int], list[tuple[int, str]]]:
     """Digest of a page's text, state of each reference node, and the page's candidate blocks.
 
@@ -281,15 +325,15 @@ def slots(page: str, reference: str | None) -> tuple[bytes, list[int], list[tupl
             known[id(b)] = numbers[id(a)]
             own = _own_text(a)
             states[numbers[id(a)]] = 2 if own and own == _own_text(b) else 1
-    marked = any(n.article for n in listed(tree))
+    kept = _chosen(tree)
     found: list[tuple[int, int, str]] = []
     todo = [(tree, False)]
     while todo:
         node, inside = todo.pop()
-        if node.aside:
+        if (node.aside or node.named) and id(node) not in kept:
             continue
-        inside = inside or node.article
-        if inside or not marked:
+        inside = inside or (node.article and id(node) in kept)
+        if inside or not kept:
             found += [(number, known.get(id(node), -1), text) for number, text in node.blocks]
         todo.extend((c, inside) for c in node.children)
     found.sort()

@@ -343,6 +343,24 @@ def test_small_hosts_have_no_template(spark):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<div><h1>Head</h1><p>Text</p></div><div id=comments><article>Mine</article></div><aside><article>Teaser</article></aside>", ["Head", "Text"]),
+    ("<div id=page class='no-sidebar'><article><h1>Head</h1>Text</article></div>", ["Head", "Text"]),
+    ("<div class='page sidebar'><article><h1>Head</h1>Text</article></div><p>Imprint", ["Head", "Text"]),
+    ("<div class=sidebar><article>Text</article></div>", ["Text"]),
+    ("<div class=social><main>Text</main></div><div class=related><article>Teaser</article></div>", ["Text"]),
+    ("<form id=page><div><article>Text</article></div></form>", ["Text"]),
+    ("<article>Text</article><article class='comment'>Mine</article>", ["Text"]),
+    ("<article>Text<article class='comment odd'>Mine</article></article>", ["Text"]),
+    ("<article class='social'><h1>Head</h1>Text</article>", ["Head", "Text"]),
+    ("<div><p>Text</div><article class=comment>Mine</article>", ["Text"]),
+    ("<main></main><div>Text</div>", ["Text"]),
+    ("<div class='no sidebar'>Menu</div><div class=no-sidebar>Text</div>", ["Text"]),
+])
+def test_main_text_does_not_vanish(page, want):
+    assert [t for _, t in html_text.slots(page, None)[2]] == want
+
+
 def test_every_layout_of_a_host_has_its_template(spark):
     def first(k):
         return f"<div class=a><p>Constant one</p></div><section><p>{cases.prose(k, 8)}</p></section>"
