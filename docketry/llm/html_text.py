@@ -238,10 +238,6 @@ def _own_text(node: Node) -> str:
     return "\n".join(t for _, t in node.blocks)
 
 
-def _digest(tree: Node) -> bytes:
-    return hashlib.blake2b("\n".join(_own_text(n) for n in listed(tree)).encode(), digest_size=16).digest()
-
-
 def _code(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=8).digest(), "big", signed=True)
 
@@ -309,9 +305,31 @@ def _chosen(tree: Node) -> dict[int, Node]:
     return {id(n): n for p in clear for n in p}
 
 
+def candidates(tree: Node) -> list[tuple[int, Node, str]]:
+    """Number, node and text of the blocks outside asides, inside the chosen articles if there are any."""
+    kept = _chosen(tree)
+    found: list[tuple[int, Node, str]] = []
+    todo = [(tree, False)]
+    while todo:
+        node, inside = todo.pop()
+        if (node.aside or node.named) and id(node) not in kept:
+            continue
+        inside = inside or (node.article and id(node) in kept)
+        if inside or not kept:
+            found += [(number, node, text) for number, text in node.blocks]
+        todo.extend((c, inside) for c in node.children)
+    return sorted(found, key=lambda f: f[0])
+
+
+def _digest(found: list[tuple[int, Node, str]]) -> bytes:
+    return hashlib.blake2b("\n".join(text for _, _, text in found).encode(), digest_size=16).digest()
+
+
 def slots(page: str, reference: str | None) -> tuple[bytes, list[int], list[tuple[int, str]]]:
-    """Digest of a page's text, state of each reference node, and the page's candidate blocks.
+    """Digest of a page's candidate blocks, state of each reference node, and those blocks.
 
+    Navigation, adverts and what else surrounds an article are not in the digest, so copies
+    of an article are one page for the template whatever surrounds them.
     States: 0 no match, 1 matched with other text or none, 2 matched with equal text.
     A block is (number of the reference node or -1, text).
     """
@@ -325,30 +343,19 @@ def slots(page: str, reference: str | None) -> tuple[bytes, list[int], list[tupl
             known[id(b)] = numbers[id(a)]
             own = _own_text(a)
             states[numbers[id(a)]] = 2 if own and own == _own_text(b) else 1
-    kept = _chosen(tree)
-    found: list[tuple[int, int, str]] = []
-    todo = [(tree, False)]
-    while todo:
-        node, inside = todo.pop()
-        if (node.aside or node.named) and id(node) not in kept:
-            continue
-        inside = inside or (node.article and id(node) in kept)
-        if inside or not kept:
-            found += [(number, known.get(id(node), -1), text) for number, text in node.blocks]
-        todo.extend((c, inside) for c in node.children)
-    found.sort()
-    return _digest(tree), states, [(at, text) for _, at, text in found]
+    found = candidates(tree)
+    return _digest(found), states, [(known.get(id(node), -1), text) for _, node, text in found]
 
 
 def _layouts_of(pages: DataFrame, last: str) -> DataFrame:
-    """Adds layout, frame, nodes and digest, null for pages without text, to columns that end in html."""
+    """Adds layout, frame, nodes and digest, null for pages without candidate blocks, to columns that end in html."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
             for page in batch.column(batch.num_columns - 1).to_pylist():
                 tree = fold(parse(page))
-                text = any(n.blocks for n in listed(tree))
-                made.append((*layout(tree), _digest(tree)) if text else (None, None, None, None))
+                found = candidates(tree)
+                made.append((*layout(tree), _digest(found)) if found else (None, None, None, None))
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array([m[k] for m in made], kinds[k]) for k in range(4))],
@@ -384,7 +391,7 @@ def _references(rows: DataFrame, wrapper: Wrapper) -> tuple[DataFrame, DataFrame
     """(host, layout, ref): the layout whose reference each layout is aligned with; (host, ref, model): the references.
 
     A layout of ``least`` distinct pages has its own; a rarer one takes the most frequent of
-    its frame, or of the host if the whole frame is rare. Pages without text are no references.
+    its frame, or of the host if the whole frame is rare. Pages without candidate blocks are no references.
     """
     keyed = rows.select("host", F.xxhash64("html").alias("page"), "html")
     seen = _layouts_of(keyed, "host string, page long, html string").where("layout is not null")

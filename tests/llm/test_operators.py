@@ -361,6 +361,15 @@ def test_main_text_does_not_vanish(page, want):
     assert [t for _, t in html_text.slots(page, None)[2]] == want
 
 
+def test_copies_of_an_article_are_one_page(spark):
+    data = [
+        (k, f"http://h.org/a?session={k}", f"<nav>Item {k}</nav><div>Read {k} times</div><article><h1>Head</h1><p>{cases.prose(3, 9)}</article><div class=ad>Buy {k}</div>")
+        for k in range(12)
+    ] + [(k, f"http://i.org/a?session={k}", f"<nav>Item {k}</nav><div><p>{cases.prose(4, 9)}</div><div class=ad>Buy {k}</div>") for k in range(20, 30)]
+    text = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    assert text == {k: f"Head\n\n{cases.prose(3, 9)}" if k < 20 else cases.prose(4, 9) for k, _, _ in data}
+
+
 def test_every_layout_of_a_host_has_its_template(spark):
     def first(k):
         return f"<div class=a><p>Constant one</p></div><section><p>{cases.prose(k, 8)}</p></section>"
