@@ -185,11 +185,14 @@ def _by_string(found: DataFrame, plan: Repeats) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, low, high, text in zip(*(c.to_pylist() for c in batch.columns)):
-                digests = [hashlib.blake2b(text[k:k + plan.length], digest_size=16).digest() for k in range(high - low + 1)]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(digests, pa.binary()), pa.array([at] * len(digests), pa.int64()),
-                    pa.array(np.arange(low, high + 1, dtype=np.int32)),
-                ], names=["string", "at", "low"])
+                # A long context gives several batches.
+                for first in range(0, high - low + 1, 1 << 16):
+                    starts = range(first, min(first + (1 << 16), high - low + 1))
+                    digests = [hashlib.blake2b(text[k:k + plan.length], digest_size=16).digest() for k in starts]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array(digests, pa.binary()), pa.array([at] * len(digests), pa.int64()),
+                        pa.array(np.arange(low + starts.start, low + starts.stop, dtype=np.int32)),
+                    ], names=["string", "at", "low"])
 
     strings = found.select("at", "low", "high", "bytes").mapInArrow(run, "string binary, at long, low int")
     often = strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -215,9 +218,11 @@ def repeated_ranges(rows: DataFrame, plan: Repeats = Repeats()) -> DataFrame:
     )
     many = kinds.where("n > 1").select("gram", "context")
     copies = shared.where("mixed").join(many, ["gram", "context"], "left_semi").select("at", "low", "high")
-    width = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("width"))
+    # Contexts in a periodic passage are as long as the passage, so bytes count too.
+    size = (F.col("one.high") - F.col("one.low")).cast("long") + plan.length
+    width = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("width"), F.sum(size).alias("size"))
     wanted = kinds.join(width, "gram").select(
-        "one.at", F.struct("gram", (F.col("width") > plan.hot).alias("hot"), "one.low", "one.high").alias("piece"),
+        "one.at", F.struct("gram", ((F.col("width") > plan.hot) | (F.col("size") > plan.shard_bytes)).alias("hot"), "one.low", "one.high").alias("piece"),
     )
     listed = wanted.groupBy("at").agg(F.collect_list("piece").alias("pieces"))
     found = stage(_context_bytes(rows.join(listed, "at").select("at", "text", "pieces"), plan), "context-bytes")

@@ -115,6 +115,21 @@ def test_repeated_strings(spark, tmp_path, hot):
         assert sum(s.stop - s.start for s in r.spans) == r.n_removed
 
 
+def test_long_periodic_passages_are_no_shard(spark, tmp_path, monkeypatch):
+    data = [(k, f"{cases.prose(k, 9)} {'z' * (900 + 40 * k)} {cases.prose(50 + k, 9)}", "en", "a", 0) for k in range(9)]
+    df = cases.settled(spark, cases.table(spark, data), tmp_path)
+    plan = repeats.Repeats(length=60, gram=20, shard_bytes=3000)
+    dealt, sharded = [], repeats._sharded
+    monkeypatch.setattr(repeats, "_sharded", lambda found, plan: (dealt.append(found), sharded(found, plan))[1])
+    got = repeats.remove_repeats(df, plan).collect()
+    want = cases.repeats([r[1] for r in data], 60)
+    assert multiset((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == multiset(
+        (row[0], *w) for row, w in zip(data, want)
+    )
+    groups = dealt[0].groupBy("gram").agg(F.sum(F.length("bytes")).alias("size")).collect()
+    assert all(g["size"] <= plan.shard_bytes for g in groups)
+
+
 def test_repeats_of_nothing(empty):
     assert repeats.remove_repeats(empty).count() == 0
 
