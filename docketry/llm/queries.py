@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.catalog import Entry
-from docketry.llm import bpe, exact_dedup, html_text, licenses, minhash, mixing, ordinal, quality_rules, repeats, url_filter
+from docketry.llm import bpe, exact_dedup, html_text, licenses, merkle, minhash, mixing, ordinal, quality_rules, repeats, url_filter
 
 ENTRIES: dict[str, Entry] = {}
 
@@ -167,3 +167,54 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", best["license"].alias("license"), best["coverage"].alias("coverage"), best["start"].alias("start"), best["stop"].alias("stop"),
         F.array_join(F.transform("matches", lambda m: m["license"]), ",").alias("licenses"),
     )
+
+
+MANIFEST_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i::UBIGINT, [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c
+    FROM range(256) t(i))
+), tampered AS (
+  SELECT d.*, coalesce(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+    lambda c, b: xor(tab[(xor(c, b) & 255)::BIGINT + 1], c >> 8)), 4294967295::UBIGINT) % 7 = 0, false) AS hit FROM documents d, crc_table
+), written AS (
+  SELECT doc_id, lang, hit, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') AS front,
+    coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS own, coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') AS other,
+    coalesce(strlen(text) || ':' || text, '-') AS back FROM tampered
+), leaves AS (
+  SELECT doc_id, lang, leaf, changed, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rk, count(*) OVER (PARTITION BY lang) AS n,
+    row_number() OVER (ORDER BY lang NULLS FIRST, doc_id, leaf) AS no
+  FROM (SELECT doc_id, lang, sha256(front || own || back) AS leaf, sha256(front || CASE WHEN hit THEN other ELSE own END || back) AS changed FROM written)
+), low AS (
+  SELECT lang, 0 AS lvl, rk AS i, leaf AS d, n AS c FROM leaves
+  UNION ALL
+  SELECT lang, any_value(lvl) + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), (any_value(c) + 1) // 2 FROM low WHERE c > 1 GROUP BY lang, i // 2
+), subs AS (
+  SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS k, count(*) OVER () AS n FROM low WHERE c = 1
+), high AS (
+  SELECT 0 AS lvl, k AS i, subroot AS d, n AS c FROM subs
+  UNION ALL
+  SELECT any_value(lvl) + 1, i // 2, sha256(string_agg(d, '' ORDER BY i)), (any_value(c) + 1) // 2 FROM high WHERE c > 1 GROUP BY i // 2
+), steps AS (
+  SELECT l.no, a.lvl, b.d, a.i % 2 = 0 AS is_right FROM leaves l JOIN low a ON a.lang IS NOT DISTINCT FROM l.lang AND a.i = l.rk >> a.lvl AND a.c > 1
+    LEFT JOIN low b ON b.lang IS NOT DISTINCT FROM a.lang AND b.lvl = a.lvl AND b.i = xor(a.i, 1)
+  UNION ALL
+  SELECT l.no, 100 + a.lvl, b.d, a.i % 2 = 0 FROM leaves l JOIN subs s ON s.lang IS NOT DISTINCT FROM l.lang JOIN high a ON a.i = s.k >> a.lvl AND a.c > 1
+    LEFT JOIN high b ON b.lvl = a.lvl AND b.i = xor(a.i, 1)
+), paths AS (
+  SELECT l.no, l.changed, coalesce(list({'d': s.d, 'r': s.is_right} ORDER BY s.lvl) FILTER (s.lvl IS NOT NULL), []) AS p, coalesce(string_agg(s.d, '' ORDER BY s.lvl), '') AS proof
+  FROM leaves l LEFT JOIN steps s USING (no) GROUP BY ALL
+), folding AS (
+  SELECT no, p, changed AS acc, 1 AS pos FROM paths
+  UNION ALL
+  SELECT no, p, sha256(CASE WHEN p[pos].d IS NULL THEN acc WHEN p[pos].r THEN acc || p[pos].d ELSE p[pos].d || acc END), pos + 1 FROM folding WHERE pos <= len(p)
+)
+SELECT l.doc_id, l.leaf, s.subroot, h.d AS root, sha256(q.proof) AS proof_sha256, f.acc AS folded_root, f.acc = h.d AS verified
+FROM leaves l JOIN subs s ON s.lang IS NOT DISTINCT FROM l.lang JOIN paths q USING (no) JOIN folding f ON f.no = l.no AND f.pos > len(f.p), (SELECT d FROM high WHERE c = 1) h
+"""
+
+
+@entry("op13_merkle_manifest", MANIFEST_SQL)
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.audited(table(spark, folder, "documents"))
