@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.catalog import Entry
-from docketry.llm import bpe, exact_dedup, html_text, licenses, merkle, minhash, mixing, ordinal, quality_rules, repeats, url_filter
+from docketry.llm import bpe, exact_dedup, html_text, impact, licenses, merkle, minhash, mixing, ordinal, quality_rules, repeats, url_filter
 
 ENTRIES: dict[str, Entry] = {}
 
@@ -169,6 +169,21 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@entry("op12_exact_topk", """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM whole a JOIN whole b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+""")
+def op12_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return impact.exact_top_k(table(spark, folder, "embeddings"))
+
+
 MANIFEST_SQL = r"""
 WITH RECURSIVE crc_table AS (
   SELECT list(c ORDER BY i) AS tab FROM (
