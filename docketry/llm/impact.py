@@ -182,6 +182,11 @@ def _loaded(row: dict) -> dict:
     return out
 
 
+def _numbers(last: int):
+    # Both sides of the cogroup need the same type, or their keys are dealt differently.
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))
+
+
 def build_index(vectors: DataFrame, search: Search = Search()) -> DataFrame:
     """The written index: a row per block of about ``search.block`` vectors (id, at, q)."""
     blocks = max(1, -(-vectors.count() // search.block))
@@ -201,7 +206,7 @@ def top_scores(index: DataFrame, queries: DataFrame, search: Search = Search())
     ids last, then to the earlier row.
     """
     batches = max(1, -(-queries.count() // search.batch))
-    blocks = [r.block for r in index.select("block").collect()]  # one number per block
+    last = index.agg(F.max("block")).first()[0]
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         return _row("batch", key[0].as_py(), _unpack(table), BATCH_SCHEMA)
@@ -222,8 +227,8 @@ def top_scores(index: DataFrame, queries: DataFrame, search: Search = Search())
         return pa.concat_tables(found) if found else HIT_SCHEMA.empty_table()
 
     packed = queries.withColumn("batch", F.pmod(F.xxhash64("at"), F.lit(batches))).groupBy("batch").applyInArrow(pack, BATCH)
-    asking = stage(packed, "impact-queries").withColumn("block", F.explode(F.array(*[F.lit(b) for b in blocks]) if blocks else F.array().cast("array<long>")))
-    asked = index.withColumn("batch", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(batches - 1).cast("long"))))
+    asking = stage(packed, "impact-queries").withColumn("block", _numbers(last or 0))
+    asked = index.withColumn("batch", _numbers(batches - 1))
     keys = ["block", "batch"]
     hits = asked.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(meet, HITS)
     order = Window.partitionBy("query_at").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last(), "at")

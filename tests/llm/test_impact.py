@@ -53,6 +53,16 @@ def test_sizes_of_work_do_not_change_rows(spark, tmp_path, search):
     assert run(spark, tmp_path, rows, search, every=20) == by_hand(rows, 20, search.k)
 
 
+def test_every_batch_meets_every_block_on_many_partitions(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(0, 0.12, 8)], 0) for i in range(400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert run(spark, tmp_path, rows, impact.Search(block=20, batch=3), every=10) == by_hand(rows, 10)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 def test_fewer_rows_than_asked_for(spark, tmp_path):
     rows = [(0, [0.5, 0.25], 0), (1, [0.5, -0.25], 0), (50, [1.0, 1.0], 0)]
     assert run(spark, tmp_path, rows) == by_hand(rows)
