@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.catalog import Entry
-from docketry.llm import bpe, exact_dedup, html_text, impact, licenses, merkle, minhash, mixing, ordinal, quality_rules, repeats, url_filter
+from docketry.llm import bpe, collocations, exact_dedup, html_text, impact, licenses, merkle, minhash, mixing, ordinal, quality_rules, repeats, url_filter
 
 ENTRIES: dict[str, Entry] = {}
 
@@ -169,6 +169,43 @@ def op10_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+PHRASE_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), cut AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), sizes AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM cut GROUP BY lang
+), runs AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM cut, (VALUES (1), (2), (3), (4)) t(k) WHERE len(w) >= k)
+), f AS (
+  SELECT lang, k, phrase, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 30
+), cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, pos, array_to_string(c.w[1:pos], ' ') AS head, array_to_string(c.w[pos + 1:], ' ') AS rest
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS pos FROM f WHERE k > 1) c
+), scored AS (
+  SELECT c.lang, c.phrase, any_value(c.k) AS k, any_value(c.a) AS a,
+    min({'score': (2000000 * c.a::HUGEINT // (h.a::HUGEINT + r.a))::BIGINT, 'k': c.pos, 'l': h.a, 'r': r.a}) AS worst
+  FROM cuts c JOIN f h ON h.lang = c.lang AND h.phrase = c.head JOIN f r ON r.lang = c.lang AND r.phrase = c.rest GROUP BY c.lang, c.phrase
+), inside AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, a
+  FROM (SELECT lang, a, w, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT lang, a, k, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS m FROM f WHERE k > 2))
+), longer AS (
+  SELECT lang, phrase, max(a) AS b FROM inside GROUP BY ALL
+)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY worst.score DESC, s.a DESC, s.phrase) AS rank, s.phrase, s.a, worst.l AS l, worst.r AS r, z.n, worst.score AS score
+FROM scored s JOIN sizes z USING (lang) LEFT JOIN longer o ON o.lang = s.lang AND o.phrase = s.phrase
+WHERE o.b IS NULL OR 100 * o.b < 80 * s.a QUALIFY rank <= 2000
+"""
+
+
+@entry("op11_phrase_mining", PHRASE_SQL)
+def op11_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 @entry("op12_exact_topk", """
 WITH whole AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
