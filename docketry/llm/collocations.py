@@ -3,18 +3,20 @@
 A task reads whole texts, gives every distinct word an exact number and a polynomial
 fingerprint of its bytes, and hashes all n-grams through prefix sums of the words'
 fingerprints, modulo two primes. Equal n-grams of a task are counted together, after their
-words have been compared by number; what crosses the shuffle is a fingerprint, a count and
-one occurrence (the row's place and the word's offset), packed in arrays for each part of
-the fingerprints. Parts add up counts and drop what is rarer than asked for.
+words have been compared by number; what crosses the shuffle is a fingerprint, its check (a
+second one, with other bases), a count and one occurrence (the row's place and the word's
+offset), packed in arrays for each part of the fingerprints. Parts add up the counts of
+equal fingerprints, tell those with another check apart, and drop what is rarer than asked
+for.
 
 Three passes keep this small: words; pairs of frequent words; longer runs whose pairs are
 all frequent. The frequent fingerprints of a pass travel to the next as a bitmap of a fixed
 size. A bit set by another fingerprint lets a rare n-gram through to its own count; it never
 drops one, so the result does not depend on the bitmap's size.
 
-The occurrences of frequent fingerprints are then looked up in the texts: only here do
-phrases become strings, and counts are added up by string, so n-grams that share a
-fingerprint are told apart.
+One occurrence of every frequent fingerprint is then looked up in the texts: only here do
+phrases become strings, and a fingerprint or check that the text does not have fails the
+job. Between tasks n-grams count as equal on 124 bits, inside a task on their words.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,8 +40,10 @@ BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 BLANK = np.zeros(256, bool)
 BLANK[[0x20, 0x09]] = True
-PRIMES = (np.uint64(2**31 - 1), np.uint64(2**31 - 19))
-BASES = (1_163_962_801, 1_907_531_273)
+#: Primes and bases of the polynomials: two for the fingerprint, two for its check.
+FIELDS = tuple((np.uint64(prime), base) for prime, base in (
+    (2**31 - 1, 1_163_962_801), (2**31 - 19, 1_907_531_273), (2**31 - 1, 748_664_025), (2**31 - 19, 1_283_169_405),
+))
 
 
 @dataclass(frozen=True)
@@ -54,8 +59,8 @@ class Mining:
     dominated: int = 80
     top: int = 2_000
     scale: int = 2_000_000
-    gather: int = 3_000_000
-    part_words: int = 3_000_000
+    gather: int = 700_000
+    part_words: int = 2_000_000
     filter_bits: int = 1 << 27
     together: int = 2_000
 
@@ -71,36 +76,32 @@ class _Powers:
             return
         self.size = 1 << max(16, int(size - 1).bit_length())
         self.up, self.down = [], []
-        for prime, base in zip(PRIMES, BASES):
+        for prime, base in FIELDS:
             for into, step in ((self.up, base), (self.down, pow(base, -1, int(prime)))):
                 powers, length = np.ones(self.size, np.uint64), 1
                 while length < self.size:
                     powers[length:2 * length] = powers[:length] * np.uint64(pow(step, length, int(prime))) % prime
                     length *= 2
-                into.append(powers)
+                into.append(powers.astype(np.uint32))
 
 
 _POWERS = _Powers()
 
 
 def _prefixes(values: list[np.ndarray]) -> list[np.ndarray]:
-    """Sums of values (below the primes) times powers, one array for each prime."""
+    """Sums of values (below the primes) times powers, one array for each field."""
     _POWERS.upto(len(values[0]) + 1)
     sums = []
-    for value, prime, powers in zip(values, PRIMES, _POWERS.up):
+    for value, (prime, _), powers in zip(values, FIELDS, _POWERS.up):
         total = np.zeros(len(value) + 1, np.uint64)
         np.cumsum(value * powers[:len(value)] % prime, out=total[1:])
         sums.append(total)
     return sums
 
 
-def _ranges(sums: list[np.ndarray], starts: np.ndarray, stops: np.ndarray) -> list[np.ndarray]:
+def _ranges(sums: list[np.ndarray], starts: np.ndarray, stops: np.ndarray, some: slice = slice(None)) -> list[np.ndarray]:
     """Polynomials of ranges, moved to power 0."""
-    return [(total[stops] - total[starts]) % prime * down[starts] % prime for total, prime, down in zip(sums, PRIMES, _POWERS.down)]
-
-
-def _joined(halves: list[np.ndarray]) -> np.ndarray:
-    return halves[0] << np.uint64(31) | halves[1]
+    return [(total[stops] - total[starts]) % prime * down[starts] % prime for total, (prime, _), down in zip(sums[some], FIELDS[some], _POWERS.down[some])]
 
 
 def lang_key(lang: str) -> np.uint64:
@@ -111,26 +112,28 @@ class Vocabulary:
     """Exact numbers for the words of a task, with their fingerprints; forgotten when large."""
 
     def __init__(self) -> None:
-        self.numbers: dict[bytes, int] = {}
-        self.halves = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+        self.words = pa.array([], pa.large_binary())
+        self.halves = [np.zeros(0, np.uint64)] * len(FIELDS)
 
     def of(self, letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Numbers of words given by their joined bytes and their lengths."""
         offsets = np.concatenate(([0], np.cumsum(lengths)))
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
         coded = words.dictionary_encode()
-        distinct, numbers = coded.dictionary.to_pylist(), np.empty(len(coded.dictionary), np.int64)
-        fresh = []
-        for k, word in enumerate(distinct):
-            number = self.numbers.get(word)
-            if number is None:
-                number = self.numbers[word] = len(self.numbers)
-                fresh.append(word)
-            numbers[k] = number
-        if fresh:
-            joined = np.frombuffer(b"".join(fresh), np.uint8).astype(np.uint64) + np.uint64(1)
-            ends = np.concatenate(([0], np.cumsum([len(w) for w in fresh])))
-            hashed = _ranges(_prefixes([joined, joined]), ends[:-1], ends[1:])
+        known = pc.index_in(coded.dictionary, value_set=self.words)
+        numbers = known.fill_null(-1).to_numpy().astype(np.int32)
+        unknown = np.flatnonzero(numbers < 0)
+        if len(unknown):
+            fresh = coded.dictionary.take(pa.array(unknown))
+            numbers[unknown] = len(self.words) + np.arange(len(unknown))
+            self.words = pa.concat_arrays([self.words, fresh])
+            _, ends, data = fresh.buffers()
+            ends = np.frombuffer(ends, np.int64)[fresh.offset:fresh.offset + len(fresh) + 1]
+            joined = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]].astype(np.uint64) + np.uint64(1)
+            spelled = _ranges(_prefixes([joined] * len(FIELDS)), ends[:-1] - ends[0], ends[1:] - ends[0])
+            # Mixed, so that sums over words do not depend on sums over letters.
+            whole = [mix(spelled[k] << np.uint64(31) | spelled[k + 1]) for k in (0, 2)]
+            hashed = [mix(whole[k // 2] + np.uint64(k)) % prime for k, (prime, _) in enumerate(FIELDS)]
             self.halves = [np.concatenate((old, new)) for old, new in zip(self.halves, hashed)]
         return numbers[coded.indices.to_numpy()]
 
@@ -169,9 +172,10 @@ class Texts:
         size = len(self.pieces) - n + 1
         return np.flatnonzero(self.pieces[:size] == self.pieces[n - 1:]) if size > 0 else np.zeros(0, np.int64)
 
-    def prints(self, at: np.ndarray, n: int) -> np.ndarray:
-        """Fingerprints of runs of ``n`` words; a lang's and a length's own."""
-        return mix(_joined(_ranges(self.sums, at, at + n)) ^ self.langs[at] ^ (np.uint64(n) << np.uint64(61)))
+    def prints(self, at: np.ndarray, n: int, second: bool = False) -> np.ndarray:
+        """Fingerprints of runs of ``n`` words, or their checks; a lang's and a length's own."""
+        high, low = _ranges(self.sums, at, at + n, slice(2, 4) if second else slice(0, 2))
+        return mix((high << np.uint64(31) | low) ^ self.langs[at] ^ (np.uint64(n) << np.uint64(61)))
 
 
 def _keys(column: pa.Array) -> np.ndarray:
@@ -180,7 +184,7 @@ def _keys(column: pa.Array) -> np.ndarray:
     return known[coded.indices.to_numpy()] if len(known) else np.zeros(0, np.uint64)
 
 
-ENTRY = (("print", np.uint64), ("count", np.int64), ("at", np.int64), ("off", np.int64), ("n", np.int64))
+ENTRY = (("print", np.uint64), ("check", np.uint64), ("count", np.int64), ("at", np.int64), ("off", np.uint32), ("n", np.uint8))
 
 
 def combined(entries: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -189,7 +193,7 @@ def combined(entries: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     order = np.argsort(prints, kind="stable")
     new = np.concatenate(([True], prints[order][1:] != prints[order][:-1])) if len(order) else np.zeros(0, bool)
     head = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
-    if (words[order] != words[head]).any():
+    if any((words[order, k] != words[head, k]).any() for k in range(words.shape[1])):
         order = np.lexsort((*words.T, prints))
         same = (prints[order][1:] == prints[order][:-1]) & (words[order][1:] == words[order][:-1]).all(axis=1)
         new = np.concatenate(([True], ~same))
@@ -204,10 +208,10 @@ def _in_filter(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 != 0
 
 
-SENT = "part int, print binary, count binary, at binary, off binary, n binary, lang string, words long"
+SENT = "part int, print binary, check binary, count binary, at binary, off binary, n binary, lang string, words long"
 SENT_SCHEMA = pa.schema([("part", pa.int32()), *[(k, pa.binary()) for k, _ in ENTRY], ("lang", pa.string()), ("words", pa.int64())])
-FOUND = "print long, count long, at long, off long, n int"
-FOUND_SCHEMA = pa.schema([("print", pa.int64()), ("count", pa.int64()), ("at", pa.int64()), ("off", pa.int64()), ("n", pa.int32())])
+FOUND = "print long, check long, count long, at long, off long, n int"
+FOUND_SCHEMA = pa.schema([("print", pa.int64()), ("check", pa.int64()), ("count", pa.int64()), ("at", pa.int64()), ("off", pa.int64()), ("n", pa.int32())])
 
 
 def _sent(entries: dict[str, np.ndarray], parts: int) -> pa.RecordBatch:
@@ -263,11 +267,11 @@ def _counted(docs: DataFrame, lengths: tuple[int, ...], filters: dict[int, dict[
                     for k in range(n):
                         of[:, k] = texts.numbers[at + k]
                     held.append(combined({
-                        "print": texts.prints(at, n), "count": np.ones(len(at), np.int64), "at": places[start + row], "off": at - texts.first[row],
-                        "n": np.full(len(at), n), "words": of,
+                        "print": texts.prints(at, n), "check": texts.prints(at, n, True), "count": np.ones(len(at), np.int64), "at": places[start + row], "off": (at - texts.first[row]).astype(np.uint32),
+                        "n": np.full(len(at), n, np.uint8), "words": of,
                     }))
                     size += len(held[-1]["print"])
-                full = len(words.numbers) > mining.gather
+                full = len(words.words) > mining.gather
                 if held and (full or size > mining.gather):
                     held = [merged()]
                     size = len(held[0]["print"])
@@ -284,14 +288,18 @@ def _counted(docs: DataFrame, lengths: tuple[int, ...], filters: dict[int, dict[
 
 
 def _frequent(sent: DataFrame, least: int) -> DataFrame:
-    """The entries whose fingerprints are frequent, one row each."""
+    """The frequent fingerprints with their counts and one occurrence each."""
     def total(key: tuple, table: pa.Table) -> pa.Table:
         own = {k: np.concatenate([np.frombuffer(x, kind) for x in table.column(k).to_pylist()]) for k, kind in ENTRY}
-        order = np.argsort(own["print"], kind="stable")
-        starts = np.flatnonzero(np.concatenate(([True], own["print"][order][1:] != own["print"][order][:-1])))
+        order = np.lexsort((own["check"], own["print"]))
+        ranked, checks = own["print"][order], own["check"][order]
+        starts = np.flatnonzero(np.concatenate(([True], (ranked[1:] != ranked[:-1]) | (checks[1:] != checks[:-1]))))
         sums = np.add.reduceat(own["count"][order], starts)
-        keep = order[np.repeat(sums >= least, np.diff(np.append(starts, len(order))))]
-        return pa.table([own["print"][keep].view(np.int64), own["count"][keep], own["at"][keep], own["off"][keep], own["n"][keep].astype(np.int32)], schema=FOUND_SCHEMA)
+        keep = order[starts[sums >= least]]
+        return pa.table([
+            own["print"][keep].view(np.int64), own["check"][keep].view(np.int64), sums[sums >= least], own["at"][keep],
+            own["off"][keep].astype(np.int64), own["n"][keep].astype(np.int32),
+        ], schema=FOUND_SCHEMA)
 
     return sent.where("part is not null").select("part", *[k for k, _ in ENTRY]).groupBy("part").applyInArrow(total, FOUND)
 
@@ -318,7 +326,7 @@ def _looked_up(docs: DataFrame, found: DataFrame, n_docs: int, mining: Mining) -
     def read(left: pa.Table, right: pa.Table) -> pa.Table:
         places = left.column("at").to_numpy()
         order = np.argsort(places)
-        asked = {k: right.column(k).to_numpy() for k in ("print", "count", "at", "off", "n")}
+        asked = {k: right.column(k).to_numpy() for k in ("print", "check", "count", "at", "off", "n")}
         langs, phrases, ns, counts = [], [], [], []
         slot = order[np.minimum(np.searchsorted(places, asked["at"], sorter=order), max(len(order) - 1, 0))] if len(order) else np.zeros(0, np.int64)
         if len(asked["at"]) and (not len(order) or (places[slot] != asked["at"]).any()):
@@ -335,8 +343,10 @@ def _looked_up(docs: DataFrame, found: DataFrame, n_docs: int, mining: Mining) -
             if (at + n > len(texts.starts)).any():
                 raise RuntimeError("a document changed between two passes")
             for length in np.unique(n):
-                if (texts.prints(at[n == length], int(length)).view(np.int64) != asked["print"][some][n == length]).any():
-                    raise RuntimeError("a document changed between two passes")
+                own = n == length
+                for name in ("print", "check"):
+                    if (texts.prints(at[own], int(length), name == "check").view(np.int64) != asked[name][some][own]).any():
+                        raise RuntimeError("a document changed between two passes")
             raw, starts, stops = texts.data.tobytes(), texts.starts.tolist(), texts.stops.tolist()
             phrases += [b" ".join(raw[s:e] for s, e in zip(starts[a:a + k], stops[a:a + k])) for a, k in zip(at.tolist(), n.tolist())]
             langs.append(lang.take(pa.array(slot[some])))
@@ -350,7 +360,7 @@ def _looked_up(docs: DataFrame, found: DataFrame, n_docs: int, mining: Mining) -
 
     group = F.pmod(F.xxhash64("at"), F.lit(groups)).alias("grp")
     return docs.select(group, "at", "lang", "text").groupBy("grp").cogroup(
-        found.select(group, "print", "count", "at", "off", "n").groupBy("grp"),
+        found.select(group, "print", "check", "count", "at", "off", "n").groupBy("grp"),
     ).applyInArrow(read, "lang string, phrase string, n int, count long")
 
 
@@ -381,8 +391,7 @@ def phrase_counts(docs: DataFrame, mining: Mining = Mining(), lang_col: str = "l
     for more in found[1:]:
         every = every.unionByName(more)
     n_docs = docs.count()
-    strings = _looked_up(plain, every, n_docs, mining).groupBy("lang", "phrase", "n").agg(F.sum("count").alias("count"))
-    return stage(strings.where(F.col("count") >= mining.least), "phrases"), sizes
+    return stage(_looked_up(plain, every, n_docs, mining), "phrases"), sizes
 
 
 def _slice(words: Column, start: Column, length: Column) -> Column:

@@ -69,7 +69,7 @@ def test_colliding_fingerprints_are_told_apart(spark, tmp_path, monkeypatch):
     """With fingerprints of few values nearly all n-grams collide; the texts keep them apart."""
     rows = awkward()
     plain = collocations.Texts.prints
-    monkeypatch.setattr(collocations.Texts, "prints", lambda self, at, n: plain(self, at, n) % np.uint64(13))
+    monkeypatch.setattr(collocations.Texts, "prints", lambda self, at, n, second=False: plain(self, at, n, second) % np.uint64(1 << 62 if second else 13))
     docs = spark.createDataFrame([(lang, text, k) for k, (lang, text) in enumerate(rows)], "lang string, text string, at long").collect()
     words = collocations.Vocabulary()
     data, ends = raw(pa.array([r.text for r in docs]))
@@ -77,7 +77,7 @@ def test_colliding_fingerprints_are_told_apart(spark, tmp_path, monkeypatch):
     at = texts.grams(2)
     pairs = np.stack([texts.numbers[at], texts.numbers[at + 1]], axis=1).astype(np.int32)
     made = collocations.combined({
-        "print": texts.prints(at, 2), "count": np.ones(len(at), np.int64), "at": texts.rows[at], "off": at, "n": np.full(len(at), 2), "words": pairs,
+        "print": texts.prints(at, 2), "check": texts.prints(at, 2, True), "count": np.ones(len(at), np.int64), "at": texts.rows[at], "off": at, "n": np.full(len(at), 2, np.uint8), "words": pairs,
     })
     want = Counter(map(tuple, pairs.tolist()))
     assert {tuple(w): c for w, c in zip(made["words"].tolist(), made["count"].tolist())} == want and len(set(made["print"].tolist())) <= 13
@@ -101,3 +101,13 @@ def test_fingerprints_depend_on_words_and_lang_alone():
 
 def test_an_empty_table_has_no_phrases(spark, tmp_path):
     assert run(spark, tmp_path, [], Mining()) == [] and run(spark, tmp_path, [(None, None)], Mining()) == []
+
+
+def test_pairs_with_equal_letter_sums_have_their_own_fingerprints():
+    """Sums of letters at like places agree in many pairs of short words."""
+    letters = "abcd"
+    pairs = [f"{a}{b} {c}{d}" for a in letters for b in letters for c in letters for d in letters]
+    data, ends = raw(pa.array(pairs))
+    texts = collocations.Texts(data, ends, np.zeros(len(pairs), np.uint64), collocations.Vocabulary())
+    for second in (False, True):
+        assert len(set(texts.prints(texts.grams(2), 2, second).tolist())) == len(pairs)
