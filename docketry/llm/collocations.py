@@ -374,7 +374,8 @@ def phrase_counts(docs: DataFrame, mining: Mining = Mining(), lang_col: str = "l
         F.monotonically_increasing_id().alias("at"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
-    words = stage(_counted(plain, (1,), {}, 64, mining), "phrase-words")
+    n_docs, n_bytes = plain.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    words = stage(_counted(plain, (1,), {}, max(16, -(-(n_bytes or 0) // (8 * mining.part_words))), mining), "phrase-words")
     sizes = words.where("lang is not null").groupBy("lang").agg(F.sum("words").alias("words"))
     sizes = stage(sizes.where("words > 0"), "phrase-sizes")
     total = sizes.agg(F.sum("words")).first()[0] or 0
@@ -390,7 +391,6 @@ def phrase_counts(docs: DataFrame, mining: Mining = Mining(), lang_col: str = "l
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
-    n_docs = docs.count()
     return stage(_looked_up(plain, every, n_docs, mining), "phrases"), sizes
 
 
