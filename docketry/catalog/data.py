@@ -6,13 +6,15 @@ the DataFrame API and once as SQL.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.functions.text import strip
 from docketry.functions.vectors import unit
-from docketry.plans.search import Corpus
-from docketry.session import stage
+from docketry.plans.search import Corpus, indexed
+from docketry.session import shared_folder, stage
 from docketry.sources.markdown import ARTICLE_TYPE, ATTACHMENT_TYPE
 
 
@@ -158,6 +160,28 @@ def corpus(spark: SparkSession, folder: str) -> Corpus:
     return Corpus(vectors(spark, folder), key="vec_id", title="title", body="text")
 
 
+def index_path(spark: SparkSession, folder: str, name: str) -> str:
+    """Where an application keeps a word index of a folder's tables."""
+    mark = hashlib.sha256(folder.encode()).hexdigest()[:16]
+    return f"{shared_folder(spark)}/docketry-indexes/{spark.sparkContext.applicationId}/{name}-{mark}"
+
+
+def indexed_documents(spark: SparkSession, folder: str) -> Corpus:
+    docs = documents(spark, folder).select(F.col("position").alias("doc"), "title", "text")
+    return indexed(Corpus(docs, "doc", "title", "text"), index_path(spark, folder, "documents"))
+
+
+def prepare_indexes(spark: SparkSession, folder: str) -> None:
+    """Write the word indexes that the search queries open."""
+    indexed_documents(spark, folder)
+    indexed_corpus(spark, folder)
+
+
+def indexed_corpus(spark: SparkSession, folder: str) -> Corpus:
+    """The corpus with its word index; the first query of an application writes it, the others open it."""
+    return indexed(corpus(spark, folder), index_path(spark, folder, "vectors"))
+
+
 def label_queries(spark: SparkSession, folder: str) -> DataFrame:
     """One query per label: the mean of all its vectors, at unit length."""
     emb = table(spark, folder, "embeddings").select("label", F.posexplode("embedding").alias("dim", "x"))

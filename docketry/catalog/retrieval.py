@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 from docketry.catalog import query
 from docketry.catalog.data import (
     BENCHMARK_QUERIES_SQL, CORPUS_SQL, LABEL_QUERIES_SQL, LICENSE_SQL, TOKENS_SQL, VECTORS_SQL,
-    benchmark_queries, corpus, dense_sql, documents, label_queries, table, vectors,
+    benchmark_queries, corpus, dense_sql, documents, indexed_corpus, indexed_documents, label_queries, table, vectors,
 )
 from docketry.functions.dates import in_force_if_known, in_force_lenient, in_force_listed, in_force_strict, force_status
 from docketry.functions.vectors import dot, norm, unit
+from docketry.operators import posting_store
 from docketry.operators.filters import looks_like_citation, metadata_filter
 from docketry.operators.lexical import build_index, bm25_top, prefix_terms
 from docketry.operators.ranking import keep_best, nearest
 from docketry.operators.fusion import rrf
 from docketry.plans import answer, source_pack
-from docketry.plans.search import expand, hybrid_ranks, prepare_queries, search, statutes_page
+from docketry.plans.search import expand, hybrid_ranks, prepare_queries, search, statutes_page, word_ranks
+from docketry.session import fresh_path
 
 AS_OF = "2015-06-30"
 TODAY = "2024-01-15"
@@ -122,13 +124,34 @@ def query_expansion(spark, folder):
     return table(spark, folder, "conversations").select("conv_id", "turn", expand(x).alias("expanded"))
 
 
-@query("bm25_topk", f"""
+_WORDS_SQL = f"""
 WITH {CORPUS_SQL}, searched AS (SELECT k AS vec_id, title, text FROM corpus),
 word_queries AS (SELECT item_id AS query_id, text FROM benchmark), {TOKENS_SQL}
 SELECT query_id, CAST(rank AS INTEGER) AS rank, doc, score FROM (
   SELECT query_id, vec_id AS doc, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM bm25)
-WHERE rank <= 10""")
+WHERE rank <= 10"""
+
+
+@query("bm25_topk", _WORDS_SQL)
 def bm25_topk(spark, folder):
+    queries = table(spark, folder, "benchmark").withColumnRenamed("item_id", "query_id")
+    return word_ranks(indexed_documents(spark, folder), queries, 10)
+
+
+@query("bm25_appended", _WORDS_SQL)
+def bm25_appended(spark, folder):
+    """Two thirds of the documents indexed at first, the rest appended, one at a time opened by version."""
+    docs = documents(spark, folder).select(F.col("position").alias("doc"), "title", "text")
+    queries = table(spark, folder, "benchmark").withColumnRenamed("item_id", "query_id")
+    path = fresh_path(spark, "appended-index")
+    base = posting_store.create(docs.where(F.pmod("doc", F.lit(3)) != 0), path, "doc", "title", "text")
+    posting_store.append(base, docs.where(F.pmod("doc", F.lit(3)) == 0), "title", "text")
+    return posting_store.top(posting_store.open_store(spark, path), queries, "query_id", "text", 10)
+
+
+@query("bm25_built_here", _WORDS_SQL)
+def bm25_built_here(spark, folder):
+    """The same ranking from an index that only this search uses."""
     docs = documents(spark, folder).select(F.col("position").alias("doc"), "title", "text")
     queries = table(spark, folder, "benchmark").withColumnRenamed("item_id", "query_id")
     return bm25_top(build_index(docs, "doc", "title", "text"), queries, "query_id", "text", 10)
@@ -158,7 +181,7 @@ fused AS MATERIALIZED (SELECT o.*, s.score FROM ordered o JOIN scored s ON o.que
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(rrf, 9) AS rrf, score FROM fused""")
 def rrf_hybrid(spark, folder):
     """The whole fused list of every query, both lists 50 deep."""
-    ranked = hybrid_ranks(corpus(spark, folder), prepare_queries(benchmark_queries(spark, folder)), 50)
+    ranked = hybrid_ranks(indexed_corpus(spark, folder), prepare_queries(benchmark_queries(spark, folder)), 50)
     return ranked.select("query_id", "rank", "vec_id", F.round("rrf", 9).alias("rrf"), "score")
 
 
@@ -171,7 +194,7 @@ SELECT query_id, CAST(position AS INTEGER) AS position, doc_id, doc_type, title,
 FROM paged WHERE position > 4 AND position <= 12""")
 def hybrid_page(spark, folder):
     """Second page of a hybrid search: fusion decides membership, the score decides order."""
-    hits = search(corpus(spark, folder), benchmark_queries(spark, folder), 12, as_of=TODAY, hybrid=True)
+    hits = search(indexed_corpus(spark, folder), benchmark_queries(spark, folder), 12, as_of=TODAY, hybrid=True)
     page = statutes_page(hits, 8, 4, TODAY, key="vec_id")
     return page.select("query_id", "position", "doc_id", "doc_type", "title", "score", "trust_grade", "source_url",
                        "license", "as_of_date", "effective_from")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,7 @@ from docketry.functions.dates import optional_calendar_date
 from docketry.functions.ids import owner_of_hit, stored_article
 from docketry.functions.text import blank_to_null, strip
 from docketry.functions.vectors import dot, unit
+from docketry.operators import posting_store
 from docketry.operators.filters import looks_like_citation, metadata_filter
 from docketry.operators.fusion import law_first, rrf
 from docketry.operators.lexical import build_index, bm25_top
@@ -37,12 +38,34 @@ SYNONYMS = {
 
 @dataclass(frozen=True)
 class Corpus:
-    """Searchable rows: a key, a unit ``vector``, and the payload as plain columns."""
+    """Searchable rows: a key, a unit ``vector``, and the payload as plain columns.
+
+    ``index`` is a stored word index of these rows; ``filtered`` says that ``rows`` are
+    only a part of what it holds. Without one a hybrid search builds its own.
+    """
 
     rows: DataFrame
     key: str = "chunk_id"
     title: str | None = "heading"
     body: str = "text"
+    index: posting_store.PostingStore | None = None
+    filtered: bool = False
+
+
+def indexed(corpus: Corpus, path: str) -> Corpus:
+    """The corpus with the word index under ``path``, which is written if there is none."""
+    spark = corpus.rows.sparkSession
+    if posting_store.exists(spark, path):
+        return replace(corpus, index=posting_store.open_store(spark, path))
+    return replace(corpus, index=posting_store.create(corpus.rows, path, corpus.key, corpus.title, corpus.body))
+
+
+def word_ranks(corpus: Corpus, queries: DataFrame, n: int) -> DataFrame:
+    """Best ``n`` rows per query by words: ``query_id, rank, <key>, score``."""
+    if corpus.index is None:
+        return bm25_top(build_index(corpus.rows, corpus.key, corpus.title, corpus.body), queries, "query_id", "text", n)
+    among = corpus.rows.select(corpus.key) if corpus.filtered else None
+    return posting_store.top(corpus.index, queries, "query_id", "text", n, among=among)
 
 
 def expand(query: Column, terms: Mapping[str, str] = SYNONYMS) -> Column:
@@ -87,7 +110,8 @@ def search(
 ) -> DataFrame:
     """Best ``k`` rows per query: ``query_id, rank, <key>, score`` and the payload.
 
-    ``queries`` has ``query_id, text, vector``. ``mode="exact"`` filters before
+    ``queries`` has ``query_id, text, vector``; words are searched together with the terms
+    that everyday words stand for. ``mode="exact"`` filters before
     ranking. ``mode="overfetch"`` ranks first and filters the candidates; queries that
     find fewer than ``k`` rows that way are answered by an exact pass, so both modes
     give the same rows. A hybrid search always filters first. The score is always the dense one; in a hybrid
@@ -98,6 +122,8 @@ def search(
     k = max(1, int(k))
     keep = metadata_filter(where, as_of)
     queries = prepare_queries(queries)
+    if settings.expand_queries:
+        queries = queries.withColumn("text", expand(F.col("text")))
     rows, key = corpus.rows, corpus.key
     late = keep if keep is not None and mode == "overfetch" and not hybrid else None
     searched = rows.where(keep) if keep is not None and late is None else rows
@@ -106,7 +132,7 @@ def search(
     if hybrid:
         n = max(settings.hybrid_candidates, k)
         small = is_small(queries, 2 * n)
-        candidates = hybrid_ranks(Corpus(searched, key, corpus.title, corpus.body), queries, n, settings, small)
+        candidates = hybrid_ranks(replace(corpus, rows=searched, filtered=corpus.filtered or keep is not None), queries, n, settings, small)
     else:
         n = k * settings.overfetch if late is not None else k
         small = is_small(queries, n)
@@ -135,8 +161,7 @@ def hybrid_ranks(corpus: Corpus, queries: DataFrame, n: int, settings: Settings
     key, rows = corpus.key, corpus.rows
     dense = stage(nearest(rows, queries.select("query_id", "vector"), n, key), "dense")
     wanted = looks_like_citation(F.col("text")) if lexical_when is None else lexical_when
-    index = build_index(rows, key, corpus.title, corpus.body)
-    lexical = stage(bm25_top(index, queries.where(wanted), "query_id", "text", n), "lexical")
+    lexical = stage(word_ranks(corpus, queries.where(wanted), n), "lexical")
     typed = lookup(lexical.drop("score"), rows.select(key, "doc_type"), key, small)
     fused = rrf(dense, law_first(typed, "query_id"), "query_id", key, settings.rrf_k0, settings.rrf_lexical_weight)
     # Rows found only by words get their true dense score.

@@ -37,6 +37,7 @@ class Settings:
     hybrid_candidates: int = 50
     rrf_k0: int = 60
     rrf_lexical_weight: float = 2.0
+    expand_queries: bool = False
     min_score: float = 0.20
     batch_items: int = 2_048
     batch_tokens: int = 280_000
