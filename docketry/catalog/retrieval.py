@@ -11,7 +11,7 @@ from docketry.catalog.data import (
 )
 from docketry.functions.dates import in_force_if_known, in_force_lenient, in_force_listed, in_force_strict, force_status
 from docketry.functions.vectors import dot, norm, unit
-from docketry.operators import posting_store
+from docketry.operators import posting_store, vector_index
 from docketry.operators.filters import looks_like_citation, metadata_filter
 from docketry.operators.lexical import build_index, bm25_top, prefix_terms
 from docketry.operators.ranking import keep_best, nearest
@@ -24,17 +24,28 @@ AS_OF = "2015-06-30"
 TODAY = "2024-01-15"
 
 
-@query("dense_topk", f"""
+_DENSE_SQL = f"""
 WITH {LABEL_QUERIES_SQL}, vectors AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings),
 scored AS ({dense_sql("vectors")})
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
-WHERE rank <= 8""")
+WHERE rank <= 8"""
+
+
+@query("dense_topk", _DENSE_SQL)
 def dense_topk(spark, folder):
     rows = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     return nearest(rows, label_queries(spark, folder), 8, "vec_id")
 
 
+@query("dense_topk_bounded", _DENSE_SQL)
+def dense_topk_bounded(spark, folder):
+    """The same rows from an index in cells; cells that cannot hold one of them are not read."""
+    rows = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    index = vector_index.build(rows, fresh_path(spark, "vector-index"), "vec_id")
+    return vector_index.nearest_bounded(index, label_queries(spark, folder), 8)
+
+
 _FILTER = {"doc_type": ["law", "admrule"], "law_kind": "en"}
 _FILTER_SQL = f"doc_type IN ('law', 'admrule') AND law_kind = 'en' AND effective_from <= '{AS_OF}'"
 

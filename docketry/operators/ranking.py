@@ -40,14 +40,16 @@ class _BestOf:
         self.scores = [np.empty(0) for _ in queries]
         self.ids: list[np.ndarray] = [np.empty(0, dtype=object) for _ in queries]
 
-    def add(self, ids: np.ndarray, matrix: np.ndarray) -> None:
-        scores = np.round(matrix @ self.queries.T, self.digits)
+    def add(self, ids: np.ndarray, matrix: np.ndarray, asked: np.ndarray | None = None) -> None:
+        """Meet rows with all queries, or with those whose places are in ``asked``."""
+        asked = np.arange(len(self.queries)) if asked is None else asked
+        scores = np.round(matrix @ self.queries[asked].T, self.digits)
         n = len(scores)
         floor = np.partition(scores, n - self.k, axis=0)[n - self.k] if n > self.k else np.full(scores.shape[1], -np.inf)
-        held = np.array([s[-1] if len(s) == self.k else -np.inf for s in self.scores])
+        held = np.array([self.scores[q][-1] if len(self.scores[q]) == self.k else -np.inf for q in asked])
         keep = scores >= np.maximum(floor, held)
-        for q in np.flatnonzero(keep.any(axis=0)).tolist():
-            column, chosen = scores[:, q], np.flatnonzero(keep[:, q])
+        for place in np.flatnonzero(keep.any(axis=0)).tolist():
+            q, column, chosen = asked[place], scores[:, place], np.flatnonzero(keep[:, place])
             merged_scores = np.concatenate([self.scores[q], column[chosen]])
             merged_ids = np.concatenate([self.ids[q], ids[chosen]])
             order = sorted(range(len(merged_scores)), key=lambda i: (-merged_scores[i], merged_ids[i]))[: self.k]
