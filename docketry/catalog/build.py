@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from docketry.catalog import query
 from docketry.catalog.data import ARTICLES_SQL, CHUNKS_SQL, CORPUS_SQL, documents, spread, table
 from docketry.functions.text import content_hash, count_tokens
-from docketry.operators import chunking, dedup, embedding, filters, governance, inventory
+from docketry.operators import chunking, dedup, embedding, filters, governance, inventory, names
 from docketry.operators.joins import substring_matches
 from docketry.operators.sequences import changes, greedy_batches
 from docketry.settings import DEFAULTS
@@ -384,6 +384,20 @@ def laws_cited(spark, folder):
     return table(spark, folder, "documents").select("doc_id", laws.alias("laws"))
 
 
+@query("names_cited", r"""
+WITH known AS (SELECT DISTINCT name FROM (SELECT unnest(string_split_regex(text, '\s+')) AS name FROM benchmark) WHERE length(name) >= 9),
+texts AS (SELECT doc_id, regexp_replace(replace(replace(text, ' the ', ' 가 '), ' of ', ' 구 '), '\s+', '', 'g') AS x FROM documents),
+found AS (SELECT doc_id, list_sort(list(name)) AS laws FROM texts JOIN known ON contains(x, name)
+  AND regexp_matches(x, '(^|[^가-힣]|구)' || regexp_escape(name)) GROUP BY doc_id)
+SELECT doc_id, coalesce(laws, []) AS laws FROM documents LEFT JOIN found USING (doc_id)""")
+def names_cited(spark, folder):
+    """All long words of the passages as names, searched in whole texts by one automaton."""
+    x = F.replace(F.replace(F.col("text"), F.lit(" the "), F.lit(" 가 ")), F.lit(" of "), F.lit(" 구 "))
+    known = table(spark, folder, "benchmark").select(F.explode(F.split("text", r"\s+")).alias("name")).where(F.length("name") >= 9)
+    rows = spread(table(spark, folder, "documents").select("doc_id", x.alias("x")), "doc_id")
+    return names.names_cited(rows, "x", known.withColumn("canonical", F.col("name")), "laws").select("doc_id", "laws")
+
+
 @query("title_in_text", """
 WITH names AS (SELECT DISTINCT name FROM (SELECT unnest(string_split(text, ' ')) AS name FROM benchmark) WHERE length(name) >= 9), texts AS (SELECT conv_id, turn, text FROM conversations)
 SELECT name, conv_id, turn FROM names JOIN texts ON contains(text, name)""")

@@ -9,7 +9,7 @@ from docketry.catalog.data import table
 from docketry.operators import embedding, inventory, metering
 from docketry.functions.text import content_hash
 from docketry.session import fresh_path
-from docketry.streaming import jobs
+from docketry.streaming import jobs, registry
 
 
 def _log(events):
@@ -171,3 +171,25 @@ def incremental_embed_stream(spark, folder):
     for attempt in ("first", "second"):
         jobs.embed_incrementally(chunks, out, embedding.hashing_embedder(32), f"{out}-state-{attempt}", 32).awaitTermination()
     return jobs.existing_vectors(spark, out).select("content_hash", F.size("vector").alias("dim"))
+
+
+@query("registry_stream", """
+WITH log AS (SELECT event_id, ts, 'law' || user_id % 5 AS key, CASE WHEN event_type = 'signup' THEN 'v' || user_id END AS answer FROM events),
+cites AS (SELECT * FROM log WHERE answer IS NULL AND ts < (SELECT max(ts) - INTERVAL 10 MINUTE FROM log)),
+met AS (SELECT c.event_id, max({'ts': a.ts, 'id': a.event_id, 'answer': a.answer}) AS best FROM cites c
+  JOIN log a ON a.key = c.key AND a.answer IS NOT NULL AND a.ts <= c.ts GROUP BY c.event_id)
+SELECT c.key, c.event_id, CASE WHEN c.ts - best.ts < INTERVAL 1 HOUR THEN best.answer END AS answer,
+  CASE WHEN c.ts - best.ts < INTERVAL 1 HOUR THEN best.ts END AS answered
+FROM cites c LEFT JOIN met USING (event_id)""")
+def registry_stream(spark, folder):
+    """Signups as registry answers, all other events as citations; they arrive in several batches, some rows late."""
+    events = table(spark, folder, "events")
+    late = F.make_interval(mins=F.pmod(F.col("event_id"), F.lit(9)).cast("int"))
+    arrival = F.date_trunc("day", F.col("ts") + late)
+    rows = events.select(
+        F.concat(F.lit("law"), F.pmod("user_id", F.lit(5)).cast("string")).alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
+        F.when(F.col("event_type") == "signup", F.concat(F.lit("v"), F.col("user_id").cast("string"))).alias("answer"),
+        F.floor(F.dayofmonth(arrival) / 6).alias("slice"),
+    )
+    out = jobs.collected(jobs.arriving(rows, "slice"), registry.answered, "registry")
+    return out.select("key", "event_id", "answer", F.col("answered").cast("timestamp_ntz").alias("answered"))

@@ -6,6 +6,7 @@ timestamp cannot carry a watermark, so it is cast).
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from docketry.operators import embedding
 from docketry.operators.ranking import keep_best
-from docketry.session import fresh_path
+from docketry.session import fresh_path, stage
 from docketry.settings import DEFAULTS
 
 
@@ -74,6 +75,33 @@ def run_to_table(df: DataFrame, label: str, keys: Sequence[str], **trigger) -> D
     return keep_best(result, list(keys), [F.desc("batch")], 1).select(*df.columns)
 
 
+def arriving(rows: DataFrame, slice_col: str) -> DataFrame:
+    """A stream that delivers ``rows`` slice by slice, each as one micro-batch.
+
+    Slices are written one after the other, as a file source takes files in the order of
+    their times.
+    """
+    spark = rows.sparkSession
+    root = fresh_path(spark, "arriving")
+    staged = stage(rows, "slices")
+    for value in sorted(r[0] for r in staged.select(slice_col).distinct().collect()):  # one number per micro-batch
+        staged.where(F.col(slice_col) == value).drop(slice_col).coalesce(1).write.mode("append").parquet(root)
+        time.sleep(0.01)  # file times have milliseconds
+    return spark.readStream.schema(rows.drop(slice_col).schema).option("maxFilesPerTrigger", 1).parquet(root)
+
+
+def collected(stream: DataFrame, plan: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """What ``plan`` gives for all that is there, in append mode; a repeated batch replaces itself."""
+    spark = stream.sparkSession
+    root, out = fresh_path(spark, label), plan(stream)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/data/batch={batch_id}")
+
+    start(out, "append", write, f"{root}/state").awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/data").select(*out.columns)
+
+
 def embed_incrementally(chunks: DataFrame, done_path: str, embedder: Callable[[list[str]], np.ndarray], checkpoint: str,
                         dim: int = DEFAULTS.embed_dim, **trigger) -> StreamingQuery:
     """Embed chunks as they arrive; a text already embedded is not embedded again.
