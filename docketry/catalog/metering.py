@@ -9,7 +9,7 @@ from docketry.catalog.data import table
 from docketry.operators import embedding, inventory, metering
 from docketry.functions.text import content_hash
 from docketry.session import fresh_path
-from docketry.streaming import jobs, registry
+from docketry.streaming import done_set, jobs, registry
 
 
 def _log(events):
@@ -173,6 +173,24 @@ def incremental_embed_stream(spark, folder):
     return jobs.existing_vectors(spark, out).select("content_hash", F.size("vector").alias("dim"))
 
 
+@query("incremental_vectors_stream", """
+WITH arrived AS (SELECT doc_id, sha256(trim(text)) AS content_hash, doc_id % 3 AS slice, doc_id % 400 AS vec_id FROM documents),
+firsts AS (SELECT content_hash, arg_min(vec_id, (slice, lpad(CAST(doc_id AS VARCHAR), 12, '0'))) AS vec_id FROM arrived GROUP BY content_hash)
+SELECT content_hash, len(embedding) AS dim, round(CAST(embedding[1] AS DOUBLE), 6) AS first_value FROM firsts JOIN embeddings USING (vec_id)""")
+def incremental_vectors_stream(spark, folder):
+    """Vectors of the given table for documents that arrive in three batches, and then all once more: nothing is new."""
+    rows = table(spark, folder, "documents").select(
+        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("chunk_id"), content_hash(F.col("text")).alias("content_hash"),
+        F.pmod("doc_id", F.lit(400)).alias("vec_id"), F.pmod("doc_id", F.lit(3)).alias("slice"),
+    )
+    vectors = table(spark, folder, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    out = fresh_path(spark, "done-vectors")
+    for attempt in ("first", "second"):
+        done_set.vectors_incrementally(jobs.arriving(rows, "slice"), vectors, "vec_id", f"{out}/done", f"{out}/state-{attempt}").awaitTermination()
+    made = done_set.vectors_of(spark, f"{out}/done")
+    return made.select("content_hash", F.size("vector").cast("long").alias("dim"), F.round(F.get("vector", F.lit(0)), 6).alias("first_value"))
+
+
 @query("registry_stream", """
 WITH log AS (SELECT event_id, ts, 'law' || user_id % 5 AS key, CASE WHEN event_type = 'signup' THEN 'v' || user_id END AS answer FROM events),
 cites AS (SELECT * FROM log WHERE answer IS NULL AND ts < (SELECT max(ts) - INTERVAL 10 MINUTE FROM log)),
