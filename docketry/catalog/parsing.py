@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docketry.catalog import query
 from docketry.catalog.data import spread, table, wide_lines
 from docketry.functions.text import strip
+from docketry.plans.sub_corpus import rules_sub_corpus
 from docketry.sources import markdown as M
 from docketry.sources import parsers as P
 
@@ -156,3 +157,43 @@ def parse_rejects(spark, folder):
     kind = F.pmod("doc_id", F.lit(4))
     head = F.when(kind == 0, "- not\n- a mapping").when(kind == 1, "법령ID: 5").otherwise(F.concat(F.lit("법령ID: "), key, F.lit("\n법령구분: 법률")))
     return M.rejected(P.parse_statutes(_file(spark, folder, F.concat(F.lit("/law/"), key), head, F.col("text"))))
+
+
+_INCLUDE, _DENY = ["src1", "en"], ["src12", "de"]
+_FATES_SQL = """
+fates AS (SELECT doc_id AS k, '/r/' || source || ' ' || lang || '/' || doc_id || '.md' AS path, source || ' ' || lang AS scope,
+  CASE WHEN contains(source, 'src1') THEN 'src1' WHEN contains(source || ' ' || lang, 'en') THEN 'en' END AS matched,
+  CASE WHEN contains(source, 'src12') THEN 'src12' WHEN contains(source || ' ' || lang, 'de') THEN 'de' END AS denied FROM documents),
+judged AS (SELECT *, CASE WHEN matched IS NULL THEN 'skipped' WHEN denied IS NOT NULL THEN 'denied' WHEN k % 17 = 0 THEN 'rejected'
+  WHEN k = max(CASE WHEN matched IS NOT NULL AND denied IS NULL AND k % 17 <> 0 THEN k END) OVER (PARTITION BY k // 3) THEN 'kept' ELSE 'dropped' END AS outcome FROM fates)"""
+
+
+def _sub_corpus(spark, folder):
+    """Rules in folders by source and language; three neighbours are revisions of one rule, some have no head."""
+    k = F.col("doc_id")
+    head = F.concat(F.lit("---\n행정규칙ID: r"), F.floor(k / 3).cast("string"), F.lit("\n행정규칙명: 고시\n행정규칙일련번호: "), k.cast("string"), F.lit("\n---\n"))
+    path = F.concat(F.lit("/r/"), "source", F.lit(" "), "lang", F.lit("/"), k.cast("string"), F.lit(".md"))
+    files = spread(table(spark, folder, "documents"), "doc_id").select(
+        path.alias("path"), F.concat(F.when(k % 17 != 0, head).otherwise(""), F.lit("제1조(목적) "), "text").alias("content"),
+    )
+    return rules_sub_corpus(files, _INCLUDE, _DENY)
+
+
+@query("sub_corpus", f"""WITH {_FATES_SQL}
+SELECT path, scope, CASE WHEN outcome IN ('kept', 'dropped') THEN 'ADMRULE:r' || k // 3 END AS doc_id, outcome,
+  CASE outcome WHEN 'skipped' THEN NULL WHEN 'denied' THEN denied WHEN 'rejected' THEN 'no readable head' ELSE matched END AS term FROM judged""")
+def sub_corpus(spark, folder):
+    return _sub_corpus(spark, folder).files
+
+
+@query("sub_corpus_documents", f"""WITH {_FATES_SQL}
+SELECT 'ADMRULE:r' || k // 3 AS doc_id, path, CAST(k AS VARCHAR) AS serial FROM judged WHERE outcome = 'kept'""")
+def sub_corpus_documents(spark, folder):
+    return _sub_corpus(spark, folder).docs.select("doc_id", "path", "serial")
+
+
+@query("sub_corpus_counts", f"""WITH {_FATES_SQL}
+SELECT o AS outcome, count(j.k) AS files FROM unnest(['kept', 'dropped', 'denied', 'rejected', 'skipped']) t(o) LEFT JOIN judged j ON j.outcome = o GROUP BY o""")
+def sub_corpus_counts(spark, folder):
+    """Counts that were observed while the outcomes were written."""
+    return spark.createDataFrame(list(_sub_corpus(spark, folder).counts.items()), "outcome string, files long")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.text import nfc
 from docketry.operators import chunking, embedding, filters
+from docketry.operators.names import names_cited
 from docketry.plans.search import Corpus
 from docketry.session import stage
 from docketry.settings import DEFAULTS, Settings
@@ -125,13 +126,19 @@ def pick_rules(files: DataFrame, include: Iterable[str], deny: Iterable[str]) ->
     return best, audit, dropped
 
 
-def pick_cases(docs: DataFrame, section: str, names: Iterable[str], aliases: Mapping[str, str] | None = None) -> DataFrame:
-    """Precedents whose named section cites a listed law; adds ``match_rule`` and ``matched_term``."""
+def pick_cases(docs: DataFrame, section: str, names: Iterable[str] | DataFrame, aliases: Mapping[str, str] | None = None) -> DataFrame:
+    """Precedents whose named section cites a listed law; adds ``match_rule`` and ``matched_term``.
+
+    ``names`` is a short list, or a table (name, canonical) of any length.
+    """
     reference = F.get(F.filter("articles", lambda a: a["article_no"] == section), F.lit(0))["text"]
     cited = docs.withColumn("_ref", reference).where(F.coalesce("_ref", F.lit("")) != "")
+    if isinstance(names, DataFrame):
+        matched = names_cited(cited, "_ref", names, "matched_term")
+    else:
+        matched = cited.withColumn("matched_term", filters.laws_cited(F.col("_ref"), names, aliases))
     return (
-        cited.withColumn("matched_term", filters.laws_cited(F.col("_ref"), names, aliases))
-        .where(F.size("matched_term") > 0)
+        matched.where(F.size("matched_term") > 0)
         .withColumn("match_rule", F.lit(f"phase1:{section}:exact"))
         .drop("_ref")
     )
