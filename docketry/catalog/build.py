@@ -255,28 +255,28 @@ SELECT p.doc_id, max(batch_no) AS batch_no FROM p JOIN starts ON starts.n <= p.n
 def request_batches(spark, folder):
     """Requests filled in order up to an item and a token limit."""
     rows = table(spark, folder, "documents").select("doc_id", count_tokens(F.col("text")).alias("tokens"))
-    return greedy_batches(rows, "doc_id", "tokens", 24, 4000, range_rows=256)
+    return greedy_batches(rows, "doc_id", "tokens", 24, 4000)
 
 
 @query("shard_plan", _batches_sql("strlen(text)", 100, 60_000))
 def shard_plan(spark, folder):
     """Upload shards filled in order up to a line and a byte limit."""
     rows = table(spark, folder, "documents").select("doc_id", F.octet_length("text").alias("bytes"))
-    return greedy_batches(rows, "doc_id", "bytes", 100, 60_000, range_rows=256)
+    return greedy_batches(rows, "doc_id", "bytes", 100, 60_000)
 
 
 @query("request_batches_sparse", _batches_sql(r"len(regexp_split_to_array(trim(text), '\s+'))", DEFAULTS.batch_items, DEFAULTS.batch_tokens, "doc_id * 5000011"))
 def request_batches_sparse(spark, folder):
     """Requests under the production limits, numbered far apart."""
     rows = table(spark, folder, "documents").select((F.col("doc_id") * 5000011).alias("doc_id"), count_tokens(F.col("text")).alias("tokens"))
-    return greedy_batches(rows, "doc_id", "tokens", DEFAULTS.batch_items, DEFAULTS.batch_tokens, range_rows=100)
+    return greedy_batches(rows, "doc_id", "tokens", DEFAULTS.batch_items, DEFAULTS.batch_tokens)
 
 
 @query("shard_plan_sparse", _batches_sql("strlen(text)", DEFAULTS.shard_lines, DEFAULTS.shard_bytes // 512, "doc_id * 5000011"))
 def shard_plan_sparse(spark, folder):
     """Upload shards under the production line limit and a byte limit that these tables reach."""
     rows = table(spark, folder, "documents").select((F.col("doc_id") * 5000011).alias("doc_id"), F.octet_length("text").alias("bytes"))
-    return greedy_batches(rows, "doc_id", "bytes", DEFAULTS.shard_lines, DEFAULTS.shard_bytes // 512, range_rows=100)
+    return greedy_batches(rows, "doc_id", "bytes", DEFAULTS.shard_lines, DEFAULTS.shard_bytes // 512)
 
 
 @query("corpus_stats", f"""
@@ -313,7 +313,7 @@ def prefix_coverage(spark, folder):
 @query("block_transitions", """
 SELECT doc_id, lang FROM (SELECT doc_id, lang, lag(lang) OVER (ORDER BY doc_id) AS prev FROM documents) WHERE prev IS DISTINCT FROM lang""")
 def block_transitions(spark, folder):
-    return changes(table(spark, folder, "documents"), "doc_id", "lang", range_rows=256)
+    return changes(table(spark, folder, "documents"), "doc_id", "lang")
 
 
 @query("core_corpus", f"WITH {CORPUS_SQL} SELECT doc_id FROM corpus WHERE NOT starts_with(doc_id, 'ORD:')")
