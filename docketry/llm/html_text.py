@@ -14,10 +14,12 @@ from __future__ import annotations
 import functools
 import hashlib
 import html
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -193,44 +195,115 @@ def listed(root: Node) -> list[Node]:
     return out
 
 
-def _match(a: Node, b: Node, seen: dict) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: size of the largest order-keeping match below two like nodes, and its child pairs."""
-    key = (id(a), id(b))
-    if key in seen:
-        return seen[key]
-    n, m = len(a.children), len(b.children)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    gain: dict[tuple[int, int], int] = {}
-    for i, x in enumerate(a.children):
-        row, above = best[i + 1], best[i]
-        for j, y in enumerate(b.children):
-            value = max(above[j + 1], row[j])
-            if x.label == y.label:
-                gain[i, j] = g = _match(x, y, seen)[0]
-                value = max(value, above[j] + g)
-            row[j + 1] = value
-    pairs = []
-    i, j = n, m
-    while i and j:
-        if (i - 1, j - 1) in gain and best[i][j] == best[i - 1][j - 1] + gain[i - 1, j - 1]:
-            pairs.append((a.children[i - 1], b.children[j - 1]))
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    seen[key] = (1 + best[n][m], pairs[::-1])
-    return seen[key]
+class _Matcher:
+    """Simple tree matching: the size of the largest order-keeping match of two trees, and its pairs.
+
+    A match depends on the shapes of subtrees alone (labels and order), so shapes are
+    numbered and each two are compared once, however often they occur. Tables of child
+    lists are computed row by row; of a large one only every so many rows are held, and the
+    rest are computed again on the way back, so memory grows with the lists and not with
+    their product.
+    """
+
+    def __init__(self, *roots: Node) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.labels: list[str] = []
+        self.below: list[np.ndarray] = []
+        self.sizes: list[int] = []
+        self.known: dict[tuple[int, int], int] = {}
+        self.shape: dict[int, int] = {}
+        for root in roots:
+            for node in reversed(listed(root)):  # children first
+                own = tuple(self.shape[id(c)] for c in node.children)
+                number = self.numbers.setdefault((node.label, own), len(self.labels))
+                if number == len(self.labels):
+                    self.labels.append(node.label)
+                    self.below.append(np.array(own, np.int64))
+                    self.sizes.append(1 + sum(self.sizes[k] for k in own))
+                self.shape[id(node)] = number
+
+    def size(self, a: int, b: int) -> int:
+        """Of the largest match of two shapes whose roots are matched."""
+        if a == b:
+            return self.sizes[a]
+        if (a, b) not in self.known:
+            left, right, _ = self._untied(self.below[a], self.below[b])
+            tail = sum(self.sizes[k] for k in self.below[a][len(left):].tolist())
+            row = np.zeros(len(right) + 1, np.int64)
+            if len(left) and len(right):
+                gains, x, y = self._gains(left, right)
+                for i in range(len(left)):
+                    row = self._next(row, gains[x[i], y])
+            self.known[a, b] = 1 + tail + int(row[-1])
+        return self.known[a, b]
+
+    @staticmethod
+    def _untied(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Two lists without their common end: like subtrees at the end match in a largest match."""
+        n = min(len(left), len(right))
+        unlike = np.flatnonzero(left[len(left) - n:][::-1] != right[len(right) - n:][::-1])
+        tied = int(unlike[0]) if len(unlike) else n
+        return left[:len(left) - tied], right[:len(right) - tied], tied
+
+    def _gains(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What matching two children gives, by distinct shapes; 0 under different labels."""
+        (ours, x), (theirs, y) = np.unique(left, return_inverse=True), np.unique(right, return_inverse=True)
+        table = np.zeros((len(ours), len(theirs)), np.int64)
+        by_label: dict[str, list[int]] = {}
+        for j, b in enumerate(theirs.tolist()):
+            by_label.setdefault(self.labels[b], []).append(j)
+        for i, a in enumerate(ours.tolist()):
+            for j in by_label.get(self.labels[a], ()):
+                table[i, j] = self.size(a, int(theirs[j]))
+        return table, x, y
+
+    @staticmethod
+    def _next(row: np.ndarray, gain: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(row)
+        np.maximum.accumulate(np.maximum(row[1:], row[:-1] + gain), out=out[1:])
+        return out
+
+    def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
+        """Matched children of two matched nodes."""
+        left, right, tied = self._untied(self.below[self.shape[id(a)]], self.below[self.shape[id(b)]])
+        n, m = len(left), len(right)
+        out = [(a.children[n + k], b.children[m + k]) for k in reversed(range(tied))]
+        if not (n and m):
+            return out[::-1]
+        gains, x, y = self._gains(left, right)
+        step = math.isqrt(n) + 1
+        held, row = [np.zeros(m + 1, np.int64)], np.zeros(m + 1, np.int64)
+        for i in range(n):
+            row = self._next(row, gains[x[i], y])
+            if (i + 1) % step == 0:
+                held.append(row)
+        i, j, first, rows = n, m, n + 1, []
+        while i and j:
+            if i - 1 < first:
+                first = (i - 1) // step * step
+                rows = [held[first // step]]
+                for k in range(first, min(first + step, n)):
+                    rows.append(self._next(rows[-1], gains[x[k], y]))
+            here, above = rows[i - first], rows[i - 1 - first]
+            gain = gains[x[i - 1], y[j - 1]]
+            if gain and here[j] == above[j - 1] + gain:
+                out.append((a.children[i - 1], b.children[j - 1]))
+                i, j = i - 1, j - 1
+            elif here[j] == above[j]:
+                i -= 1
+            else:
+                j -= 1
+        return out[::-1]
 
 
 def align(reference: Node, page: Node) -> list[tuple[Node, Node]]:
     """Pairs of matched nodes of two folded trees."""
-    seen: dict = {}
+    matcher = _Matcher(reference, page)
     out, todo = [], [(reference, page)]
     while todo:
         a, b = todo.pop()
         out.append((a, b))
-        todo.extend(_match(a, b, seen)[1])
+        todo.extend(matcher.pairs(a, b))
     return out
 
 
