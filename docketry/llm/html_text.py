@@ -74,8 +74,12 @@ class Node:
     parts: list["Node"] = field(default_factory=list)
 
 
+#: White space that is not one blank.
+ODD_SPACE = re.compile(r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+")
+
+
 def _space(text: str) -> str:
-    return " ".join(w for w in re.split(r"[\x20\x09-\x0D]+", html.unescape(text)) if w)
+    return ODD_SPACE.sub(" ", html.unescape(text) if "&" in text else text).strip(" ")
 
 
 def parse(page: str) -> Node:
@@ -205,22 +209,49 @@ class _Matcher:
     their product.
     """
 
-    def __init__(self, *roots: Node) -> None:
+    #: Shapes of other trees that are remembered beside the reference's own.
+    REMEMBERED = 4_000
+
+    def __init__(self, reference: Node) -> None:
+        self.reference = reference
+        self._begin()
+
+    def _begin(self) -> None:
         self.numbers: dict[tuple, int] = {}
         self.labels: list[str] = []
-        self.below: list[np.ndarray] = []
+        self.below: list[tuple[int, ...]] = []
         self.sizes: list[int] = []
         self.known: dict[tuple[int, int], int] = {}
-        self.shape: dict[int, int] = {}
-        for root in roots:
-            for node in reversed(listed(root)):  # children first
-                own = tuple(self.shape[id(c)] for c in node.children)
-                number = self.numbers.setdefault((node.label, own), len(self.labels))
-                if number == len(self.labels):
-                    self.labels.append(node.label)
-                    self.below.append(np.array(own, np.int64))
-                    self.sizes.append(1 + sum(self.sizes[k] for k in own))
-                self.shape[id(node)] = number
+        self.mine = self._shapes(self.reference)
+        self.full = len(self.labels) + self.REMEMBERED
+
+    def _shapes(self, root: Node) -> dict[int, int]:
+        """Numbers of the shapes of all subtrees, by node."""
+        shape: dict[int, int] = {}
+        numbers = self.numbers
+        for node in reversed(listed(root)):  # children first
+            own = tuple([shape[id(c)] for c in node.children])
+            number = numbers.setdefault((node.label, own), len(self.labels))
+            if number == len(self.labels):
+                self.labels.append(node.label)
+                self.below.append(own)
+                self.sizes.append(1 + sum([self.sizes[k] for k in own]))
+            shape[id(node)] = number
+        return shape
+
+    def align(self, page: Node) -> list[tuple[Node, Node]]:
+        """Pairs of matched nodes of the reference and a page."""
+        if len(self.labels) > self.full or len(self.known) > self.full:
+            self._begin()
+        self.theirs = self._shapes(page)
+        out, todo = [], [(self.reference, page)]
+        while todo:
+            a, b = todo.pop()
+            out.append((a, b))
+            if a.children and b.children:
+                like = self.mine[id(a)] == self.theirs[id(b)]
+                todo.extend(zip(a.children, b.children) if like else self.pairs(a, b))
+        return out
 
     def size(self, a: int, b: int) -> int:
         """Of the largest match of two shapes whose roots are matched."""
@@ -228,7 +259,7 @@ class _Matcher:
             return self.sizes[a]
         if (a, b) not in self.known:
             left, right, _ = self._untied(self.below[a], self.below[b])
-            tail = sum(self.sizes[k] for k in self.below[a][len(left):].tolist())
+            tail = sum(self.sizes[k] for k in self.below[a][len(left):])
             row = np.zeros(len(right) + 1, np.int64)
             if len(left) and len(right):
                 gains, x, y = self._gains(left, right)
@@ -238,14 +269,16 @@ class _Matcher:
         return self.known[a, b]
 
     @staticmethod
-    def _untied(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    def _untied(left: tuple[int, ...], right: tuple[int, ...]) -> tuple[tuple[int, ...], tuple[int, ...], int]:
         """Two lists without their common end: like subtrees at the end match in a largest match."""
-        n = min(len(left), len(right))
-        unlike = np.flatnonzero(left[len(left) - n:][::-1] != right[len(right) - n:][::-1])
-        tied = int(unlike[0]) if len(unlike) else n
+        tied = 0
+        for a, b in zip(reversed(left), reversed(right)):
+            if a != b:
+                break
+            tied += 1
         return left[:len(left) - tied], right[:len(right) - tied], tied
 
-    def _gains(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _gains(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """What matching two children gives, by distinct shapes; 0 under different labels."""
         (ours, x), (theirs, y) = np.unique(left, return_inverse=True), np.unique(right, return_inverse=True)
         table = np.zeros((len(ours), len(theirs)), np.int64)
@@ -265,7 +298,7 @@ class _Matcher:
 
     def pairs(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
         """Matched children of two matched nodes."""
-        left, right, tied = self._untied(self.below[self.shape[id(a)]], self.below[self.shape[id(b)]])
+        left, right, tied = self._untied(self.below[self.mine[id(a)]], self.below[self.theirs[id(b)]])
         n, m = len(left), len(right)
         out = [(a.children[n + k], b.children[m + k]) for k in reversed(range(tied))]
         if not (n and m):
@@ -298,13 +331,7 @@ class _Matcher:
 
 def align(reference: Node, page: Node) -> list[tuple[Node, Node]]:
     """Pairs of matched nodes of two folded trees."""
-    matcher = _Matcher(reference, page)
-    out, todo = [], [(reference, page)]
-    while todo:
-        a, b = todo.pop()
-        out.append((a, b))
-        todo.extend(matcher.pairs(a, b))
-    return out
+    return _Matcher(reference).align(page)
 
 
 def _own_text(node: Node) -> str:
@@ -332,9 +359,10 @@ def layout(tree: Node) -> tuple[int, int, int]:
 
 
 @functools.lru_cache(maxsize=256)
-def _wrapper(reference: str) -> tuple[Node, dict[int, int]]:
+def _wrapper(reference: str) -> tuple[_Matcher, dict[int, tuple[int, str]]]:
+    """The matcher of a reference page, and number and text of its nodes."""
     tree = fold(parse(reference))
-    return tree, {id(n): i for i, n in enumerate(listed(tree))}
+    return _Matcher(tree), {id(n): (i, _own_text(n)) for i, n in enumerate(listed(tree))}
 
 
 def _has(node: Node, wanted) -> bool:
@@ -412,10 +440,10 @@ def slots(page: str, reference: str | None) -> tuple[bytes, list[int], list[tupl
     if reference is not None:
         wrapper, numbers = _wrapper(reference)
         states = [0] * len(numbers)
-        for a, b in align(wrapper, tree):
-            known[id(b)] = numbers[id(a)]
-            own = _own_text(a)
-            states[numbers[id(a)]] = 2 if own and own == _own_text(b) else 1
+        for a, b in wrapper.align(tree):
+            number, own = numbers[id(a)]
+            known[id(b)] = number
+            states[number] = 2 if own and own == _own_text(b) else 1
     found = candidates(tree)
     return _digest(found), states, [(known.get(id(node), -1), text) for _, node, text in found]
 
