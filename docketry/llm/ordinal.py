@@ -142,7 +142,8 @@ def _distinct(rows: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.nd
 def train(docs: DataFrame, labels: DataFrame, plan: Ordinal = Ordinal(), id_col: str = "doc_id", text_col: str = "text") -> dict[str, np.ndarray]:
     """Fit on at most ``plan.sample`` labelled ids (smallest hashes); ``labels`` has doc_id and grade.
 
-    An id with several labels has its lowest grade. Rows without a grade or id do not count.
+    An id with several labels has its lowest grade; of several rows with one id the one
+    whose features have the smallest hash counts. Rows without a grade or id do not count.
     """
     chosen = (
         labels.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
@@ -151,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, plan: Ordinal = Ordinal(), id_col:
     # At most plan.sample rows of two numbers, so the texts need no shuffle.
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(
         F.broadcast(chosen), "doc_id",
-    ).select("text", "grade")
+    ).select("text", "grade", "doc_id")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,8 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, plan: Ordinal = Ordinal(), id_col:
                 rows, found = _distinct(*text_features(data, ends))
                 bounds = np.searchsorted(rows, np.arange(b - a + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(found.view(np.int64))), batch.column(1).slice(a, b - a),
-                ], names=["features", "grade"])
+                    pa.ListArray.from_arrays(pa.array(bounds), pa.array(found.view(np.int64))), batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a),
+                ], names=["features", "grade", "doc_id"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, sizes, grades = [], [], []
@@ -175,8 +176,11 @@ def train(docs: DataFrame, labels: DataFrame, plan: Ordinal = Ordinal(), id_col:
         model = fit(indptr, np.concatenate(parts), np.clip(np.concatenate(grades).astype(np.int64), 0, plan.grades - 1), plan)
         yield pa.RecordBatch.from_arrays([pa.array([model[k].tobytes()], pa.binary()) for k in ("keys", "weights", "cuts")], names=["keys", "weights", "cuts"])
 
-    sampled = stage(known.mapInArrow(features, "features array<long>, grade int"), "labelled-features")
-    ordered = sampled.repartition(1).sortWithinPartitions(F.xxhash64("features"), "grade")
+    kind = docs.schema[id_col].dataType.simpleString()
+    sampled = stage(known.mapInArrow(features, f"features array<long>, grade int, doc_id {kind}"), "labelled-features")
+    # An id may be on many rows: one of them counts, so that the sample bounds the rows.
+    single = sampled.groupBy("doc_id").agg(F.min_by("features", F.xxhash64("features")).alias("features"), F.min("grade").alias("grade"))
+    ordered = single.select("features", "grade").repartition(1).sortWithinPartitions(F.xxhash64("features"), "grade")
     got = ordered.mapInArrow(solve, "keys binary, weights binary, cuts binary").first()
     if got is None:
         return {"keys": np.zeros(0, np.uint64), "weights": np.zeros(0, np.float32), "cuts": np.zeros(plan.grades - 1)}

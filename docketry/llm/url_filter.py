@@ -38,7 +38,8 @@ def digest_arrays(rules: Iterable[Rule]) -> dict[str, np.ndarray]:
     keys = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64)
     order = np.argsort(keys, kind="stable")
     ordered = [texts[i] for i in order]
-    chosen = [list(unique.values())[i] for i in order]
+    listed = list(unique.values())
+    chosen = [listed[i] for i in order]
     return {
         "keys": keys[order],
         "ends": np.cumsum([len(t) for t in ordered] or [0]).astype(np.int64),

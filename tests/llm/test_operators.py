@@ -528,3 +528,11 @@ def test_notices_are_found(spark):
     for r in licenses.scan_licenses(df).where("size(matches) = 1 and doc_id = 1").collect():
         assert texts[1][r.matches[0].start:r.matches[0].stop] == "Released under the MIT License"
     assert licenses.scan_licenses(df.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_count_once_in_the_fit(spark, tmp_path):
+    rows = [(1, "good words here", "en", "s", 1)] * 300 + [(2, "bad stuff there", "en", "s", 2), (3, "good things again", "en", "s", 3)]
+    labels = spark.createDataFrame([(1, 2), (2, 0), (3, 2)], "doc_id long, grade int")
+    often = ordinal.train(cases.settled(spark, cases.table(spark, rows), tmp_path), labels)
+    once = ordinal.train(cases.settled(spark, cases.table(spark, rows[299:]), tmp_path), labels)
+    assert all(np.array_equal(often[k], once[k]) for k in once)
