@@ -9,7 +9,8 @@ from docketry.session import stage
 
 
 def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0))).first())
+    whole = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(whole, F.lit(0))).first())
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -15,10 +15,12 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 TOKEN = np.zeros(256, bool)
 TOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_RANDOM = np.random.default_rng(20240501)
-_TABLE = _RANDOM.integers(0, 1 << 64, 256, np.uint64)
 BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: Ranges are hashed modulo this prime: modulo a power of two, some words collide whatever the base (Thue-Morse sequences).
+PRIME = (1 << 61) - 1
+ROOT = int(np.random.default_rng(20240501).integers(1 << 60, PRIME))
+PIECE, RUN = 1 << 17, 1 << 15
+_P, _LOW = np.uint64(PRIME), np.uint64((1 << 31) - 1)
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -39,13 +41,26 @@ def blocks(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, n
         first = last
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    ones = np.full(1 << bits, BASE, np.uint64)
-    ones[0] = 1
-    back = np.full(1 << bits, INVERSE, np.uint64)
-    back[0] = 1
-    return np.multiply.accumulate(ones), np.multiply.accumulate(back)
+def _reduce(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, from halves of 31 and 30 bits so that no sum passes 64 bits."""
+    a1, a0, b1, b0 = a >> np.uint64(31), a & _LOW, b >> np.uint64(31), b & _LOW
+    middle = a1 * b0 + a0 * b1
+    low = ((middle & np.uint64((1 << 30) - 1)) << np.uint64(31)) + (middle >> np.uint64(30))
+    return _reduce(np.uint64(2) * a1 * b1 + low + a0 * b0)
+
+
+@functools.lru_cache(maxsize=8)
+def _powers(bits: int, base: int) -> np.ndarray:
+    """Powers 0 to 2**bits - 1 of a base modulo the prime."""
+    made = np.ones(1, np.uint64)
+    for k in range(bits):
+        made = np.concatenate([made, _times(made, np.full(1, pow(base, 1 << k, PRIME), np.uint64))])
+    return made
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -80,19 +95,27 @@ def token_bounds(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Sums modulo 2**64 of the bytes' random numbers times powers of a base."""
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    if len(data):
-        powers, _ = _powers(max(21, int(len(data)).bit_length()))
-        np.cumsum(_TABLE[data] * powers[:len(data)], out=sums[1:])
+    """Sums modulo the prime of the bytes (plus one) times powers of a root."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    powers = _powers(max(21, len(data).bit_length()), ROOT)
+    for first in range(0, len(data), PIECE):
+        bytes_ = data[first:first + PIECE].astype(np.uint64) + np.uint64(1)
+        power = powers[first:first + len(bytes_)]
+        high, low = np.cumsum(bytes_ * (power >> np.uint64(31))), np.cumsum(bytes_ * (power & _LOW))
+        high = ((high & np.uint64((1 << 30) - 1)) << np.uint64(31)) + (high >> np.uint64(30))
+        sums[first + 1:first + len(bytes_) + 1] = _reduce(high + low + sums[first])
     return sums
 
 
 def range_hashes(sums: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     """One 64-bit hash for each range of bytes."""
-    _, back = _powers(max(21, int(max(len(sums) - 1, 1)).bit_length()))
-    return mix((sums[stops] - sums[starts]) * back[starts] + (stops - starts).astype(np.uint64) * BASE)
+    back = _powers(max(21, (len(sums) - 1).bit_length()), pow(ROOT, -1, PRIME))
+    made = np.empty(len(starts), np.uint64)
+    for first in range(0, len(starts), RUN):  # short runs stay in the processor's cache
+        begin, end = starts[first:first + RUN], stops[first:first + RUN]
+        value = _times(_reduce(sums[end] + _P - sums[begin]), back[begin])
+        made[first:first + RUN] = mix(value + (end - begin).astype(np.uint64) * BASE)
+    return made
 
 
 def shingles(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
