@@ -46,6 +46,16 @@ ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^
 #: Elements that come and go with what a page says; a frame is a tree without them.
 CONTENT = frozenset("address blockquote dd details dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup li ol p pre summary ul".split())
 DEPTH = 120
+#: Words that tell an aside as a part of a class name, too (``post-comments``, ``cookie_banner``), unless the name speaks of a state.
+PARTED = frozenset("ads advert adverts advertisement sponsored breadcrumb breadcrumbs comment comments cookie cookies consent newsletter related".split())
+STATES = frozenset("no not without with has is hide hidden open closed enabled disabled count".split())
+PART = re.compile(r"[a-z]+")
+
+
+@functools.lru_cache(maxsize=65_536)
+def _names_aside(name: str) -> bool:
+    parts = frozenset(PART.findall(name))
+    return name in ASIDE_WORDS or bool(parts & PARTED and not parts & STATES)
 
 
 @dataclass(frozen=True)
@@ -161,7 +171,7 @@ def parse(page: str) -> Node:
         node = Node(
             " ".join([tag, *sorted(words)]),
             tag in ASIDE_TAGS or (tag == "header" and not inside),
-            tag not in ("body", "html", "main") and bool(words & ASIDE_WORDS),
+            tag not in ("body", "html", "main") and any(map(_names_aside, words)),
             tag in ("article", "main"),
         )
         if len(tags) > DEPTH:
