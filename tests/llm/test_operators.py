@@ -6,13 +6,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docketry.llm import bpe, components, exact_dedup, html_text, induced, licenses, minhash, mixing, ordinal, quality_rules, repeats, url_filter
+from docketry.llm import bpe, components, exact_dedup, html_text, induced, licenses, minhash, mixing, ordinal, quality_rules, repeats, textbytes, url_filter
 from tests.llm import cases
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -284,6 +285,27 @@ def test_near_components(spark, tmp_path, words, percent):
     assert kept.dtypes == df.dtypes and kept.count() == len(set(roots))
 
 
+def test_words_that_fool_sums_modulo_two_to_64():
+    """Two words whose letters follow a Thue-Morse sequence and its complement hash alike modulo 2**64."""
+    turn = [bin(i).count("1") % 2 for i in range(2048)]
+    a, b = "".join("ab"[t] for t in turn), "".join("ba"[t] for t in turn)
+    assert len({int(v) for v in next(minhash.shingle_sets(pa.array([f"x y {a} x y {b}"]), 3))}) == 4
+    made = [next(minhash.shingle_sets(pa.array([t]), 3)) for t in (f"x y {a}", f"x y {b}", f"x y {a}")]
+    assert made[0][0] != made[1][0] and made[0][0] == made[2][0]
+
+
+def test_range_hashes_are_exact_polynomials():
+    data = np.random.default_rng(3).integers(0, 256, 3000, np.uint8)
+    data[2000:2700] = data[100:800]
+    sums = textbytes.prefix_sums(data)
+    total, power = 0, 1
+    for i, byte in enumerate(data.tolist()):
+        total, power = (total + (byte + 1) * power) % textbytes.PRIME, power * textbytes.ROOT % textbytes.PRIME
+        assert int(sums[i + 1]) == total
+    one, other, short = textbytes.range_hashes(sums, np.array([100, 2000, 100]), np.array([800, 2700, 799]))
+    assert one == other != short
+
+
 def test_no_near_copies_in_nothing(empty):
     assert minhash.near_groups(empty).count() == 0
 
@@ -370,6 +392,9 @@ def test_small_hosts_have_no_template(spark):
     ("<article class='social'><h1>Head</h1>Text</article>", ["Head", "Text"]),
     ("<div><p>Text</div><article class=comment>Mine</article>", ["Text"]),
     ("<main></main><div>Text</div>", ["Text"]),
+    ("<div class=post-comments>Mine</div><div class=related_posts>More</div><div class=cookie-banner>Ok</div><div class='advert-box x'>Buy</div><p>Text", ["Text"]),
+    ("<div class='has-comments comment-count'>Text</div><div class=page-header><h1>Head</h1></div>", ["Text", "Head"]),
+    ("<div class=related-posts><article>Text</article></div>", ["Text"]),
     ("<div class='no sidebar'>Menu</div><div class=no-sidebar>Text</div>", ["Text"]),
 ])
 def test_main_text_does_not_vanish(page, want):
