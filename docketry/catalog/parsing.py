@@ -36,14 +36,18 @@ l AS (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line,
 
 
 @query("parse_statutes", f"""
-WITH {_LINES}, kept AS (SELECT * FROM l WHERE trim(line) <> '')
+WITH {_LINES}, raw AS (SELECT doc_id, source, lang, i, trim(line || CASE WHEN lead(i) OVER (PARTITION BY doc_id ORDER BY i) IS NULL THEN ''
+    WHEN i % 6 = 5 THEN chr(10) || chr(10) || '## 제' || (i // 6 + 2) || '장 총칙 <개정 2018.3.27>'
+    WHEN i % 6 = 2 THEN chr(10) || chr(10) || '### 제1절 세부' ELSE '' END, ' ' || chr(10)) AS own FROM l),
+kept AS (SELECT * FROM raw WHERE own <> '')
 SELECT 'LAW:' || doc_id || ':' || lang AS doc_id, 'A' AS trust_grade, '2024-07-03' AS effective_from, source AS authority,
   CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS pos,
   '제' || (i + 1) || '조' || CASE WHEN i % 4 = 3 THEN '의2' ELSE '' END AS article_no,
   CASE WHEN i % 2 = 0 THEN '제목' || (i + 1) END AS article_title,
   '제' || (i // 6 + 1) || '장 총칙' || CASE WHEN i % 6 >= 3 THEN ' > 제1절 세부' ELSE '' END AS chapter_path,
-  sha256(trim(line)) AS text_hash FROM kept""")
+  sha256(own) AS text_hash FROM kept""")
 def parse_statutes(spark, folder):
+    """Headed articles; a chapter heading ends the text of the article before it, even of one without a line of its own."""
     def render(line, n, i):
         chapter = F.when(i % 6 == 0, F.concat(F.lit("## 제"), (F.floor(i / 6) + 1).cast("string"), F.lit("장 총칙 <개정 2018.3.27>\n"))) \
             .when(i % 6 == 3, "### 제1절 세부\n").otherwise("")
@@ -55,16 +59,7 @@ def parse_statutes(spark, folder):
     head = F.concat(F.lit("제목: 법 "), key, F.lit("\n법령ID: '"), key, F.lit("'\n법령구분: '"), "lang", F.lit("'\n소관부처:\n- "), "source",
                     F.lit("\n시행일자: 2024-07-03\n첨부파일: []"))
     files = _file(spark, folder, F.concat(F.lit("/law/"), key, F.lit("/법률.md")), head, F.concat(F.lit("# 법\n"), _numbered(render)))
-    # A heading without text is no article; the next heading's chapter lines are not text of this one.
-    parsed = M.accepted(P.parse_statutes(files))
-    return _exploded(_without_chapter_lines(parsed), "doc_id", "trust_grade", "effective_from", "authority")
-
-
-def _without_chapter_lines(parsed: DataFrame) -> DataFrame:
-    """Drop the chapter headings that end an article's text, and articles left empty by that."""
-    trim = lambda text: strip(F.regexp_replace(text, r"(?m)^#{2,3} 제\d+[장절].*$", ""))
-    articles = F.transform("articles", lambda a: a.withField("text", trim(a["text"])))
-    return parsed.withColumn("articles", F.filter(articles, lambda a: a["text"] != ""))
+    return _exploded(M.accepted(P.parse_statutes(files)), "doc_id", "trust_grade", "effective_from", "authority")
 
 
 @query("parse_statutes_lead", """
@@ -105,13 +100,15 @@ def parse_ordinances(spark, folder):
 
 @query("parse_rules", f"""
 WITH {_LINES}, named AS (
-  SELECT doc_id, source, i, line, '제' || (i % 3 + 1) || '조' AS label, row_number() OVER (PARTITION BY doc_id, i % 3 ORDER BY i) AS nth FROM l)
+  SELECT doc_id, source, i, line, '제' || (i % 3 + 1) || '조' AS label, row_number() OVER (PARTITION BY doc_id, i % 3 ORDER BY i) AS nth,
+    trim(line || CASE WHEN i % 4 = 3 AND lead(i) OVER (PARTITION BY doc_id ORDER BY i) IS NOT NULL
+      THEN chr(10) || '제' || (i // 4 + 2) || '장  장이름' ELSE '' END, ' ' || chr(10)) AS own FROM l)
 SELECT 'ADMRULE:' || doc_id AS doc_id, source AS jurisdiction, CAST(i AS INTEGER) AS pos,
   label || CASE WHEN nth > 1 THEN '#' || nth ELSE '' END AS article_no, '조' || (i + 1) AS article_title,
   '제' || (i // 4 + 1) || '장 장이름' AS chapter_path,
-  sha256(CASE WHEN trim(line) = '' THEN '조' || (i + 1) ELSE trim(line) END) AS text_hash FROM named""")
+  sha256(CASE WHEN own = '' THEN '조' || (i + 1) ELSE own END) AS text_hash FROM named""")
 def parse_rules(spark, folder):
-    """Inline articles whose labels repeat, under chapters that carry forward."""
+    """Inline articles whose labels repeat, under chapters that carry forward; a chapter line also ends the text before it."""
     def render(line, n, i):
         chapter = F.when(i % 4 == 0, F.concat(F.lit("제"), (F.floor(i / 4) + 1).cast("string"), F.lit("장  장이름\n"))).otherwise("")
         label = F.concat(F.lit("제"), (i % 3 + 1).cast("string"), F.lit("조(조"), n, F.lit(") "))
@@ -120,10 +117,7 @@ def parse_rules(spark, folder):
     key = F.col("doc_id").cast("string")
     head = F.concat(F.lit("행정규칙ID: "), key, F.lit("\n행정규칙명: 고시 "), key, F.lit("\n소관부처명: "), "source", F.lit("\n시행일자: 2023-03-01"))
     parsed = M.accepted(P.parse_rules(_file(spark, folder, F.concat(F.lit("/r/"), key, F.lit("/본문.md")), head, _numbered(render))))
-    # The chapter line that precedes the next article is part of this one's text in the source.
-    trim = lambda text: strip(F.regexp_replace(text, r"(?m)^제\d+장  장이름$", ""))
-    articles = F.transform("articles", lambda a: a.withField("text", F.coalesce(F.nullif(trim(a["text"]), F.lit("")), a["title"])))
-    return _exploded(parsed.withColumn("articles", articles), "doc_id", "jurisdiction")
+    return _exploded(parsed, "doc_id", "jurisdiction")
 
 
 @query("parse_cases", f"""

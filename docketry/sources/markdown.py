@@ -10,6 +10,7 @@ import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.functions.arrays import running
 from docketry.functions.binding import let
 from docketry.functions.text import strip, unix_lines
 
@@ -133,26 +134,11 @@ def spans(body: Column, pattern: str) -> Column:
     empty = F.array().cast(kind)
 
     def walk(whole: Column, label: Column, rest: Column, pieces: Column) -> Column:
-        zipped = F.arrays_zip(
-            whole.alias("match"), label.alias("label"), rest.alias("rest"),
-            F.slice(pieces, F.lit(1), F.size(whole)).alias("before"),
-            F.slice(pieces, F.lit(2), F.size(whole)).alias("text"),
-        )
-        return F.aggregate(
-            zipped,
-            F.struct(F.lit(0).alias("pos"), empty.alias("out")),
-            lambda acc, h: F.struct(
-                (acc["pos"] + F.length(h["before"]) + F.length(h["match"])).alias("pos"),
-                F.concat(
-                    acc["out"],
-                    F.array(F.struct(
-                        h["label"].alias("label"), h["rest"].alias("rest"), h["match"].alias("match"),
-                        (acc["pos"] + F.length(h["before"])).alias("start"), h["text"].alias("text"),
-                    )),
-                ).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        )
+        lengths = F.transform(whole, lambda m, i: F.length(F.get(pieces, i)) + F.length(m))
+        return let(lambda ends: F.transform(whole, lambda m, i: F.struct(
+            F.get(label, i).alias("label"), F.get(rest, i).alias("rest"), m.alias("match"),
+            (F.get(ends, i) - F.length(m)).alias("start"), F.get(pieces, i + 1).alias("text"),
+        )), ends=running(lengths, lambda x, y: x + y))
 
     def cut(b: Column) -> Column:
         found = lambda group: F.regexp_extract_all(b, F.lit(pattern), F.lit(group))
@@ -172,11 +158,6 @@ def article(no: Column, title: Column, text: Column, chapter: Column | None = No
     )
 
 
-def last_before(marks: Column, pos: Column) -> Column:
-    """Latest mark at or before ``pos`` (marks are in document order), else null."""
-    return F.try_element_at(F.filter(marks, lambda m: m["start"] <= pos), F.lit(-1))
-
-
 def as_document(df: DataFrame) -> DataFrame:
     """Bring a parsed frame to the common document columns, adding the missing ones."""
     kinds = {"articles": f"array<{ARTICLE_TYPE}>", "attachments": ATTACHMENT_TYPE, "meta": "variant"}

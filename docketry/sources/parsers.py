@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import text as T
+from docketry.functions.arrays import last_at_or_before, occurrences
 from docketry.functions.binding import let, once
 from docketry.functions.ids import doc_id
 from docketry.operators.dedup import keep_best_revision
@@ -69,7 +70,7 @@ def _chapter_path(chapters: Column, sections: Column, pos: Column) -> Column:
         live = F.when(section["start"] > F.coalesce(chapter["start"], F.lit(-1)), section["label"])
         return F.nullif(F.concat_ws(" > ", chapter["label"], live), F.lit(""))
 
-    return let(path, chapter=M.last_before(chapters, pos), section=M.last_before(sections, pos))
+    return let(path, chapter=last_at_or_before(chapters, pos), section=last_at_or_before(sections, pos))
 
 
 def statute_articles(df: DataFrame) -> DataFrame:
@@ -213,11 +214,11 @@ def rule_articles(df: DataFrame) -> DataFrame:
     empty = F.array().cast(f"array<{M.ARTICLE_TYPE}>")
     df = df.withColumn("body", T.strip(T.nfc(F.col("body"))))
 
-    def numbered(hits: Column, labels: Column, chapters: Column) -> Column:
+    def numbered(hits: Column, nths: Column, chapters: Column) -> Column:
         def build(h: Column, i: Column) -> Column:
-            nth = F.size(F.filter(F.slice(labels, F.lit(1), i + 1), lambda l: l == h["label"]))
+            nth = F.get(nths, i)
             no = F.when(nth > 1, F.concat(h["label"], F.lit("#"), nth.cast("string"))).otherwise(h["label"])
-            chapter = M.last_before(chapters, h["start"])["label"]
+            chapter = last_at_or_before(chapters, h["start"])["label"]
             return let(
                 lambda no, title: M.article(no, title, F.coalesce(_non_blank(h["text"]), title, no), chapter),
                 no=no, title=_non_blank(h["rest"]),
@@ -227,7 +228,7 @@ def rule_articles(df: DataFrame) -> DataFrame:
 
     def split(b: Column, pattern: str) -> Column:
         with_labels = lambda hits: let(
-            numbered, hits=hits, labels=F.transform(hits, lambda h: h["label"]), chapters=_marks(b, RULE_CHAPTER)
+            numbered, hits=hits, nths=occurrences(F.transform(hits, lambda h: h["label"])), chapters=_marks(b, RULE_CHAPTER)
         )
         return let(with_labels, hits=M.spans(b, pattern))
 
