@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from docketry.catalog import query
 from docketry.catalog.data import ARTICLES_SQL, CHUNKS_SQL, CORPUS_SQL, documents, spread, table
 from docketry.functions.text import content_hash, count_tokens
-from docketry.operators import chunking, dedup, embedding, filters, governance, inventory, names
+from docketry.operators import chunking, dedup, embedding, filters, governance, inventory, names, waves
 from docketry.operators.joins import substring_matches
 from docketry.operators.sequences import changes, greedy_batches
+from docketry.operators.waves import Waves
+from docketry.session import fresh_path, stage
 from docketry.settings import DEFAULTS
 
 
@@ -279,6 +281,67 @@ def shard_plan_sparse(spark, folder):
     return greedy_batches(rows, "doc_id", "bytes", DEFAULTS.shard_lines, DEFAULTS.shard_bytes // 512)
 
 
+def _greedy_sql(name: str, rows: str, items: int, limit: int) -> str:
+    """CTEs that fill batches from ``rows`` (key, size) in order of the key."""
+    return f"""
+{name}_p AS (SELECT *, sum(size) OVER (ORDER BY n) AS upto FROM (SELECT key, size, row_number() OVER (ORDER BY key) AS n FROM {rows})),
+{name}_x AS (SELECT a.n AS n, min(b.n) AS m FROM {name}_p a JOIN {name}_p b ON b.n > a.n AND b.n <= a.n + {items}
+    AND (b.n - a.n + 1 > {items} OR b.upto - (a.upto - a.size) > {limit}) GROUP BY a.n),
+{name}_s(n, batch_no) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION ALL
+  SELECT x.m, batch_no + 1 FROM {name}_s s JOIN {name}_x x ON x.n = s.n),
+{name} AS (SELECT p.key, p.size, s.batch_no FROM {name}_p p ASOF JOIN {name}_s s ON p.n >= s.n)"""
+
+
+def _plan_sql(name: str, rows: str, w: Waves) -> str:
+    return f"""{_greedy_sql(name + "_r", rows, w.request_items, w.request_tokens)},
+{name}_z AS (SELECT batch_no AS key, sum(size) AS size FROM {name}_r GROUP BY batch_no),
+{_greedy_sql(name + "_w", name + "_z", w.wave_requests, w.wave_tokens)},
+{name} AS (SELECT r.key, r.size, r.batch_no AS request_no, w.batch_no + 1 AS wave_no FROM {name}_r r JOIN {name}_w w ON w.key = r.batch_no)"""
+
+
+_WAVES = Waves(request_items=24, request_tokens=4_000, wave_requests=5, wave_tokens=12_000)
+
+
+@query("wave_resume", f"""
+WITH RECURSIVE sized AS (SELECT doc_id AS key, len(regexp_split_to_array(trim(text), '\\s+')) AS size FROM documents),
+{_plan_sql("a", "sized", _WAVES)},
+half AS (SELECT max(wave_no) // 2 AS h FROM a),
+rest AS (SELECT key, size FROM a, half WHERE wave_no > h + 1 OR wave_no = h + 1 AND key % 2 = 1),
+{_plan_sql("b", "rest", _WAVES)}
+SELECT key AS doc_id, wave_no + h + 1 AS wave_no, request_no FROM b, half""")
+def wave_resume(spark, folder):
+    """A run in waves that broke off: half of its waves are complete, the next one has the vectors of even keys and was refused."""
+    rows = table(spark, folder, "documents").select("doc_id", count_tokens(F.col("text")).alias("tokens"))
+    path = fresh_path(spark, "wave-run")
+    first = stage(waves.plan_waves(rows, *waves.opened(spark, path, "doc_id"), _WAVES, "doc_id"), "wave-plan")
+    half = first.agg(F.floor(F.max("wave_no") / 2)).first()[0] or 0
+    log = first.where(F.col("wave_no") <= half + 1).select("wave_no").distinct().select(
+        "wave_no", F.lit(1).alias("attempt"), F.when(F.col("wave_no") <= half, "completed").otherwise("failed").alias("status"),
+        F.when(F.col("wave_no") > half, "token_limit_exceeded").alias("code"),
+    )
+    known = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    finished = first.where((F.col("wave_no") <= half) | (F.col("wave_no") == half + 1) & (F.col("doc_id") % 2 == 0))
+    waves.write_waves(finished.select("doc_id", "wave_no").join(known, "doc_id", "left"), path)
+    waves.append_log(log, path)
+    return waves.plan_waves(rows, *waves.opened(spark, path, "doc_id"), _WAVES, "doc_id")
+
+
+@query("wave_states", """
+WITH lines AS (SELECT l_orderkey AS wave_no, l_linenumber AS attempt, l_returnflag = 'R' AND l_linenumber > 3 AS ok, l_suppkey % 7 > 0 AS quota FROM lineitem),
+log AS (SELECT DISTINCT wave_no, attempt, ok, quota AND NOT ok AS quota FROM lines),
+w AS (SELECT wave_no, count(DISTINCT attempt) AS attempts, count(*) FILTER (WHERE quota) AS refusals, bool_or(ok) AS done, count(*) AS n FROM log GROUP BY wave_no)
+SELECT wave_no, attempts, refusals, CASE WHEN done THEN 'done' WHEN refusals = n AND refusals <= 4 THEN 'retry' ELSE 'stopped' END AS state FROM w""")
+def wave_states(spark, folder):
+    """Order lines as attempts at waves: refused for quota, failed for good, or completed."""
+    ok = (F.col("l_returnflag") == "R") & (F.col("l_linenumber") > 3)
+    quota = F.col("l_suppkey") % 7 > 0
+    log = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("wave_no"), F.col("l_linenumber").alias("attempt"), F.when(ok, "completed").otherwise("failed").alias("status"),
+        F.when(~ok, F.when(quota, F.lit("token_limit_exceeded")).otherwise("invalid")).alias("code"),
+    )
+    return waves.wave_states(log, Waves(quota_retries=4))
+
+
 @query("corpus_stats", f"""
 WITH {CORPUS_SQL}, {ARTICLES_SQL}, n AS (SELECT k, count(*) AS a FROM articles GROUP BY k)
 SELECT doc_type, law_kind, count(*) AS docs, CAST(sum(coalesce(a, 0)) AS BIGINT) AS articles,
@@ -289,11 +352,14 @@ def corpus_stats(spark, folder):
 
 
 @query("chunk_stats", f"""
-WITH {CHUNKS_SQL} SELECT (SELECT count(*) FROM corpus) AS docs, (SELECT count(*) FROM corpus) AS parents, CAST(0 AS BIGINT) AS duplicate_docs,
-  (SELECT count(*) FROM chunks) AS chunks, CAST(0 AS BIGINT) AS over_limit""")
+WITH {CHUNKS_SQL}, twice AS (SELECT count(*) AS n FROM corpus WHERE k % 9 = 0)
+SELECT (SELECT count(*) FROM corpus) + n AS docs, (SELECT count(*) FROM corpus) AS parents, CAST(n AS BIGINT) AS duplicate_docs,
+  (SELECT count(*) FROM chunks) AS chunks,
+  (SELECT count(*) FROM chunks WHERE len(regexp_split_to_array(trim(chunk_body), '\\s+')) > 40) AS over_limit FROM twice""")
 def chunk_stats(spark, folder):
-    docs = documents(spark, folder)
-    return inventory.chunk_stats(docs, chunking.chunk(docs), DEFAULTS.embed_max_tokens)
+    """Every ninth document comes again from a second source; its first reading stays."""
+    read = documents(spark, folder).withColumn("source_order", F.explode(F.sequence(F.lit(0), (F.col("position") % 9 == 0).cast("int"))))
+    return inventory.chunk_stats(read, chunking.chunk(chunking.first_documents(read)), 40)
 
 
 @query("chunk_histogram", f"""
