@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import datetime as dt
-import hashlib
-import secrets
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.operators.sequences import running_total
 from docketry.settings import (
-    ANONYMOUS_RATE_PER_MINUTE, KEY_PREFIX, TIER_DAILY_TOKENS, TIER_RATE_PER_MINUTE, TIERS,
+    ANONYMOUS_RATE_PER_MINUTE, KEY_PREFIX, TIER_DAILY_TOKENS, TIER_RATE_PER_MINUTE,
 )
 
 
@@ -78,20 +74,6 @@ KEY_SCHEMA = (
 )
 
 
-def issue_key(spark: SparkSession, tenant: str, tier: str = "free", rate: int | None = None) -> tuple[str, DataFrame]:
-    """New key: its plain text (shown once) and the row to append to the key table."""
-    tenant = (tenant or "").strip()
-    if not tenant:
-        raise ValueError("tenant must not be blank")
-    if tier not in TIERS:
-        raise ValueError(f"tier must be one of {sorted(TIERS)}, got {tier!r}")
-    raw = KEY_PREFIX + secrets.token_urlsafe(24)
-    digest = hashlib.sha256(raw.encode("utf-8")).hexdigest()
-    row = (digest, digest[:12], tenant, tier, rate or TIER_RATE_PER_MINUTE[tier], 0, 0, 0,
-           dt.datetime.now(dt.timezone.utc).isoformat())
-    return raw, spark.createDataFrame([row], KEY_SCHEMA)
-
-
 def authenticate(requests: DataFrame, keys: DataFrame, raw_key: str = "raw_key") -> DataFrame:
     """Requests with the principal of their key; null columns mean refused."""
     presented = requests.withColumn(
@@ -130,8 +112,3 @@ def list_keys(keys: DataFrame) -> DataFrame:
     return keys.select(
         "key_id", "tenant", "tier", "rate", "usage", "tokens", (F.col("revoked") != 0).alias("revoked"), "created_at"
     ).orderBy(F.desc("created_at"))
-
-
-def needs_admin(keys: DataFrame) -> bool:
-    """Whether no active admin key exists yet."""
-    return keys.where((F.col("tier") == "admin") & (F.col("revoked") == 0)).limit(1).count() == 0
