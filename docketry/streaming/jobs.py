@@ -22,9 +22,9 @@ from docketry.settings import DEFAULTS
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """Parquet files of a folder as a stream; the schema is read from the files once."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
+    """What a folder holds under ``pattern`` as a stream, files or folders of Parquet files; the schema is read from them once."""
+    path = f"{folder}/{{{pattern}}}"  # a pattern may name a file, a plain path of a stream has to be a folder
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
 def timed(log: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
