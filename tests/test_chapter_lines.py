@@ -20,3 +20,10 @@ def test_statute_articles_end_before_the_next_heading(spark, tmp_path):
     lines[5] = ""  # only a chapter heading follows: no article
     got = hashes(spark, tmp_path, "parse_statutes", lines)
     assert got == {f"제{i + 1}조" + ("의2" if i % 4 == 3 else ""): digest(f"line {i}") for i in range(14) if i != 5}
+
+
+def test_rule_articles_end_before_the_next_chapter_line(spark, tmp_path):
+    lines = [f"line {i}" for i in range(9)]
+    lines[3] = ""  # only a chapter line follows: the title stands in for the text
+    got = hashes(spark, tmp_path, "parse_rules", lines)
+    assert sorted(got.values()) == sorted(digest(f"line {i}" if i != 3 else "조4") for i in range(9))
