@@ -7,7 +7,7 @@ its own version lists the segments; an append writes a segment and then the next
 so readers see all of it or nothing, and a version number can be taken by one writer only.
 
 A search reads the folders of its prefixes. Postings of matching words go to tasks by
-shard, a run of 64 blocks; a task holds every block against the queries' bounds first: the
+shard, a run of 16 blocks; a task holds every block against the queries' bounds first: the
 weights of the block's words at their highest frequency and the block's shortest row. A
 block is opened only for queries that it could still give a row to, and scored there as one
 matrix product.
@@ -34,7 +34,7 @@ from docketry.session import stage
 from docketry.settings import DEFAULTS
 
 LETTER_FOLDERS = 64
-BLOCK_BITS, SHARD_BITS, SEGMENT_BITS = 8, 6, 50
+BLOCK_BITS, SHARD_BITS, SEGMENT_BITS = 8, 4, 50
 MANIFEST = "key string, segments array<string>"
 #: A table without rows has no folders that a reader could take the columns from.
 SHAPES = {"postings": "word string, block long, offs array<int>, freqs array<float>, most float, letters int", "vocabulary": "word string, letters int"}
