@@ -16,6 +16,10 @@ from docketry.session import fresh_path, stage
 from docketry.sources import records
 
 
+#: Documents whose words one task counts, about.
+INDEX_ROWS = 4_096
+
+
 @query("lexical_index", rf"""
 WITH {CORPUS_SQL}, searched AS (SELECT k AS doc, title, text FROM corpus), words AS (
   SELECT doc, w, 5.0 AS weight FROM (SELECT doc, unnest(regexp_split_to_array(strip_accents(lower(title)), '[^\p{{L}}\p{{N}}]+')) AS w FROM searched) WHERE w <> ''
@@ -26,7 +30,8 @@ def lexical_index(spark, folder):
     """All postings of the written index; the two fields of a word are summed."""
     docs = documents(spark, folder).select(F.col("position").alias("doc"), "title", "text")
     index = build_index(docs, "doc", "title", "text")
-    return index.postings.groupBy("doc", "word").agg(F.sum("freq").alias("freq"), F.first("n_words").cast("long").alias("n_words"))
+    parts = max(1, -(-index.totals.first()["n_rows"] // INDEX_ROWS))
+    return index.postings.repartition(parts, "doc").groupBy("doc", "word").agg(F.sum("freq").alias("freq"), F.first("n_words").cast("long").alias("n_words"))
 
 
 @query("article_lookup", f"""
