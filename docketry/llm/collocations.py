@@ -45,6 +45,9 @@ FIELDS = tuple((np.uint64(prime), base) for prime, base in (
     (2**31 - 1, 1_163_962_801), (2**31 - 19, 1_907_531_273), (2**31 - 1, 748_664_025), (2**31 - 19, 1_283_169_405),
 ))
 
+#: Bytes of words that are hashed at once, of texts that are read at once, and of entries that leave a task in one batch.
+LETTERS, BLOCK, BATCH = 1 << 18, 1 << 20, 4 << 20
+
 
 @dataclass(frozen=True)
 class Mining:
@@ -108,6 +111,15 @@ def lang_key(lang: str) -> np.uint64:
     return np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "little"))
 
 
+def _word_prints(letters: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Fingerprints of words given by their joined bytes and their bounds, one array for each field."""
+    joined = letters.astype(np.uint64) + np.uint64(1)
+    spelled = _ranges(_prefixes([joined] * len(FIELDS)), ends[:-1], ends[1:])
+    # Mixed, so that sums over words do not depend on sums over letters.
+    whole = [mix(spelled[k] << np.uint64(31) | spelled[k + 1]) for k in (0, 2)]
+    return [mix(whole[k // 2] + np.uint64(k)) % prime for k, (prime, _) in enumerate(FIELDS)]
+
+
 class Vocabulary:
     """Exact numbers for the words of a task, with their fingerprints; forgotten when large."""
 
@@ -129,12 +141,13 @@ class Vocabulary:
             self.words = pa.concat_arrays([self.words, fresh])
             _, ends, data = fresh.buffers()
             ends = np.frombuffer(ends, np.int64)[fresh.offset:fresh.offset + len(fresh) + 1]
-            joined = np.frombuffer(data, np.uint8)[ends[0]:ends[-1]].astype(np.uint64) + np.uint64(1)
-            spelled = _ranges(_prefixes([joined] * len(FIELDS)), ends[:-1] - ends[0], ends[1:] - ends[0])
-            # Mixed, so that sums over words do not depend on sums over letters.
-            whole = [mix(spelled[k] << np.uint64(31) | spelled[k + 1]) for k in (0, 2)]
-            hashed = [mix(whole[k // 2] + np.uint64(k)) % prime for k, (prime, _) in enumerate(FIELDS)]
-            self.halves = [np.concatenate((old, new)) for old, new in zip(self.halves, hashed)]
+            made, first = [self.halves], 0
+            while first < len(fresh):  # in runs, so that powers and sums stay short
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + LETTERS, "right")) - 1)
+                own = ends[first:last + 1] - ends[first]
+                made.append(_word_prints(np.frombuffer(data, np.uint8)[ends[first]:ends[last]], own))
+                first = last
+            self.halves = [np.concatenate(parts) for parts in zip(*made)]
         return numbers[coded.indices.to_numpy()]
 
 
@@ -214,12 +227,13 @@ FOUND = "print long, check long, count long, at long, off long, n int"
 FOUND_SCHEMA = pa.schema([("print", pa.int64()), ("check", pa.int64()), ("count", pa.int64()), ("at", pa.int64()), ("off", pa.int64()), ("n", pa.int32())])
 
 
-def _sent(entries: dict[str, np.ndarray], parts: int) -> pa.RecordBatch:
-    """Entries as one row of arrays for each part of the fingerprints."""
+def _sent(entries: dict[str, np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+    """Entries as one row of arrays for each part of the fingerprints, in batches of bounded size."""
     part = ((entries["print"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     bounds = np.searchsorted(part[order], np.arange(parts + 1))
-    rows = {k: [] for k in SENT_SCHEMA.names}
+    width = sum(np.dtype(kind).itemsize for _, kind in ENTRY)
+    rows, size = {k: [] for k in SENT_SCHEMA.names}, 0
     for k in np.flatnonzero(np.diff(bounds)):
         some = order[bounds[k]:bounds[k + 1]]
         rows["part"].append(int(k))
@@ -227,7 +241,12 @@ def _sent(entries: dict[str, np.ndarray], parts: int) -> pa.RecordBatch:
             rows[name].append(entries[name][some].astype(kind).tobytes())
         rows["lang"].append(None)
         rows["words"].append(None)
-    return pa.RecordBatch.from_pydict(rows, SENT_SCHEMA)
+        size += len(some) * width
+        if size >= BATCH:
+            yield pa.RecordBatch.from_pydict(rows, SENT_SCHEMA)
+            rows, size = {k: [] for k in SENT_SCHEMA.names}, 0
+    if size:
+        yield pa.RecordBatch.from_pydict(rows, SENT_SCHEMA)
 
 
 def _counted(docs: DataFrame, lengths: tuple[int, ...], filters: dict[int, dict[str, str]], parts: int, mining: Mining) -> DataFrame:
@@ -238,11 +257,12 @@ def _counted(docs: DataFrame, lengths: tuple[int, ...], filters: dict[int, dict[
         width = max(lengths)
 
         def merged() -> dict[str, np.ndarray]:
-            return combined({k: np.concatenate([h[k] for h in held]) for k in held[0]})
+            # Each column of the parts is given up as soon as it is joined.
+            return combined({k: np.concatenate([h.pop(k) for h in held]) for k in list(held[0])})
 
         for batch in batches:
             places = batch.column(0).to_numpy()
-            for start, end, data, ends in blocks(batch.column(2)):
+            for start, end, data, ends in blocks(batch.column(2), BLOCK):
                 own = batch.column(1).slice(start, end - start)
                 texts = Texts(data, ends, _keys(own), words)
                 if 1 in lengths:
@@ -276,10 +296,10 @@ def _counted(docs: DataFrame, lengths: tuple[int, ...], filters: dict[int, dict[
                     held = [merged()]
                     size = len(held[0]["print"])
                     if full or 2 * size > mining.gather:
-                        yield _sent(held[0], parts)
+                        yield from _sent(held[0], parts)
                         held, size, words = [], 0, Vocabulary()
         if held:
-            yield _sent(merged(), parts)
+            yield from _sent(merged(), parts)
         if totals:
             none = [None] * len(totals)
             yield pa.RecordBatch.from_pydict({"part": none, **{k: none for k, _ in ENTRY}, "lang": list(totals), "words": list(totals.values())}, SENT_SCHEMA)
@@ -287,10 +307,21 @@ def _counted(docs: DataFrame, lengths: tuple[int, ...], filters: dict[int, dict[
     return docs.mapInArrow(read, SENT)
 
 
+def _joined(column: pa.ChunkedArray) -> np.ndarray:
+    """The bytes of all rows of a binary column one after the other, copied once."""
+    runs = []
+    for chunk in column.chunks:
+        _, offsets, data = chunk.buffers()
+        if len(chunk) and data is not None:
+            ends = np.frombuffer(offsets, np.int32)[chunk.offset:chunk.offset + len(chunk) + 1]
+            runs.append(np.frombuffer(data, np.uint8)[ends[0]:ends[-1]])
+    return np.concatenate(runs) if runs else np.zeros(0, np.uint8)
+
+
 def _frequent(sent: DataFrame, least: int) -> DataFrame:
     """The frequent fingerprints with their counts and one occurrence each."""
     def total(key: tuple, table: pa.Table) -> pa.Table:
-        own = {k: np.concatenate([np.frombuffer(x, kind) for x in table.column(k).to_pylist()]) for k, kind in ENTRY}
+        own = {k: _joined(table.column(k)).view(kind) for k, kind in ENTRY}
         order = np.lexsort((own["check"], own["print"]))
         ranked, checks = own["print"][order], own["check"][order]
         starts = np.flatnonzero(np.concatenate(([True], (ranked[1:] != ranked[:-1]) | (checks[1:] != checks[:-1]))))

@@ -111,3 +111,27 @@ def test_pairs_with_equal_letter_sums_have_their_own_fingerprints():
     texts = collocations.Texts(data, ends, np.zeros(len(pairs), np.uint64), collocations.Vocabulary())
     for second in (False, True):
         assert len(set(texts.prints(texts.grams(2), 2, second).tolist())) == len(pairs)
+
+
+def test_a_counting_task_keeps_little_beside_its_entries():
+    """Entries leave in small batches, and joining or hashing them takes no second copy of everything."""
+    import tracemalloc
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    mining = collocations.Mining()
+    count = collocations._counted(Rows(), (2,), {}, 64, mining)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(10_000, 10**9, 2_000))) for _ in range(450)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(len(texts))), pa.array(["en"] * len(texts)), pa.array(texts)], names=["at", "lang", "text"],
+    )
+    tracemalloc.start()
+    sent = [(b.nbytes, sum(len(x) // 8 for x in b.column("print").to_pylist())) for b in count(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(n for _, n in sent) == len(texts) * 1_999
+    assert max(size for size, _ in sent) < 2 * collocations.BATCH
+    assert peak < 200 << 20
