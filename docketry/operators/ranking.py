@@ -28,7 +28,7 @@ def keep_best(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int,
     return numbered(df, by, order, rank).where(F.col(rank) <= k)
 
 
-class _BestOf:
+class BestOf:
     """Running top-k per query over vector batches.
 
     One partition of the whole score matrix finds the k-th best of every query; what
@@ -43,16 +43,19 @@ class _BestOf:
     def add(self, ids: np.ndarray, matrix: np.ndarray, asked: np.ndarray | None = None) -> None:
         """Meet rows with all queries, or with those whose places are in ``asked``."""
         asked = np.arange(len(self.queries)) if asked is None else asked
-        scores = np.round(matrix @ self.queries[asked].T, self.digits)
+        self.meet(ids, np.round(matrix @ self.queries[asked].T, self.digits), asked)
+
+    def meet(self, ids: np.ndarray, scores: np.ndarray, asked: np.ndarray) -> None:
+        """Take the best of rounded scores, a row for each id and a column for each place of ``asked``; -inf is no hit."""
         n = len(scores)
         floor = np.partition(scores, n - self.k, axis=0)[n - self.k] if n > self.k else np.full(scores.shape[1], -np.inf)
         held = np.array([self.scores[q][-1] if len(self.scores[q]) == self.k else -np.inf for q in asked])
-        keep = scores >= np.maximum(floor, held)
+        keep = (scores >= np.maximum(floor, held)) & (scores > -np.inf)
         for place in np.flatnonzero(keep.any(axis=0)).tolist():
             q, column, chosen = asked[place], scores[:, place], np.flatnonzero(keep[:, place])
             merged_scores = np.concatenate([self.scores[q], column[chosen]])
             merged_ids = np.concatenate([self.ids[q], ids[chosen]])
-            order = sorted(range(len(merged_scores)), key=lambda i: (-merged_scores[i], merged_ids[i]))[: self.k]
+            order = sorted(range(len(merged_scores)), key=lambda i: (-merged_scores[i], merged_ids[i] is not None, merged_ids[i]))[: self.k]
             self.scores[q], self.ids[q] = merged_scores[order], merged_ids[order]
 
 
@@ -122,7 +125,7 @@ def nearest(
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, matrix = shared.value
-            best = _BestOf(matrix, k, digits)
+            best = BestOf(matrix, k, digits)
             kind = None
             for batch in batches:
                 if batch.num_rows == 0:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from docketry.operators.ranking import _BestOf, _matrix, keep_best
+from docketry.operators.ranking import BestOf, _matrix, keep_best
 from docketry.session import stage
 from docketry.settings import DEFAULTS
 
@@ -108,7 +108,7 @@ def _scan(index: VectorIndex, names: pa.Array, matrix: np.ndarray, needed: np.nd
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix, asked = shared.value
-        best, kind = _BestOf(matrix, k, digits), None
+        best, kind = BestOf(matrix, k, digits), None
         for batch in batches:
             kind = batch.column(0).type
             ids, rows = np.array(batch.column(0).to_pylist(), dtype=object), _matrix(batch.column(0), batch.column(1), matrix.shape[1], "row")
