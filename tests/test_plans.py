@@ -280,3 +280,17 @@ def test_streams_keep_late_rows_out_and_retries_single(spark, tmp_path):
     spark.createDataFrame([("c", "x", "h1"), ("d", "y", "h2")], "chunk_id string, text string, content_hash string").write.mode("append").parquet(str(tmp_path / "c1"))
     jobs.embed_incrementally(source(), out, hashing_embedder(4), state, 4).awaitTermination()
     assert sorted(r.content_hash for r in jobs.existing_vectors(spark, out).collect()) == ["h1", "h2"]
+
+
+def test_wanted_documents_are_the_documents_wanted(spark, tmp_path):
+    """Choosing documents before any row is moved gives the rows that choosing them afterwards does."""
+    from docketry.catalog.data import documents
+
+    docs = [(k, f"line {k}\n\nmore", "de", f"src{k % 3}", 12) for k in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, k % 2, 0) for k in range(0, 40, 3)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    wanted = spark.createDataFrame([(3,), (4,), (77,)], "doc_id long")
+    some = documents(spark, str(tmp_path), wanted)
+    every = documents(spark, str(tmp_path)).where("position in (3, 4)")
+    assert sorted(map(repr, some.collect())) == sorted(map(repr, every.collect()))
+    assert some.count() == 2
