@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docketry.functions.binding import let
+
 
 def heavy_keys(df: DataFrame, key: str, share: float = 0.001) -> DataFrame:
     """Keys that each hold more than ``share`` of the rows; never more than ``1/share`` keys."""
@@ -47,10 +49,16 @@ def salted_join(
 
 
 def _grams(col: Column, size: int) -> Column:
-    """Distinct substrings of ``size`` characters."""
-    count = F.length(col) - size + 1
-    every = F.transform(F.sequence(F.lit(1), count), lambda i: F.substring(col, i, F.lit(size)))
-    return F.when(count > 0, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+    """Distinct substrings of ``size`` characters, from a text that is cut into characters once."""
+
+    def joined(letters: Column) -> Column:
+        count = F.size(letters) - size + 1
+        every = F.transform(
+            F.sequence(F.lit(0), count - 1), lambda i: F.concat(*[F.get(letters, i + k) for k in range(size)]),
+        )
+        return F.array_distinct(every)
+
+    return F.when(F.length(col) >= size, let(joined, letters=F.split(col, ""))).otherwise(F.array().cast("array<string>"))
 
 
 def substring_matches(

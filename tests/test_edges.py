@@ -1,5 +1,7 @@
 """Rows that used to be lost or misread: null keys, odd vectors, repeated keys."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +63,17 @@ def test_contained_texts_with_repeated_keys(spark):
     needles = spark.createDataFrame([("bc",), ("a",), ("",)], "n string")
     got = sorted((r.n, r.i) for r in joins.substring_matches(needles, texts, "n", "t", ["i"]).collect())
     assert got == [("a", 1), ("a", 1), ("bc", 1), ("bc", 1), ("bc", 2)]
+
+
+def test_grams_of_long_texts_take_linear_work(spark):
+    """A text is cut into characters once; null, short and wide characters keep their grams."""
+    rows = spark.createDataFrame([(1, "abcab"), (2, "a"), (3, ""), (4, None), (5, "x😀법y"), (6, "가😀")], "i int, t string")
+    got = {r.i: (r.one, r.two) for r in rows.select("i", joins._grams(F.col("t"), 1).alias("one"), joins._grams(F.col("t"), 2).alias("two")).collect()}
+    assert got == {
+        1: (["a", "b", "c"], ["ab", "bc", "ca"]), 2: (["a"], []), 3: ([], []), 4: ([], []),
+        5: (["x", "😀", "법", "y"], ["x😀", "😀법", "법y"]), 6: (["가", "😀"], ["가😀"]),
+    }
+    began = time.monotonic()
+    long = spark.range(4).select(F.repeat(F.lit("lorem ipsum "), 60_000).alias("t"))
+    assert [r.n for r in long.select(F.size(joins._grams(F.col("t"), 2)).alias("n")).collect()] == [11] * 4
+    assert time.monotonic() - began < 30
