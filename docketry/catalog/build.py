@@ -311,7 +311,7 @@ rest AS (SELECT key, size FROM a, half WHERE wave_no > h + 1 OR wave_no = h + 1
 SELECT key AS doc_id, wave_no + h + 1 AS wave_no, request_no FROM b, half""")
 def wave_resume(spark, folder):
     """A run in waves that broke off: half of its waves are complete, the next one has the vectors of even keys and was refused."""
-    rows = table(spark, folder, "documents").select("doc_id", count_tokens(F.col("text")).alias("tokens"))
+    rows = stage(table(spark, folder, "documents").select("doc_id", count_tokens(F.col("text")).alias("tokens")), "wave-sizes")
     path = fresh_path(spark, "wave-run")
     first = stage(waves.plan_waves(rows, *waves.opened(spark, path, "doc_id"), _WAVES, "doc_id"), "wave-plan")
     half = first.agg(F.floor(F.max("wave_no") / 2)).first()[0] or 0
