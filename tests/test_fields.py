@@ -1,4 +1,5 @@
 import hashlib
+import time
 import unicodedata
 import uuid
 
@@ -23,6 +24,29 @@ def test_clean_body_follows_its_order(one):
     assert one(T.clean_body(A), a=None) == ""
 
 
+def test_clean_body_knows_every_space(spark):
+    blanks = [f"a{c}\n{c}b" for c in "\t\xa0\x1f\u1680\u2000\u2003\u200a\u202f\u205f\u3000"]
+    breaks = [f"a{c}b" for c in ("\x0b", "\x0c", "\r", "\r\n", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")]
+    rows = spark.createDataFrame([(v,) for v in blanks + breaks], "a string").select("a", T.clean_body(A).alias("b"))
+    assert [r.a for r in rows.collect() if r.b != "a\nb"] == []
+
+
+def test_plain_text_is_passed_over_quickly(spark):
+    """Telling that NFC changes nothing takes about as long as one search for an absent letter."""
+    long = spark.range(0, 16, 1, 4).select(F.repeat(F.lit("wort das und die nicht, ○ "), 40_000).alias("a")).cache()
+    long.count()
+
+    def seconds(test):
+        def once():
+            began = time.perf_counter()
+            assert long.where(test).count() == 0
+            return time.perf_counter() - began
+
+        return min(once() for _ in range(3))
+
+    assert seconds(T._may_change(A)) < 2 * seconds(A.rlike("[\u0416]"))
+
+
 def test_composition(one):
     for value in ("été", "한", "豈", "Å", "plain", "한글"):
         assert one(T.nfc(A), a=value) == unicodedata.normalize("NFC", value)
