@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from docketry.sources import markdown as M
 from docketry.sources import parsers as P
 
@@ -176,3 +178,13 @@ def test_files_are_read_whole_with_plain_paths(spark, tmp_path):
     (folder / "법률.md").write_text(STATUTE_HEAD.replace("\n", "\r\n") + "##### 제1조 (목적)\r\n본문\r\n", encoding="utf-8")
     row = P.parse_statutes(M.read_files(spark, str(tmp_path))).first()
     assert row.path.endswith("/가로수법/법률.md") and row.articles[0].text == "본문"
+
+
+def test_sections_are_spans_without_offsets(spark):
+    bodies = ["", "no heading", "## 주문\n기각\n## 이유\n\n## 끝", "머리\n##  【이 유】  \n가\r\n## \u3000나\u3000\n다", "## 가", None]
+    rows = spark.createDataFrame([(b,) for b in bodies], "body string")
+    shown = rows.select(
+        M.sections(F.col("body"), P.CASE_SECTION).alias("got"), M.spans(F.col("body"), P.CASE_SECTION + "()").alias("spans"),
+    ).collect()
+    assert [[(s.label, s.text) for s in r.got or []] for r in shown] == [[(s.label, s.text) for s in r.spans or []] for r in shown]
+    assert [len(r.got or []) for r in shown] == [0, 0, 3, 2, 1, 0]
