@@ -131,6 +131,25 @@ def test_long_periodic_passages_are_no_shard(spark, tmp_path, monkeypatch):
     assert all(g["size"] <= plan.shard_bytes for g in groups)
 
 
+def test_repeats_when_executors_come_and_go(spark, tmp_path):
+    data = repeat_rows()
+    path = str(tmp_path / "files.parquet")
+    cases.table(spark, data).repartition(8).write.parquet(path)
+    cores = "spark.sql.leafNodeDefaultParallelism"
+    try:
+        # Files are packed into partitions by the number of cores.
+        spark.conf.set(cores, "2")
+        cut = repeats.remove_repeats(spark.read.parquet(path), repeats.Repeats(length=60, gram=20, shard_bytes=3000))
+        spark.conf.set(cores, "8")
+        got = cut.collect()
+    finally:
+        spark.conf.unset(cores)
+    want = cases.repeats([r[1] for r in data], 60)
+    assert multiset((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == multiset(
+        (row[0], *w) for row, w in zip(data, want)
+    )
+
+
 def test_repeats_of_nothing(empty):
     assert repeats.remove_repeats(empty).count() == 0
 
