@@ -237,11 +237,15 @@ def near_groups(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", te
     ``component_id`` is the smallest id reachable, ``kept`` whether it is the row's own;
     ``first`` is true for exactly one row of each component, also if ids repeat or are
     null. Null, empty and wordless texts have no shingles and are linked with nothing.
-    ``docs`` has to be re-readable in the same order (a scan or a checkpoint).
     """
-    rows = docs.select(
+    # Numbered once: another scan packs files by the cores there are by then, and numbers rows otherwise.
+    return _groups(stage(docs.select(
         F.monotonically_increasing_id().alias("at"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-    )
+    ), "numbered-texts"), near)
+
+
+def _groups(rows: DataFrame, near: Near) -> DataFrame:
+    """The result of ``near_groups`` for staged rows (at, doc_id, text)."""
     signed = stage(signatures(rows, near), "signatures")
     filled = signed.where("n_shingles > 0")
     classes = filled.groupBy("digest").agg(F.min("at").alias("node"))
@@ -292,6 +296,10 @@ def near_groups(docs: DataFrame, near: Near = Near(), id_col: str = "doc_id", te
 
 def first_of_groups(docs: DataFrame, near: Near = Near()) -> DataFrame:
     """The rows of ``docs`` that stay, one of each component, with all their columns."""
-    kept = near_groups(docs, near).where("first").select(F.col("at").alias("_kept_at"))
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at"))
+    marked = stage(
+        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("at")),
+        "numbered-rows",
+    )
+    rows = marked.select("at", "row.doc_id", F.col("row.text").cast("string").alias("text"))
+    kept = _groups(rows, near).where("first").select(F.col("at").alias("_kept_at"))
     return marked.join(kept, F.col("at") == F.col("_kept_at"), "left_semi").select("row.*")

@@ -304,6 +304,37 @@ def test_near_components(spark, tmp_path, words, percent):
     assert kept.dtypes == df.dtypes and kept.count() == len(set(roots))
 
 
+def test_near_copies_when_executors_come_and_go(spark, tmp_path, monkeypatch):
+    data = near_rows()
+    path = str(tmp_path / "files.parquet")
+    cases.table(spark, data).repartition(8).write.parquet(path)
+    near, cores, staged = minhash.Near(words=3, percent=85), "spark.sql.leafNodeDefaultParallelism", minhash.stage
+
+    def grown(df, label):
+        out = staged(df, label)
+        if label == "signatures":
+            spark.conf.set(cores, "8")
+        return out
+
+    monkeypatch.setattr(minhash, "stage", grown)
+    roots = cases.near_components([r[1] for r in data], 3, 85)
+    least = {}
+    for r, root in zip(data, roots):
+        least[root] = min((x for x in (least.get(root), r[0]) if x is not None), default=None)
+    try:
+        # Files are packed into partitions by the number of cores.
+        spark.conf.set(cores, "2")
+        got = minhash.near_groups(spark.read.parquet(path), near).collect()
+        spark.conf.set(cores, "2")
+        kept = minhash.first_of_groups(spark.read.parquet(path), near).collect()
+    finally:
+        spark.conf.unset(cores)
+    assert multiset((r.doc_id, r.component_id) for r in got) == multiset((r[0], least[root]) for r, root in zip(data, roots))
+    of_text = {r[1]: root for r, root in zip(data, roots) if r[1] and r[1].strip()}
+    found = [of_text[r.text] for r in kept if r.text in of_text]
+    assert len(kept) == len(set(roots)) and len(found) == len(set(found)) == len(set(of_text.values()))
+
+
 def test_words_that_fool_sums_modulo_two_to_64():
     """Two words whose letters follow a Thue-Morse sequence and its complement hash alike modulo 2**64."""
     turn = [bin(i).count("1") % 2 for i in range(2048)]
