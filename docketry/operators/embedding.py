@@ -52,16 +52,24 @@ def remaining(chunks: DataFrame, done: DataFrame, key: str = "chunk_id") -> Data
     return chunks.join(done.select(key), key, "left_anti")
 
 
-def embed(rows: DataFrame, embedder: Callable[[list[str]], np.ndarray], dim: int = DEFAULTS.embed_dim) -> DataFrame:
-    """``content_hash, vector`` for every row; a blank text or a wrong size fails the job."""
+def embed(rows: DataFrame, embedder: Callable[[list[str]], np.ndarray], dim: int = DEFAULTS.embed_dim,
+          blank_is_zero: bool = False) -> DataFrame:
+    """``content_hash, vector`` for every row; a blank text or a wrong size fails the job.
+
+    With ``blank_is_zero`` a blank text, but no null, has the zero vector and is not embedded.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            if pdf["text"].isna().any() or (pdf["text"].str.strip() == "").any():
+            worded = (pdf["text"].str.strip() != "").to_numpy(dtype=bool)
+            if pdf["text"].isna().any() or not (blank_is_zero or worded.all()):
                 raise ValueError("texts to embed must not be blank")
-            vectors = embedder(pdf["text"].tolist())
-            if len(pdf) and vectors.shape != (len(pdf), dim):
-                raise ValueError(f"embedder returned shape {vectors.shape}, wanted ({len(pdf)}, {dim})")
+            vectors = np.zeros((len(pdf), dim))
+            if worded.any():
+                made = embedder(pdf["text"][worded].tolist())
+                if made.shape != (worded.sum(), dim):
+                    raise ValueError(f"embedder returned shape {made.shape}, wanted ({worded.sum()}, {dim})")
+                vectors[worded] = made
             yield pd.DataFrame({
                 "content_hash": pdf["content_hash"].to_numpy(), "vector": list(vectors.astype(np.float32)),
             })

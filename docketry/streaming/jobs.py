@@ -6,7 +6,9 @@ timestamp cannot carry a watermark, so it is cast).
 
 from __future__ import annotations
 
+import re
 import time
+import zlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -22,9 +24,15 @@ from docketry.settings import DEFAULTS
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """What a folder holds under ``pattern`` as a stream, files or folders of Parquet files; the schema is read from them once."""
+    """What a folder holds under ``pattern`` as a stream, files or folders of Parquet files; the schema is read from them once.
+
+    Columns that a table keeps in the names of its folders (``copy=0/``) are read as from a table.
+    """
     path = f"{folder}/{{{pattern}}}"  # a pattern may name a file, a plain path of a stream has to be a folder
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    if not re.search(r"[][{}*?\\]", folder):  # below a pattern Spark takes no folder for the base by itself
+        stream = stream.option("basePath", folder)
+    return stream.parquet(path)
 
 
 def timed(log: DataFrame, ts: str = "ts", late: str = "10 minutes") -> DataFrame:
@@ -108,17 +116,20 @@ def embed_incrementally(chunks: DataFrame, done_path: str, embedder: Callable[[l
 
     The output table, keyed by content hash, is the memory: each micro-batch drops
     the hashes it holds and writes the rest to its own folder, so a retried batch
-    replaces its earlier attempt.
+    replaces its earlier attempt. A blank or missing text has the zero vector: it would
+    stop the stream for good otherwise.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+    # Runs with checkpoints of their own number their batches from 0 each.
+    run = zlib.crc32(checkpoint.encode()) << 31
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark, batch_id = batch.sparkSession, run + number
         done = existing_vectors(spark, done_path).where(F.col("batch") != batch_id)
-        todo = embedding.remaining(
-            embedding.one_per_hash(batch.withColumn("position", F.col("chunk_id")), "content_hash", "position", ["text"]),
-            done, "content_hash",
-        )
-        embedding.embed(todo, embedder, dim).write.mode("overwrite").parquet(f"{done_path}/batch={batch_id}")
+        # A null position would lose the text of its row.
+        texts = batch.withColumn("position", F.coalesce("chunk_id", F.lit(""))).withColumn("text", F.coalesce("text", F.lit("")))
+        todo = embedding.remaining(embedding.one_per_hash(texts, "content_hash", "position", ["text"]), done, "content_hash")
+        embedding.embed(todo, embedder, dim, blank_is_zero=True).write.mode("overwrite").parquet(f"{done_path}/batch={batch_id}")
 
     return start(chunks, "append", write, checkpoint, **trigger)
 
